@@ -75,7 +75,7 @@ def human_bytes(col: Column, digits: int = 1) -> Column:
     value = col.cast("double")
     out = None
     for power, unit in enumerate(units):
-        shown = F.concat(F.format_string(f"%.{digits}f", value / F.lit(float(1024**power))), F.lit(unit))
+        shown = F.concat(F.format_string(f"%.{digits}f", F.bround(value / F.lit(float(1024**power)), digits)), F.lit(unit))
         below = value < F.lit(float(1024 ** (power + 1)))
         out = F.when(below, shown) if out is None else out.when(below, shown) if unit != units[-1] else out.otherwise(shown)
     return out

@@ -58,7 +58,7 @@ def mine_grouped(search, occ: DataFrame, support: Support, min_support, min_freq
                 F.slice(F.first("items"), 1, length - 1).alias("prefix"))
             extra = None if max_len is None else max_len - length + 1
 
-            def search_class(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            def search_class(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 sizes = pdf["r"].str.len().to_numpy()
                 txn = np.repeat(np.arange(len(pdf)), sizes)
                 rank, m = np.concatenate(pdf["r"].to_numpy()), np.concatenate(pdf["m"].to_numpy())

@@ -23,6 +23,7 @@ from itemweave.plans.levels import (
     LevelRun,
     Support,
     _broadcast_if,
+    _metrics,
     _observed,
     _stat,
     grow,
@@ -58,11 +59,10 @@ def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_l
     occ = occ.select(unit.alias("unit"), "item", value.alias("m")).persist()
     try:
         t0 = time.time()
-        totals, seen, kept = _observed(support.totals(occ, ["item"]), support.keep)
-        items = ws.write(totals.select("item", *support.columns()), "items")
-        stat = _stat(1, seen, kept, t0)
-        run.stats.append(stat)
-        n_items = stat["frequent"]
+        totals, seen = _observed(support.totals(occ, ["item"]), candidates=F.count(F.lit(1)), occurrences=F.sum("freq"))
+        items = ws.write(totals.where(support.keep).select("item", *support.columns()), "items")
+        n_items = items.count()
+        run.stats.append(_stat(1, n_items, _metrics(seen), t0))
         if n_items:
             run.tables.append(items.select(F.array("item").alias("items"), *support.columns()))
         if n_items > 1 and max_len != 1:

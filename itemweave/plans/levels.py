@@ -19,6 +19,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ HEADS_PER_ROW = 2_048
 BITMAP_LONGS = 4_000_000
 # Distinct frequent items that a one-task ranking may hold.
 RANK_IN_ONE_TASK = 200_000
+# Subsets per task that may be counted in one pass, and the longest row it may do that for.
+SUBSETS_PER_TASK = 500_000
+SUBSET_ROW = 16
 # Levels between two states written to the shared folder to cut the lineage.
 LEVELS_PER_CUT = 5
 
@@ -93,16 +97,24 @@ class Support:
         return ["support", "freq"]
 
 
-def _observed(totals: DataFrame, keep: Column) -> tuple[DataFrame, Observation, Observation]:
-    """Count candidates and survivors in the same job that writes the survivors."""
-    seen, kept = Observation(), Observation()
-    totals = totals.observe(seen, _count().alias("candidates"), F.sum("freq").alias("occurrences"))
-    return totals.where(keep).observe(kept, _count().alias("frequent")), seen, kept
+def _observed(totals: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """Candidate statistics, gathered in the job that writes the survivors."""
+    seen = Observation()
+    return totals.observe(seen, *[c.alias(n) for n, c in metrics.items()]), seen
 
 
-def _stat(k: int, seen: Observation, kept: Observation, started: float) -> dict:
-    return {"k": k, "candidates": int(seen.get["candidates"] or 0), "frequent": int(kept.get["frequent"] or 0),
-            "occurrences": int(seen.get["occurrences"] or 0), "seconds": round(time.time() - started, 3)}
+def _metrics(seen: Observation) -> dict:
+    """Observed values; nothing if the plan turned out empty and was not run. They are reporting only:
+    a task that ran twice may count twice, so the loop itself counts written tables."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+def _stat(k: int, frequent: int, seen: dict, started: float, suffix: str = "") -> dict:
+    return {"k": k, "candidates": max(int(seen.get(f"candidates{suffix}") or 0), frequent), "frequent": frequent,
+            "occurrences": int(seen.get(f"occurrences{suffix}") or 0), "seconds": round(time.time() - started, 3)}
 
 
 def rank_items(items: DataFrame, n_items: int, order: list[Column], ws: Workspace) -> DataFrame:
@@ -116,7 +128,7 @@ def _broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SETS else df
 
 
-def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = ()) -> DataFrame:
+def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
     """One row per unit from ``(unit, rank[, m])``. A unit holds each frequent item at most once,
     so a packed row is bounded by the size of the item dictionary."""
     entry = F.struct("rank", "m") if has_values else F.col("rank")
@@ -127,7 +139,7 @@ def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = ())
         cols.append(F.col("t.m").alias("m"))
     if "unit" in carried:
         cols.append(F.col("unit"))
-    return packed.where(F.size("t") > 1).select(*cols)
+    return packed.where(F.size("t") >= shortest).select(*cols)
 
 
 def _heads(state: DataFrame, widest: int) -> DataFrame:
@@ -207,6 +219,67 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
     return heads.select(*cols, *carried)
 
 
+def _remaining(state: DataFrame) -> tuple[float, int]:
+    """Number of subsets of all rows together, and the longest row; computes the state as well."""
+    size = F.size("r")
+    total, longest = state.agg(F.sum(F.pow(F.lit(2.0), size)), F.max(size)).first()
+    return total or 0.0, longest or 0
+
+
+def subset_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...], limit: int) -> DataFrame:
+    """Every subset of 2 to ``limit`` positions of a row: ``(sid, p, m)``. For short rows only."""
+    def entry(p: Column, m: Column) -> Column:
+        return F.struct(p.alias("p"), m.alias("m")) if counting.has_values else F.struct(p.alias("p"))
+
+    def value(s: Column) -> Column:
+        return s["m"] if counting.has_values else F.lit(1)
+
+    def with_item(acc: Column, j: Column) -> Column:
+        rank = F.get("r", j)
+        own = F.get("m", j) if counting.has_values else F.lit(1)
+        grown = F.transform(F.filter(acc, lambda s: F.size(s["p"]) < limit),
+                            lambda s: entry(F.array_append(s["p"], rank), counting.combine(value(s), own)))
+        if counting.alive:
+            grown = F.filter(grown, lambda s: counting.alive(s["m"]))
+        return F.concat(acc, grown, F.array(entry(F.array(rank), own)))
+
+    value_type = state.schema["m"].dataType.elementType.simpleString() if counting.has_values else None
+    empty = F.array().cast("array<struct<p:array<int>" + (f",m:{value_type}>>" if value_type else ">>"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("r") - 1), empty, with_item)
+    rows = state.select("sid", *carried, F.explode(folded).alias("s"))
+    m = F.col("s.m") if counting.has_values else F.lit(1)
+    return rows.where(F.size("s.p") > 1).select("sid", F.col("s.p").alias("p"), *carried, m.alias("m"))
+
+
+def _finish(state: DataFrame, parents: DataFrame, n_parents: int, names: DataFrame, n_items: int, k: int,
+            longest: int, support: Support, ws: Workspace, run: LevelRun, max_len: int | None) -> None:
+    """Count everything above level k in one pass over rows whose subsets are few."""
+    limit = longest if max_len is None else min(longest, max_len - k + 1)
+    started = time.time()
+    totals = support.totals(subset_rows(state, support.counting, support.carried, limit), ["sid", "p"])
+    sizes = range(2, limit + 1)
+    of_size = {n: F.size("p") == n for n in sizes}
+    totals, seen = _observed(
+        totals, **{f"candidates{n}": F.count_if(c) for n, c in of_size.items()},
+        **{f"occurrences{n}": F.sum(F.when(c, F.col("freq"))) for n, c in of_size.items()})
+    found = totals.where(support.keep)
+    tails = (found.select("sid", "p", *support.columns(), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("pos", "b"))
+             .join(_broadcast_if(names, n_items), "b")
+             .groupBy("sid", "p", *support.columns())
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "name")))["name"].alias("tail"))
+             .withColumn("a", F.get("p", F.lit(0))))
+    full = tails.join(_broadcast_if(parents, n_parents), ["sid", "a"]).select(
+        F.concat("prefix", "tail").alias("items"), *support.columns())
+    table = ws.write(full, f"above-{k}")
+    counts = dict(table.groupBy(F.size("items")).count().collect())
+    observed = _metrics(seen)
+    for n in sizes:
+        stat = _stat(k + n - 1, counts.get(k + n - 1, 0), observed, started, str(n))
+        if stat["candidates"]:
+            run.stats.append(stat)
+    run.tables.append(table)
+
+
 def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws: Workspace,
          run: LevelRun, max_len: int | None,
          split_local: Callable | None = None) -> LevelRun:
@@ -217,23 +290,29 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
     names = first.select(F.col("rank").alias("b"), F.col("item").alias("name"))
     parents = first.select(F.lit(0).cast("bigint").alias("sid"), F.col("rank").alias("a"),
                            F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"))
-    n_parents, pair_filter, state, widest, k = n_items, None, units, n_items, 1
+    n_parents, pair_filter, state, k = n_items, None, units, 1
     run.held.append(state)
+    one_pass = SUBSETS_PER_TASK * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while n_parents > k and (max_len is None or k < max_len):
-        k += 1
         started = time.time()
+        subsets, longest = _remaining(state)
+        if longest == 0:
+            break
+        if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
+            _finish(state, parents, n_parents, names, n_items, k, longest, support, ws, run, max_len)
+            break
+        k, widest = k + 1, longest
         rows = candidate_rows(state, counting, carried, widest)
         if pair_filter is not None:
             rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
-        totals, seen, kept = _observed(support.totals(rows, ["sid", "a", "b"]), support.keep)
-        level = (totals.join(_broadcast_if(parents, n_parents), ["sid", "a"])
+        totals, seen = _observed(support.totals(rows, ["sid", "a", "b"]), candidates=_count(), occurrences=F.sum("freq"))
+        level = (totals.where(support.keep).join(_broadcast_if(parents, n_parents), ["sid", "a"])
                  .join(_broadcast_if(names, n_items), "b")
                  .select(F.monotonically_increasing_id().alias("id"), "pid", "sid", "a", "b",
                          F.array_append("prefix", F.col("name")).alias("items"), *support.columns()))
         level = ws.write(level, f"level-{k}")
-        stat = _stat(k, seen, kept, started)
-        run.stats.append(stat)
-        n_sets = stat["frequent"]
+        n_sets = level.count()
+        run.stats.append(_stat(k, n_sets, _metrics(seen), started))
         if n_sets:
             run.tables.append(level)
         # A (k+1)-set needs k+1 frequent subsets of size k.
@@ -259,5 +338,5 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
         # Only the newest two states are needed: the one read and the one built from it.
         while len(run.held) > 2 and not run.local_states:
             run.held.pop(0).unpersist()
-        n_parents, widest = n_sets, min(n_items, n_sets)
+        n_parents = n_sets
     return run
