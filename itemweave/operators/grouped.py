@@ -8,16 +8,21 @@ the level loop, which splits them into lighter classes. So no group is larger th
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemweave.plans.levels import LevelRun, Support
 from itemweave.plans.storage import Workspace
 
+# Send the helpers below with the job, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Most (transaction, item) rows one class may hold to be searched in one task.
 CLASS_ROWS = 500_000
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
@@ -47,6 +48,18 @@ def _integral(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+def _cell_type(occ: DataFrame, support: Support) -> str:
+    """The smallest numpy type that holds every value of ``m``."""
+    if support.counting is CRISP:
+        return "uint8"
+    if support.counting is BITSET:
+        return "uint64"  # numpy counts the bits of a signed number's absolute value
+    if not _integral(occ, "m"):
+        return "float64"
+    top = occ.agg(F.max("m")).first()[0] or 0
+    return next(t for t, limit in (("uint8", 2**8), ("uint16", 2**16), ("int32", 2**31), ("int64", 2**64)) if top < limit)
+
+
 def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_len: int | None,
             started: float, split_local: Callable | None = None,
             finish_local: Callable | None = None) -> MiningResult:
@@ -71,7 +84,7 @@ def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_l
             names = first.select("item", "rank")
             rows = occ.join(_broadcast_if(names, n_items), "item").select("unit", "rank", "m")
             units = pack_units(rows, support.counting.has_values, support.carried).persist()
-            grow(units, first, n_items, support, ws, run, max_len, split_local)
+            grow(units, first, n_items, support, ws, run, max_len, _cell_type(occ, support), split_local)
             if run.local_states:
                 run.tables.extend(finish_local(run, first, ws))
     finally:
@@ -118,13 +131,15 @@ def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: fl
     so the ratio is taken half a transaction below the threshold."""
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = crisp_occurrences(df).groupBy("txn_id").agg(F.collect_list("item").alias("items")).persist()
+    occ = crisp_occurrences(df)
+    whole = max(1, math.ceil(min_support))
+    frequent = occ.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole).select("item")
+    baskets = occ.join(frequent, "item").groupBy("txn_id").agg(F.collect_list("item").alias("items")).persist()
     n = baskets.count()
-    if n == 0 or min_support > n:
+    if n < whole:
         itemsets = df.sparkSession.createDataFrame([], "items array<string>, length int, support bigint, freq bigint")
         return MiningResult(itemsets, [], time.time() - started)
-    whole = max(1, -(-min_support // 1))
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (whole - 0.5) / n)).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=(whole - 0.5) / n).fit(baskets)
     found = model.freqItemsets.select(
         F.array_sort("items").alias("items"), F.size("items").alias("length"),
         F.col("freq").alias("support"), F.col("freq").alias("freq"))

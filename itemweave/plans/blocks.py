@@ -1,0 +1,255 @@
+"""Dense state: the rows of one prefix folded into small matrices.
+
+When the extensions of a prefix are dense in the units that hold it, one row per unit wastes most of
+its time on row handling. ``fold`` packs the rows of a prefix that lie in the same task into a matrix
+(extensions by units); ``extend`` cuts the matrix of each longer prefix out of it. Both stay inside
+their partition, hold at most ``FOLD_VALUES`` values at a time, and also add up every pair of matrix
+rows, so that a task sends one partial sum per candidate and matrix instead of one row per occurrence.
+
+A block table has matrix rows ``(sid, r, width, cells)`` and pair rows ``(sid, pa, pb, ps, pf)``: ranks
+of both items, partial support and partial frequency.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Send the helpers below with the job, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Share of filled cells from which matrices pay off.
+DENSE_FROM = 0.05
+#: Values gathered from incoming rows before they are folded.
+FOLD_VALUES = 1_000_000
+#: Bytes of one matrix row of the table, so that a batch of them stays small.
+CELL_BYTES = 32_768
+#: Cells compared at once when pairs are added up.
+PAIR_CELLS = 4_000_000
+#: Rows or pairs per outgoing batch.
+OUT_ROWS, OUT_PAIRS = 2_000, 500_000
+
+
+def schema(sum_type: str) -> str:
+    return (f"sid bigint, r array<int>, width int, cells binary, "
+            f"pa array<int>, pb array<int>, ps array<{sum_type}>, pf array<bigint>")
+
+
+def _sum_type(dtype: str) -> str:
+    return "double" if np.dtype(dtype).kind == "f" else "bigint"
+
+
+class _Algebra:
+    """How two matrix rows combine: presence (0 or 1), the smaller value, or the common bits of
+    64-unit words."""
+
+    def __init__(self, kind: str, dtype: str):
+        self.kind, self.dtype = kind, np.dtype(dtype)
+        self.sum_type = np.float64 if self.dtype.kind == "f" else np.int64
+        self._corners: dict[int, tuple] = {}
+
+    def combine(self, a, b):
+        return np.minimum(a, b) if self.kind == "fuzzy" else np.bitwise_and(a, b)
+
+    def measure(self, low) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind == "fuzzy":
+            return low.sum(axis=-1, dtype=self.sum_type), np.count_nonzero(low, axis=-1)
+        total = low.sum(axis=-1, dtype=np.int64) if self.kind == "crisp" \
+            else np.bitwise_count(low).sum(axis=-1, dtype=np.int64)
+        return total, total
+
+    def corner(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions i < j of n rows."""
+        if n not in self._corners:
+            self._corners[n] = np.triu_indices(n, 1)
+        return self._corners[n]
+
+    def pairs(self, cells) -> tuple[np.ndarray, np.ndarray]:
+        """Support and frequency of every pair of rows, in the order of :meth:`corner`."""
+        left, right = self.corner(len(cells))
+        if self.kind == "crisp":
+            # Counts below 2**24 are exact in single precision, and a matrix is far narrower.
+            wide = cells.astype(np.float32)
+            total = (wide @ wide.T)[left, right].astype(np.int64)
+            return total, total
+        return self.measure(self.combine(cells[left], cells[right]))
+
+
+class _Out:
+    """Collects block rows and hands them out as Arrow batches."""
+
+    def __init__(self, algebra: _Algebra):
+        self.algebra, self.sum_type = algebra, pa.float64() if algebra.dtype.kind == "f" else pa.int64()
+        self._reset()
+
+    def _reset(self):
+        self.rows, self.pairs = [], 0
+
+    def add(self, sid: int, ranks: np.ndarray, cells: np.ndarray) -> None:
+        """One matrix (cut by columns into pieces of bounded size) and its pair sums."""
+        n, width = cells.shape
+        step = max(1, CELL_BYTES // (n * cells.itemsize))
+        for at in range(0, width, step):
+            piece = cells if step >= width else cells[:, at:at + step]
+            if n > 2:
+                self.rows.append((sid, ranks, piece.shape[1], piece.tobytes(), None, None, None, None))
+            self._pairs(sid, ranks, piece)
+
+    def _pairs(self, sid, ranks, cells):
+        n, width = cells.shape
+        if n * (n - 1) // 2 * width <= PAIR_CELLS:
+            left, right = self.algebra.corner(n)
+            self._emit(sid, ranks[left], ranks[right], *self.algebra.pairs(cells))
+        else:
+            for i in range(n - 1):
+                low = self.algebra.combine(cells[i], cells[i + 1:])
+                self._emit(sid, np.full(n - 1 - i, ranks[i]), ranks[i + 1:], *self.algebra.measure(low))
+
+    def _emit(self, sid, a, b, support, freq):
+        seen = np.flatnonzero(freq)
+        if len(seen) < len(freq):
+            a, b, support, freq = a[seen], b[seen], support[seen], freq[seen]
+        if len(seen):
+            self.rows.append((sid, None, None, None, a, b, support, freq))
+            self.pairs += len(seen)
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.rows and (last or len(self.rows) >= OUT_ROWS or self.pairs >= OUT_PAIRS):
+            sid, r, width, cells, left, right, ps, pf = zip(*self.rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sid, pa.int64()), _lists(r, pa.int32()), pa.array(width, pa.int32()), pa.array(cells, pa.binary()),
+                _lists(left, pa.int32()), _lists(right, pa.int32()), _lists(ps, self.sum_type), _lists(pf, pa.int64()),
+            ], names=["sid", "r", "width", "cells", "pa", "pb", "ps", "pf"])
+            self._reset()
+
+
+def _lists(column, value_type) -> pa.ListArray:
+    """A list column from arrays and ``None``."""
+    there = [c for c in column if c is not None]
+    sizes = np.array([0 if c is None else len(c) for c in column])
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32),
+                       mask=np.array([c is None for c in column] + [False]))
+    values = pa.array(np.concatenate(there) if there else np.array([], dtype=np.int64)).cast(value_type)
+    return pa.ListArray.from_arrays(offsets, values, type=pa.list_(value_type))
+
+
+def _values(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _fold_rows(sids, sizes, ranks, values, algebra: _Algebra, out: _Out) -> Iterator[pa.RecordBatch]:
+    row = np.repeat(np.arange(len(sids)), sizes)
+    order = np.argsort(sids, kind="stable")
+    place = np.empty(len(sids), dtype=np.int64)
+    place[order] = np.arange(len(sids))
+    by_sid = np.argsort(place[row], kind="stable")
+    row, ranks = place[row][by_sid], ranks[by_sid]
+    values = None if values is None else values[by_sid]
+    sids = sids[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(sids)) + 1, [len(sids)]))
+    cuts = np.searchsorted(row, first)
+    for g in range(len(first) - 1):
+        part = slice(cuts[g], cuts[g + 1])
+        names, line = np.unique(ranks[part], return_inverse=True)
+        cells = np.zeros((len(names), first[g + 1] - first[g]), dtype=algebra.dtype)
+        cells[line, row[part] - first[g]] = 1 if values is None else values[part]
+        out.add(int(sids[first[g]]), names, cells)
+        yield from out.batches()
+
+
+def _slabs(sids, sizes, ranks, values) -> Iterator[tuple]:
+    """Runs of rows with at most FOLD_VALUES values together (one row at least)."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sids):
+        begin = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + FOLD_VALUES, side="right")))
+        part = slice(begin, ends[to - 1])
+        yield sids[at:to], sizes[at:to], ranks[part], None if values is None else values[part]
+        at = to
+
+
+def fold(state: DataFrame, kind: str, has_values: bool, dtype: str) -> DataFrame:
+    """Block table of a row state ``(sid, r[, m])``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        algebra = _Algebra(kind, dtype)
+        out, held, n_held = _Out(algebra), [], 0
+
+        def flush():
+            for slab in _slabs(*(None if c[0] is None else np.concatenate(c) for c in zip(*held))):
+                yield from _fold_rows(*slab, algebra, out)
+
+        for batch in batches:
+            r = batch.column("r")
+            held.append((batch.column("sid").to_numpy(), np.diff(r.offsets.to_numpy()), _values(r),
+                         _values(batch.column("m")) if has_values else None))
+            n_held += len(held[-1][2])
+            if n_held >= FOLD_VALUES:
+                yield from flush()
+                held, n_held = [], 0
+        if held:
+            yield from flush()
+        yield from out.batches(last=True)
+
+    return state.select("sid", "r", *(["m"] if has_values else [])).mapInArrow(run, schema(_sum_type(dtype)))
+
+
+def extend(blocks: DataFrame, classes: DataFrame, kind: str, dtype: str) -> DataFrame:
+    """Blocks of the next level. ``classes`` has, per ``sid``, its frequent extensions that can grow:
+    ``heads`` as ``array<struct<a, pid, ext>>``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        algebra = _Algebra(kind, dtype)
+        out = _Out(algebra)
+        for batch in batches:
+            heads = batch.column("heads")
+            head_at = heads.offsets.to_numpy()
+            heads = heads.flatten() if heads.offset == 0 else heads.values
+            head_a, head_pid, ext = (heads.field(n) for n in ("a", "pid", "ext"))
+            head_a, head_pid = head_a.to_numpy(), head_pid.to_numpy()
+            ext_at, ext_values = ext.offsets.to_numpy(), ext.values.to_numpy()
+            r = batch.column("r")
+            r_at, r_values = r.offsets.to_numpy(), r.values.to_numpy()
+            widths, cells = batch.column("width").to_numpy(), batch.column("cells")
+            for row in range(batch.num_rows):
+                ranks = r_values[r_at[row]:r_at[row + 1]]
+                grid = np.frombuffer(cells[row].as_buffer(), dtype=algebra.dtype).reshape(len(ranks), widths[row])
+                for h in range(head_at[row], head_at[row + 1]):
+                    i = np.searchsorted(ranks, head_a[h])
+                    if i == len(ranks) or ranks[i] != head_a[h]:
+                        continue
+                    wanted = ext_values[ext_at[h]:ext_at[h + 1]]
+                    at = np.searchsorted(ranks, wanted)
+                    at[at == len(ranks)] = 0
+                    at = at[ranks[at] == wanted]
+                    if len(at) < 2:
+                        continue
+                    held = np.flatnonzero(grid[i])
+                    low = algebra.combine(grid[i, held], grid[at].take(held, axis=1))
+                    # Units with a single extension left can hold no longer set.
+                    shared = np.flatnonzero(np.count_nonzero(low, axis=0) > 1)
+                    if len(shared):
+                        out.add(int(head_pid[h]), ranks[at], low if len(shared) == len(held) else low.take(shared, axis=1))
+                yield from out.batches()
+        yield from out.batches(last=True)
+
+    grids = blocks.where(F.col("r").isNotNull()).select("sid", "r", "width", "cells")
+    return grids.join(classes, "sid").mapInArrow(run, schema(_sum_type(dtype)))
+
+
+def classes_by_prefix(classes: DataFrame) -> DataFrame:
+    """``(sid, heads)`` from ``(sid, a, pid, ext)``."""
+    return classes.groupBy("sid").agg(F.collect_list(F.struct("a", "pid", "ext")).alias("heads"))
+
+
+def pair_totals(blocks: DataFrame) -> DataFrame:
+    """Totals ``(sid, a, b, support, freq)`` of all pairs."""
+    pairs = blocks.where(F.col("pa").isNotNull()).select("sid", "pa", "pb", "ps", "pf").select(
+        "sid", F.posexplode("pa").alias("at", "a"), "pb", "ps", "pf")
+    return (pairs.select("sid", "a", F.get("pb", F.col("at")).alias("b"), F.get("ps", F.col("at")).alias("s"),
+                         F.get("pf", F.col("at")).alias("f"))
+            .groupBy("sid", "a", "b").agg(F.sum("s").alias("support"), F.sum("f").alias("freq")))

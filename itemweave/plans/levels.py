@@ -23,6 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from itemweave.plans.blocks import DENSE_FROM, classes_by_prefix, extend, fold, pair_totals
 from itemweave.plans.numbering import number_rows
 from itemweave.plans.storage import Workspace
 
@@ -132,7 +133,10 @@ def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (),
     """One row per unit from ``(unit, rank[, m])``. A unit holds each frequent item at most once,
     so a packed row is bounded by the size of the item dictionary."""
     entry = F.struct("rank", "m") if has_values else F.col("rank")
-    packed = rows.groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    # A fixed number of partitions: pairing costs far more than the packed bytes suggest, so small
+    # partitions must not be merged. The grouping reuses this shuffle.
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.repartition(n_parts, "unit").groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("t"))
     ranks = F.col("t.rank") if has_values else F.col("t")
     cols = [F.lit(0).cast("bigint").alias("sid"), ranks.alias("r")]
     if has_values:
@@ -281,37 +285,44 @@ def _finish(state: DataFrame, parents: DataFrame, n_parents: int, names: DataFra
 
 
 def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws: Workspace,
-         run: LevelRun, max_len: int | None,
+         run: LevelRun, max_len: int | None, cell_type: str,
          split_local: Callable | None = None) -> LevelRun:
     """Levels 2 and up. ``first`` is the ranked dictionary ``(rank, item, ...)``; ``units`` the packed
-    level-1 state. ``split_local(classes)`` may take over prefix classes that are small enough to
+    level-1 state. ``cell_type`` is the numpy type that holds any value. ``split_local(classes)`` may take over prefix classes that are small enough to
     finish in one task each; it returns the classes that stay in the loop and the ones it takes."""
     counting, carried = support.counting, support.carried
     names = first.select(F.col("rank").alias("b"), F.col("item").alias("name"))
     parents = first.select(F.lit(0).cast("bigint").alias("sid"), F.col("rank").alias("a"),
-                           F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"))
+                           F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"),
+                           F.col("freq").alias("pfreq"))
     n_parents, pair_filter, state, k = n_items, None, units, 1
     run.held.append(state)
     one_pass = SUBSETS_PER_TASK * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dense, widest = False, n_items
     while n_parents > k and (max_len is None or k < max_len):
         started = time.time()
-        subsets, longest = _remaining(state)
-        if longest == 0:
-            break
-        if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
-            _finish(state, parents, n_parents, names, n_items, k, longest, support, ws, run, max_len)
-            break
-        k, widest = k + 1, longest
-        rows = candidate_rows(state, counting, carried, widest)
-        if pair_filter is not None:
-            rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
-        totals, seen = _observed(support.totals(rows, ["sid", "a", "b"]), candidates=_count(), occurrences=F.sum("freq"))
+        if not dense:
+            subsets, longest = _remaining(state)
+            if longest == 0:
+                break
+            if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
+                _finish(state, parents, n_parents, names, n_items, k, longest, support, ws, run, max_len)
+                break
+            widest = longest
+            rows = candidate_rows(state, counting, carried, widest)
+            if pair_filter is not None:
+                rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
+            totals = support.totals(rows, ["sid", "a", "b"])
+        else:
+            totals = pair_totals(state)
+        k += 1
+        totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
         level = (totals.where(support.keep).join(_broadcast_if(parents, n_parents), ["sid", "a"])
                  .join(_broadcast_if(names, n_items), "b")
-                 .select(F.monotonically_increasing_id().alias("id"), "pid", "sid", "a", "b",
+                 .select(F.monotonically_increasing_id().alias("id"), "pid", "sid", "a", "b", "pfreq",
                          F.array_append("prefix", F.col("name")).alias("items"), *support.columns()))
         level = ws.write(level, f"level-{k}")
-        n_sets = level.count()
+        n_sets, filled, cells = level.agg(_count(), F.sum("freq"), F.sum("pfreq")).first()
         run.stats.append(_stat(k, n_sets, _metrics(seen), started))
         if n_sets:
             run.tables.append(level)
@@ -319,13 +330,18 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
         if n_sets <= k or (max_len is not None and k >= max_len):
             break
         classes = extension_classes(level)
-        n_classes = min(n_sets // 2, n_parents)
-        bitmap = n_items > 128 and n_classes * ((n_items >> 6) + 1) <= BITMAP_LONGS
-        if split_local is not None:
-            classes, taken = split_local(classes)
-            run.local_states.append(
-                next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
-        state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
+        if dense:
+            heads = classes_by_prefix(classes.select("sid", "a", "pid", "ext"))
+            state = extend(state, _broadcast_if(heads, n_sets), counting.name, cell_type)
+        else:
+            bitmap = n_items > 128 and min(n_sets // 2, n_parents) * ((n_items >> 6) + 1) <= BITMAP_LONGS
+            if split_local is not None:
+                classes, taken = split_local(classes)
+                run.local_states.append(
+                    next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
+            state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
+            if not carried and split_local is None and filled >= DENSE_FROM * cells:
+                state, dense = fold(state, counting.name, counting.has_values, cell_type), True
         if k % LEVELS_PER_CUT == 0:
             state = ws.write(state, f"state-{k}")
         else:
@@ -334,7 +350,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
         if k == 2 and n_sets <= BROADCAST_SETS and n_sets < 0.4 * n_items * (n_items - 1):
             pair_filter = level.select("a", "b")
         parents = level.select(F.col("pid").alias("sid"), F.col("b").alias("a"), F.col("id").alias("pid"),
-                               F.col("items").alias("prefix"))
+                               F.col("items").alias("prefix"), F.col("freq").alias("pfreq"))
         # Only the newest two states are needed: the one read and the one built from it.
         while len(run.held) > 2 and not run.local_states:
             run.held.pop(0).unpersist()
