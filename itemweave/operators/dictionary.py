@@ -20,10 +20,11 @@ def crisp_occurrences(df: DataFrame) -> DataFrame:
     return df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull()).select("txn_id", "item").distinct()
 
 
-def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max") -> DataFrame:
+def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max", keep_absent: bool = False) -> DataFrame:
     """One membership per ``(txn_id, item)``; memberships of 0 or less mean the item is absent.
 
     ``max`` keeps the largest of several memberships; ``last`` the one at the highest ``pos``.
+    ``keep_absent`` leaves the absent ones in, for counting transactions.
     """
     require_columns(df, "txn_id", "item", "prob")
     if on_duplicate == "max":
@@ -34,25 +35,32 @@ def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max") -> DataFrame:
     else:
         raise ValueError(f"on_duplicate must be max or last, not {on_duplicate!r}")
     rows = df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull())
-    if on_duplicate == "max":
+    if on_duplicate == "max" and not keep_absent:
         rows = rows.where(F.col("prob") > 0)
-    return rows.groupBy("txn_id", "item").agg(pick.alias("prob")).where(F.col("prob") > 0)
+    rows = rows.groupBy("txn_id", "item").agg(pick.alias("prob"))
+    return rows if keep_absent else rows.where(F.col("prob") > 0)
 
 
 def transaction_count(df: DataFrame) -> int:
     return df.agg(F.count_distinct("txn_id")).first()[0]
 
 
-def resolve_threshold(value, df: DataFrame, n_transactions: int | None = None):
-    """An int (or text without a point) is a count; a float (or text with one) a proportion of the
-    number of transactions."""
+def parse_threshold(value) -> tuple[float, bool]:
+    """The number and whether it is a proportion: an int (or text without a point) is a count, a
+    float (or text with a point) a proportion of the number of transactions."""
     if isinstance(value, str):
         value = float(value) if "." in value else int(value)
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         raise ValueError(f"not a threshold: {value!r}")
-    if isinstance(value, int):
-        return value
-    return value * (n_transactions if n_transactions is not None else transaction_count(df))
+    return value, isinstance(value, float)
+
+
+def resolve_threshold(value, df: DataFrame, n_transactions: int | None = None):
+    """The threshold as a count; see :func:`parse_threshold`."""
+    number, proportion = parse_threshold(value)
+    if not proportion:
+        return number
+    return number * (n_transactions if n_transactions is not None else transaction_count(df))
 
 
 def item_dictionary(df: DataFrame, min_support=1, min_frequency: int = 1, by: str = "freq") -> DataFrame:

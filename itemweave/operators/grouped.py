@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.plans.levels import LevelRun, Support
+from itemweave.plans.levels import LevelRun
 from itemweave.plans.storage import Workspace
 
 # Send the helpers below with the job, so that workers need not have this package installed.
@@ -46,7 +46,7 @@ def _deeper(prefix: tuple[int, ...], members: list, min_support, min_frequency:
                                None if max_extra is None else max_extra - 1)
 
 
-def mine_grouped(search, occ: DataFrame, support: Support, min_support, min_frequency: int | None,
+def mine_grouped(search, occ: DataFrame, min_support, support_for, min_frequency: int | None,
                  max_len: int | None, started: float):
     """The level loop with :func:`split` and :func:`finish` attached."""
     is_double = occ.schema["prob"].dataType.typeName() == "double"
@@ -87,7 +87,9 @@ def mine_grouped(search, occ: DataFrame, support: Support, min_support, min_freq
             out.append(full)
         return out
 
-    result = search(occ, F.col("txn_id"), F.col("prob"), support, max_len, started, split, finish)
+    # The threshold is a count by now, also where a proportion made it a fraction.
+    result = search(occ, F.col("txn_id"), F.col("prob"), 0, lambda _: support_for(min_support), max_len, started,
+                    split_local=split, finish_local=finish)
     # The level statistics do not cover the classes searched depth-first.
     result.stats = []
     return result

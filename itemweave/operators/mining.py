@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from itemweave.operators.dictionary import (
     crisp_occurrences,
     fuzzy_occurrences,
+    parse_threshold,
     require_columns,
     resolve_threshold,
 )
@@ -21,6 +22,7 @@ from itemweave.plans.levels import (
     BITSET,
     CRISP,
     FUZZY,
+    Counting,
     LevelRun,
     Support,
     _broadcast_if,
@@ -60,17 +62,32 @@ def _cell_type(occ: DataFrame, support: Support) -> str:
     return next(t for t, limit in (("uint8", 2**8), ("uint16", 2**16), ("int32", 2**31), ("int64", 2**64)) if top < limit)
 
 
-def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_len: int | None,
-            started: float, split_local: Callable | None = None,
-            finish_local: Callable | None = None) -> MiningResult:
-    """Dictionary, one packing shuffle, then the level loop. ``occ`` holds one row per item and unit."""
+def _transactions(occ: DataFrame, counting: Counting) -> int:
+    """Transactions behind the cached occurrences; bitset words hold up to 64 of them."""
+    if counting is not BITSET:
+        return occ.agg(F.count_distinct("unit")).first()[0]
+    words = occ.groupBy("unit").agg(F.bit_or("m").alias("any"))
+    return words.agg(F.coalesce(F.sum(F.bit_count("any")), F.lit(0))).first()[0]
+
+
+def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_for: Callable[..., Support],
+            max_len: int | None, started: float, n_transactions: int | None = None,
+            split_local: Callable | None = None, finish_local: Callable | None = None) -> MiningResult:
+    """Dictionary, one packing shuffle, then the level loop. ``occ`` holds one row per item and unit;
+    ``support_for`` takes the threshold as a count."""
     spark = occ.sparkSession
     if max_len is not None and max_len < 1:
         raise ValueError("max_len must be at least 1")
     ws, run = Workspace(spark), LevelRun()
-    # Both the dictionary and the packing read the deduplicated rows.
-    occ = occ.select(unit.alias("unit"), "item", value.alias("m")).persist()
+    threshold, proportion = parse_threshold(min_support)
+    # The transaction count, the dictionary and the packing all read the deduplicated rows.
+    cached = occ.select(unit.alias("unit"), "item", value.alias("m")).persist()
     try:
+        if proportion:
+            counting = support_for(0).counting
+            threshold *= n_transactions if n_transactions is not None else _transactions(cached, counting)
+        support = support_for(threshold)
+        occ = cached.where(F.col("m") > 0) if support.counting is FUZZY else cached
         t0 = time.time()
         totals, seen = _observed(support.totals(occ, ["item"]), candidates=F.count(F.lit(1)), occurrences=F.sum("freq"))
         items = ws.write(totals.where(support.keep).select("item", *support.columns()), "items")
@@ -89,7 +106,7 @@ def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_l
                 run.tables.extend(finish_local(run, first, ws))
     finally:
         run.release()
-        occ.unpersist()
+        cached.unpersist()
     columns = ["items", *support.columns()]
     value_type = "double" if occ.schema["m"].dataType == T.DoubleType() and support.counting is FUZZY else "bigint"
     found = None
@@ -108,12 +125,14 @@ def _search(occ: DataFrame, unit: Column, value: Column, support: Support, max_l
 
 # --- crisp -------------------------------------------------------------------------------------
 
-def _crisp_join(df: DataFrame, min_support, max_len: int | None, started: float) -> MiningResult:
-    return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), Support(CRISP, _keep(min_support)),
-                   max_len, started)
+def _crisp_join(df: DataFrame, min_support, max_len: int | None, started: float,
+                n_transactions: int | None) -> MiningResult:
+    return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), min_support,
+                   lambda t: Support(CRISP, _keep(t)), max_len, started, n_transactions)
 
 
-def _crisp_bitset(df: DataFrame, min_support, max_len: int | None, started: float) -> MiningResult:
+def _crisp_bitset(df: DataFrame, min_support, max_len: int | None, started: float,
+                  n_transactions: int | None) -> MiningResult:
     """Words of 64 transactions by position. Ids must be whole numbers; ids without large holes fill
     the words best. Building the words also removes repeated items."""
     require_columns(df, "txn_id", "item")
@@ -123,16 +142,18 @@ def _crisp_bitset(df: DataFrame, min_support, max_len: int | None, started: floa
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), txn.bitwiseAND(F.lit(63)).cast("int"))
     words = (df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull())
              .groupBy(F.shiftright(txn, 6).alias("word"), F.col("item")).agg(F.bit_or(bit).alias("bits")))
-    return _search(words, F.col("word"), F.col("bits"), Support(BITSET, _keep(min_support)), max_len, started)
+    return _search(words, F.col("word"), F.col("bits"), min_support, lambda t: Support(BITSET, _keep(t)),
+                   max_len, started, n_transactions)
 
 
-def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: float) -> MiningResult:
+def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: float,
+                    n_transactions: int | None) -> MiningResult:
     """Spark's own parallel FP-growth. It keeps sets with at least ``ceil(ratio * n)`` transactions,
     so the ratio is taken half a transaction below the threshold."""
     from pyspark.ml.fpm import FPGrowth
 
     occ = crisp_occurrences(df)
-    whole = max(1, math.ceil(min_support))
+    whole = max(1, math.ceil(resolve_threshold(min_support, occ, n_transactions)))
     frequent = occ.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole).select("item")
     baskets = occ.join(frequent, "item").groupBy("txn_id").agg(F.collect_list("item").alias("items")).persist()
     n = baskets.count()
@@ -148,14 +169,17 @@ def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: fl
     return MiningResult(found, [], time.time() - started)
 
 
-def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: float) -> MiningResult:
+def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: float,
+                   n_transactions: int | None) -> MiningResult:
     from itemweave.operators.grouped import mine_grouped
 
     occ = crisp_occurrences(df).withColumn("prob", F.lit(1).cast("bigint"))
-    return mine_grouped(_search, occ, Support(FUZZY, _keep(min_support)), min_support, None, max_len, started)
+    threshold = resolve_threshold(min_support, df, n_transactions)
+    return mine_grouped(_search, occ, threshold, lambda t: Support(FUZZY, _keep(t)), None, max_len, started)
 
 
-# Register another engine by adding a function (df, min_support, max_len, started) -> MiningResult.
+# Register another engine by adding a function
+# (df, min_support, max_len, started, n_transactions) -> MiningResult.
 ENGINES: dict[str, Callable[..., MiningResult]] = {
     "join": _crisp_join,
     "bitset": _crisp_bitset,
@@ -174,7 +198,7 @@ def frequent_itemsets(df: DataFrame, min_support, max_len: int | None = None, en
     if engine not in ENGINES:
         raise ValueError(f"unknown engine {engine!r}; known: {sorted(ENGINES)}")
     require_columns(df, "txn_id", "item")
-    return ENGINES[engine](df, resolve_threshold(min_support, df, n_transactions), max_len, started)
+    return ENGINES[engine](df, min_support, max_len, started, n_transactions)
 
 
 # --- fuzzy -------------------------------------------------------------------------------------
@@ -189,15 +213,17 @@ def fuzzy_frequent_itemsets(df: DataFrame, min_support, min_frequency: int | Non
     ``prob``; supports are divided by ``scaling_factor`` in the result.
     """
     started = time.time()
-    occ = fuzzy_occurrences(df, on_duplicate)
-    threshold = resolve_threshold(min_support, df, n_transactions)
-    support = Support(FUZZY, _keep(threshold, min_frequency))
     if engine == "join":
-        result = _search(occ, F.col("txn_id"), F.col("prob"), support, max_len, started)
+        # A proportion needs the transactions whose items are all absent as well.
+        count_all = parse_threshold(min_support)[1] and n_transactions is None
+        result = _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all), F.col("txn_id"), F.col("prob"),
+                         min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions)
     elif engine == "grouped":
         from itemweave.operators.grouped import mine_grouped
 
-        result = mine_grouped(_search, occ, support, threshold, min_frequency, max_len, started)
+        threshold = resolve_threshold(min_support, df, n_transactions)
+        result = mine_grouped(_search, fuzzy_occurrences(df, on_duplicate), threshold,
+                              lambda t: Support(FUZZY, _keep(t, min_frequency)), min_frequency, max_len, started)
     else:
         raise ValueError(f"unknown engine {engine!r}; known: ['grouped', 'join']")
     return result.rescaled(scaling_factor)
@@ -222,7 +248,7 @@ def fuzzy_periodic_frequent_itemsets(df: DataFrame, min_support, min_periodic_fr
     low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
     if low is None:
         low = high = 0
-    occ = fuzzy_occurrences(df, on_duplicate)
-    support = PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, (low, high))
-    result = _search(occ, F.col("txn_id").cast("bigint"), F.col("prob"), support, max_len, started)
+    result = _search(
+        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint"), F.col("prob"), 0,
+        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, (low, high)), max_len, started)
     return result.rescaled(scaling_factor)

@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Share of filled cells from which matrices pay off.
 DENSE_FROM = 0.05
+#: Occurrences of frequent sets in a level from which starting Python workers pays off.
+FOLD_FROM = 1_000_000
 #: Values gathered from incoming rows before they are folded.
 FOLD_VALUES = 1_000_000
 #: Bytes of one matrix row of the table, so that a batch of them stays small.

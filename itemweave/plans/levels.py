@@ -23,7 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from itemweave.plans.blocks import DENSE_FROM, classes_by_prefix, extend, fold, pair_totals
+from itemweave.plans.blocks import DENSE_FROM, FOLD_FROM, classes_by_prefix, extend, fold, pair_totals
 from itemweave.plans.numbering import number_rows
 from itemweave.plans.storage import Workspace
 
@@ -340,7 +340,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
                 run.local_states.append(
                     next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
             state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
-            if not carried and split_local is None and filled >= DENSE_FROM * cells:
+            if not carried and split_local is None and filled >= max(FOLD_FROM, DENSE_FROM * cells):
                 state, dense = fold(state, counting.name, counting.has_values, cell_type), True
         if k % LEVELS_PER_CUT == 0:
             state = ws.write(state, f"state-{k}")

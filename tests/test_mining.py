@@ -60,6 +60,7 @@ def plan(request, monkeypatch):
     into head ranges and written at every level."""
     monkeypatch.setattr(levels, "SUBSETS_PER_TASK", 10**9 if request.param == "one_pass" else 0)
     monkeypatch.setattr(levels, "DENSE_FROM", 0.0 if request.param == "blocks" else 2.0)
+    monkeypatch.setattr(levels, "FOLD_FROM", 0)
     if request.param == "cut":
         monkeypatch.setattr(levels, "HEADS_PER_ROW", 2)
         monkeypatch.setattr(levels, "LEVELS_PER_CUT", 1)
@@ -88,6 +89,7 @@ def test_crisp_every_plan(spark, plan, engine):
 def test_bitset_uses_the_top_bit(spark, monkeypatch):
     monkeypatch.setattr(levels, "SUBSETS_PER_TASK", 0)
     monkeypatch.setattr(levels, "DENSE_FROM", 0.0)
+    monkeypatch.setattr(levels, "FOLD_FROM", 0)
     rows = [(t, i, 1) for t, i, _ in random_rows(2, n_txn=200, n_items=7, density=0.9)]
     assert table(iw.frequent_itemsets(crisp_frame(spark, rows), 5, engine="bitset")) == brute(rows, 5)
 
