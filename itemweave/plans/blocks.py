@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 # Send the helpers below with the job, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Share of filled cells from which matrices pay off.
+#: Share of filled cells from which matrices pay off: within prefixes, and within whole units.
 DENSE_FROM = 0.05
+DENSE_UNITS_FROM = 0.05
 #: Occurrences of frequent sets in a level from which starting Python workers pays off.
 FOLD_FROM = 1_000_000
 #: Values gathered from incoming rows before they are folded.

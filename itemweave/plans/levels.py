@@ -23,7 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from itemweave.plans.blocks import DENSE_FROM, FOLD_FROM, classes_by_prefix, extend, fold, pair_totals
+from itemweave.plans.blocks import DENSE_FROM, DENSE_UNITS_FROM, FOLD_FROM, classes_by_prefix, extend, fold, pair_totals
 from itemweave.plans.numbering import number_rows
 from itemweave.plans.storage import Workspace
 
@@ -223,11 +223,13 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
     return heads.select(*cols, *carried)
 
 
-def _remaining(state: DataFrame) -> tuple[float, int]:
-    """Number of subsets of all rows together, and the longest row; computes the state as well."""
+def _remaining(state: DataFrame) -> tuple[float, int, int, int]:
+    """Number of subsets of all rows together, the longest row, the values and the rows; computes the
+    state as well."""
     size = F.size("r")
-    total, longest = state.agg(F.sum(F.pow(F.lit(2.0), size)), F.max(size)).first()
-    return total or 0.0, longest or 0
+    total, longest, values, rows = state.agg(
+        F.sum(F.pow(F.lit(2.0), size)), F.max(size), F.sum(size), F.count(F.lit(1))).first()
+    return total or 0.0, longest or 0, values or 0, rows
 
 
 def subset_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...], limit: int) -> DataFrame:
@@ -288,8 +290,9 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
          run: LevelRun, max_len: int | None, cell_type: str,
          split_local: Callable | None = None) -> LevelRun:
     """Levels 2 and up. ``first`` is the ranked dictionary ``(rank, item, ...)``; ``units`` the packed
-    level-1 state. ``cell_type`` is the numpy type that holds any value. ``split_local(classes)`` may take over prefix classes that are small enough to
-    finish in one task each; it returns the classes that stay in the loop and the ones it takes."""
+    level-1 state; ``cell_type`` the numpy type that holds any value. ``split_local(classes)`` may
+    take over prefix classes small enough to finish in one task each; it returns the classes that stay
+    in the loop and those it takes."""
     counting, carried = support.counting, support.carried
     names = first.select(F.col("rank").alias("b"), F.col("item").alias("name"))
     parents = first.select(F.lit(0).cast("bigint").alias("sid"), F.col("rank").alias("a"),
@@ -302,19 +305,24 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
     while n_parents > k and (max_len is None or k < max_len):
         started = time.time()
         if not dense:
-            subsets, longest = _remaining(state)
+            subsets, longest, values, n_rows = _remaining(state)
             if longest == 0:
                 break
             if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
                 _finish(state, parents, n_parents, names, n_items, k, longest, support, ws, run, max_len)
                 break
             widest = longest
+            if k == 1 and not carried and split_local is None \
+                    and values >= max(FOLD_FROM, DENSE_UNITS_FROM * n_rows * n_items):
+                state, dense = fold(state, counting.name, counting.has_values, cell_type).persist(), True
+                run.held.append(state)
+        if dense:
+            totals = pair_totals(state)
+        else:
             rows = candidate_rows(state, counting, carried, widest)
             if pair_filter is not None:
                 rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
             totals = support.totals(rows, ["sid", "a", "b"])
-        else:
-            totals = pair_totals(state)
         k += 1
         totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
         level = (totals.where(support.keep).join(_broadcast_if(parents, n_parents), ["sid", "a"])

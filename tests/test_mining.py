@@ -54,17 +54,18 @@ def random_rows(seed, n_txn=60, n_items=9, density=0.5, top=20):
             if rng.random() < density * (i + 2) / n_items]
 
 
-@pytest.fixture(params=["rows", "blocks", "one_pass", "cut"])
+@pytest.fixture(params=["rows", "blocks", "blocks_at_once", "one_pass", "cut"])
 def plan(request, monkeypatch):
     """Force each way the loop can go on: rows, matrices, a single pass, and states that are split
     into head ranges and written at every level."""
     monkeypatch.setattr(levels, "SUBSETS_PER_TASK", 10**9 if request.param == "one_pass" else 0)
     monkeypatch.setattr(levels, "DENSE_FROM", 0.0 if request.param == "blocks" else 2.0)
+    monkeypatch.setattr(levels, "DENSE_UNITS_FROM", 0.0 if request.param == "blocks_at_once" else 2.0)
     monkeypatch.setattr(levels, "FOLD_FROM", 0)
     if request.param == "cut":
         monkeypatch.setattr(levels, "HEADS_PER_ROW", 2)
         monkeypatch.setattr(levels, "LEVELS_PER_CUT", 1)
-    if request.param == "blocks":
+    if request.param.startswith("blocks"):
         monkeypatch.setattr(blocks, "CELL_BYTES", 64)
         monkeypatch.setattr(blocks, "PAIR_CELLS", 100)
     return request.param
