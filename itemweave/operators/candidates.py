@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemweave.operators.dictionary import crisp_occurrences, fuzzy_occurrences
-from itemweave.plans.levels import BROADCAST_SETS, RANK_IN_ONE_TASK, pack_units, rank_items
+from itemweave.plans.levels import broadcast_if, pack_units, rank_items, text_bytes
 from itemweave.plans.storage import Workspace
 
 #: Sets sharing a prefix that one task pairs with a single partner range.
@@ -48,17 +48,15 @@ def count_support(df: DataFrame, itemsets: DataFrame, fuzzy: bool = False) -> Da
         F.col("txn_id").alias("unit"), "item", F.col("prob").alias("m") if fuzzy else F.lit(1).alias("m")).persist()
     try:
         items = ws.write(occ.groupBy("item").agg(F.count(F.lit(1)).alias("freq")), "wanted-items")
-        n_items = items.count()
+        n_items, item_text = items.agg(F.count(F.lit(1)), text_bytes(F.col("item"))).first()
         ranked = rank_items(items, n_items, [F.col("freq"), F.col("item")], ws).select("item", "rank")
-        if n_items <= RANK_IN_ONE_TASK:
-            ranked = F.broadcast(ranked)
+        ranked = broadcast_if(ranked, n_items, item_text)
         coded = (sets.select("items", F.explode("items").alias("item")).join(ranked, "item")
                  .groupBy("items").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
                  .where(F.size("ranks") == F.size("items"))
                  .select("items", "ranks", F.get("ranks", F.lit(0)).alias("anchor")))
         coded = ws.write(coded, "coded-sets")
-        if coded.count() <= BROADCAST_SETS:
-            coded = F.broadcast(coded)
+        coded = broadcast_if(coded, *coded.agg(F.count(F.lit(1)), text_bytes(F.array_join("items", ","))).first())
         units = pack_units(occ.join(ranked, "item"), fuzzy, shortest=1)
         hits = (units.withColumn("anchor", F.explode("r")).join(coded, "anchor")
                 .where(F.forall("ranks", lambda x: F.array_contains("r", x))))

@@ -25,13 +25,14 @@ from itemweave.plans.levels import (
     Counting,
     LevelRun,
     Support,
-    _broadcast_if,
     _metrics,
     _observed,
     _stat,
+    broadcast_if,
     grow,
     pack_units,
     rank_items,
+    text_bytes,
 )
 from itemweave.plans.periodic import PeriodicSupport
 from itemweave.plans.storage import Workspace
@@ -91,7 +92,7 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
         t0 = time.time()
         totals, seen = _observed(support.totals(occ, ["item"]), candidates=F.count(F.lit(1)), occurrences=F.sum("freq"))
         items = ws.write(totals.where(support.keep).select("item", *support.columns()), "items")
-        n_items = items.count()
+        n_items, item_text = items.agg(F.count(F.lit(1)), text_bytes(F.col("item"))).first()
         run.stats.append(_stat(1, n_items, _metrics(seen), t0))
         if n_items:
             run.tables.append(items.select(F.array("item").alias("items"), *support.columns()))
@@ -99,9 +100,9 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
             # Rare items first keeps the later parts of a unit, and so the next states, small.
             first = rank_items(items, n_items, [F.col("freq"), F.col("item")], ws)
             names = first.select("item", "rank")
-            rows = occ.join(_broadcast_if(names, n_items), "item").select("unit", "rank", "m")
+            rows = occ.join(broadcast_if(names, n_items, item_text), "item").select("unit", "rank", "m")
             units = pack_units(rows, support.counting.has_values, support.carried).persist()
-            grow(units, first, n_items, support, ws, run, max_len, _cell_type(occ, support), split_local)
+            grow(units, first, n_items, item_text, support, ws, run, max_len, _cell_type(occ, support), split_local)
             if run.local_states:
                 run.tables.extend(finish_local(run, first, ws))
     finally:
@@ -166,6 +167,8 @@ def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: fl
         F.col("freq").alias("support"), F.col("freq").alias("freq"))
     if max_len is not None:
         found = found.where(F.col("length") <= max_len)
+    found = Workspace(df.sparkSession).write(found, "found")
+    baskets.unpersist()
     return MiningResult(found, [], time.time() - started)
 
 

@@ -27,9 +27,10 @@ from itemweave.plans.blocks import DENSE_FROM, DENSE_UNITS_FROM, FOLD_FROM, clas
 from itemweave.plans.numbering import number_rows
 from itemweave.plans.storage import Workspace
 
-# A table of frequent sets up to this many rows is broadcast (under 100 bytes a row); a larger one
-# is left to Spark, which shuffles and splits skewed keys.
+# A table of sets is broadcast up to this many rows and bytes of item text, both counted first; a
+# larger one is left to Spark, which shuffles and splits skewed keys.
 BROADCAST_SETS = 2_000_000
+BROADCAST_TEXT = 256 * 2**20
 # Heads per row before a long unit is cut and spread over tasks.
 HEADS_PER_ROW = 2_048
 # Longs in all extension bitmaps of a level together (32 MB) before lists are used instead.
@@ -125,8 +126,14 @@ def rank_items(items: DataFrame, n_items: int, order: list[Column], ws: Workspac
     return number_rows(items, order, "rank", workspace=ws).withColumn("rank", F.col("rank").cast("int"))
 
 
-def _broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_SETS else df
+def broadcast_if(df: DataFrame, rows: int, text: int = 0) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` and bytes of ``text`` are small enough."""
+    return F.broadcast(df) if rows <= BROADCAST_SETS and text <= BROADCAST_TEXT else df
+
+
+def text_bytes(col: Column) -> Column:
+    """Bytes of item text, one item or a list per row."""
+    return F.coalesce(F.sum(F.octet_length(col)), F.lit(0))
 
 
 def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
@@ -206,7 +213,7 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
             return F.array_contains("ext", rank)
 
     heads = _heads(state, widest).withColumn("a", F.get("r", F.col("i")))
-    heads = heads.join(_broadcast_if(classes.select("sid", "a", "pid", "ext"), n_sets), ["sid", "a"])
+    heads = heads.join(broadcast_if(classes.select("sid", "a", "pid", "ext"), n_sets), ["sid", "a"])
     later = F.sequence(F.col("i") + 1, F.size("r") - 1)
 
     def keep(j: Column) -> Column:
@@ -257,9 +264,9 @@ def subset_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...],
     return rows.where(F.size("s.p") > 1).select("sid", F.col("s.p").alias("p"), *carried, m.alias("m"))
 
 
-def _finish(state: DataFrame, parents: DataFrame, n_parents: int, names: DataFrame, n_items: int, k: int,
-            longest: int, support: Support, ws: Workspace, run: LevelRun, max_len: int | None) -> None:
-    """Count everything above level k in one pass over rows whose subsets are few."""
+def _finish(state: DataFrame, parents: DataFrame, names: DataFrame, k: int, longest: int, support: Support, ws: Workspace, run: LevelRun, max_len: int | None) -> None:
+    """Count everything above level k in one pass over rows whose subsets are few. ``parents`` and
+    ``names`` come marked for broadcast where they are small."""
     limit = longest if max_len is None else min(longest, max_len - k + 1)
     started = time.time()
     totals = support.totals(subset_rows(state, support.counting, support.carried, limit), ["sid", "p"])
@@ -270,11 +277,11 @@ def _finish(state: DataFrame, parents: DataFrame, n_parents: int, names: DataFra
         **{f"occurrences{n}": F.sum(F.when(c, F.col("freq"))) for n, c in of_size.items()})
     found = totals.where(support.keep)
     tails = (found.select("sid", "p", *support.columns(), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("pos", "b"))
-             .join(_broadcast_if(names, n_items), "b")
+             .join(names, "b")
              .groupBy("sid", "p", *support.columns())
              .agg(F.array_sort(F.collect_list(F.struct("pos", "name")))["name"].alias("tail"))
              .withColumn("a", F.get("p", F.lit(0))))
-    full = tails.join(_broadcast_if(parents, n_parents), ["sid", "a"]).select(
+    full = tails.join(parents, ["sid", "a"]).select(
         F.concat("prefix", "tail").alias("items"), *support.columns())
     table = ws.write(full, f"above-{k}")
     counts = dict(table.groupBy(F.size("items")).count().collect())
@@ -286,18 +293,19 @@ def _finish(state: DataFrame, parents: DataFrame, n_parents: int, names: DataFra
     run.tables.append(table)
 
 
-def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws: Workspace,
+def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, support: Support, ws: Workspace,
          run: LevelRun, max_len: int | None, cell_type: str,
          split_local: Callable | None = None) -> LevelRun:
     """Levels 2 and up. ``first`` is the ranked dictionary ``(rank, item, ...)``; ``units`` the packed
-    level-1 state; ``cell_type`` the numpy type that holds any value. ``split_local(classes)`` may
+    level-1 state; ``item_text`` the bytes of all items; ``cell_type`` the numpy type that holds any value. ``split_local(classes)`` may
     take over prefix classes small enough to finish in one task each; it returns the classes that stay
     in the loop and those it takes."""
     counting, carried = support.counting, support.carried
-    names = first.select(F.col("rank").alias("b"), F.col("item").alias("name"))
+    names = broadcast_if(first.select(F.col("rank").alias("b"), F.col("item").alias("name")), n_items, item_text)
     parents = first.select(F.lit(0).cast("bigint").alias("sid"), F.col("rank").alias("a"),
                            F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"),
                            F.col("freq").alias("pfreq"))
+    parents = broadcast_if(parents, n_items, item_text)
     n_parents, pair_filter, state, k = n_items, None, units, 1
     run.held.append(state)
     one_pass = SUBSETS_PER_TASK * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -309,7 +317,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
             if longest == 0:
                 break
             if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
-                _finish(state, parents, n_parents, names, n_items, k, longest, support, ws, run, max_len)
+                _finish(state, parents, names, k, longest, support, ws, run, max_len)
                 break
             widest = longest
             if k == 1 and not carried and split_local is None \
@@ -325,12 +333,12 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
             totals = support.totals(rows, ["sid", "a", "b"])
         k += 1
         totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
-        level = (totals.where(support.keep).join(_broadcast_if(parents, n_parents), ["sid", "a"])
-                 .join(_broadcast_if(names, n_items), "b")
+        level = (totals.where(support.keep).join(parents, ["sid", "a"]).join(names, "b")
                  .select(F.monotonically_increasing_id().alias("id"), "pid", "sid", "a", "b", "pfreq",
                          F.array_append("prefix", F.col("name")).alias("items"), *support.columns()))
         level = ws.write(level, f"level-{k}")
-        n_sets, filled, cells = level.agg(_count(), F.sum("freq"), F.sum("pfreq")).first()
+        n_sets, filled, cells, text = level.agg(
+            _count(), F.sum("freq"), F.sum("pfreq"), text_bytes(F.array_join("items", ","))).first()
         run.stats.append(_stat(k, n_sets, _metrics(seen), started))
         if n_sets:
             run.tables.append(level)
@@ -340,7 +348,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
         classes = extension_classes(level)
         if dense:
             heads = classes_by_prefix(classes.select("sid", "a", "pid", "ext"))
-            state = extend(state, _broadcast_if(heads, n_sets), counting.name, cell_type)
+            state = extend(state, broadcast_if(heads, n_sets), counting.name, cell_type)
         else:
             bitmap = n_items > 128 and min(n_sets // 2, n_parents) * ((n_items >> 6) + 1) <= BITMAP_LONGS
             if split_local is not None:
@@ -359,6 +367,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, support: Support, ws:
             pair_filter = level.select("a", "b")
         parents = level.select(F.col("pid").alias("sid"), F.col("b").alias("a"), F.col("id").alias("pid"),
                                F.col("items").alias("prefix"), F.col("freq").alias("pfreq"))
+        parents = broadcast_if(parents, n_sets, text)
         # Only the newest two states are needed: the one read and the one built from it.
         while len(run.held) > 2 and not run.local_states:
             run.held.pop(0).unpersist()

@@ -50,27 +50,27 @@ def as_text(result: iw.MiningResult, *more: str) -> DataFrame:
 
 # --- miners ------------------------------------------------------------------------------------
 
-_CRISP = sets_sql(BASKET, 4, "0.004 * (SELECT n FROM n)", crisp=True)
+_CRISP = sets_sql(BASKET, 5, "0.004 * (SELECT n FROM n)", crisp=True)
 
 
 @query("crisp_join", _CRISP)
 def crisp_join(spark, d):
-    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, max_len=4))
+    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004))
 
 
 @query("crisp_bitset", _CRISP)
 def crisp_bitset(spark, d):
-    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, max_len=4, engine="bitset"))
+    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="bitset"))
 
 
 @query("crisp_fpgrowth", _CRISP)
 def crisp_fpgrowth(spark, d):
-    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, max_len=4, engine="fpgrowth"))
+    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="fpgrowth"))
 
 
 @query("crisp_grouped", _CRISP)
 def crisp_grouped(spark, d):
-    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, max_len=4, engine="grouped"))
+    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="grouped"))
 
 
 @query("crisp_userday", sets_sql(USERDAY, 5, "0.005 * (SELECT n FROM n)", crisp=True))
@@ -78,32 +78,38 @@ def crisp_userday(spark, d):
     return as_text(iw.frequent_itemsets(userday(spark, d), 0.005))
 
 
-@query("crisp_words", sets_sql(WORDS, 3, "0.3 * (SELECT n FROM n)", crisp=True, prune="0.3 * (SELECT n FROM n)"))
+@query("crisp_words", sets_sql(WORDS, 6, "0.45 * (SELECT n FROM n)", crisp=True, prune="0.45 * (SELECT n FROM n)"))
 def crisp_words(spark, d):
-    return as_text(iw.frequent_itemsets(words(spark, d), 0.3, max_len=3))
+    return as_text(iw.frequent_itemsets(words(spark, d), 0.45))
 
 
-@query("crisp_words_bitset", sets_sql(WORDS, 2, "0.1 * (SELECT n FROM n)", crisp=True, prune="0.1 * (SELECT n FROM n)"))
+@query("crisp_words_bitset", sets_sql(WORDS, 8, "0.4 * (SELECT n FROM n)", crisp=True, prune="0.4 * (SELECT n FROM n)"))
 def crisp_words_bitset(spark, d):
-    return as_text(iw.frequent_itemsets(words(spark, d), 0.1, max_len=2, engine="bitset"))
+    return as_text(iw.frequent_itemsets(words(spark, d), 0.4, engine="bitset"))
 
 
-_FUZZY = sets_sql(BASKET, 4, "0.01 * (SELECT n FROM n)")
+@query("crisp_words_pairs", sets_sql(WORDS, 2, "0.05 * (SELECT n FROM n)", crisp=True, prune="0.05 * (SELECT n FROM n)"))
+def crisp_words_pairs(spark, d):
+    """Which words go together: pairs are the question, so the length is limited to 2."""
+    return as_text(iw.frequent_itemsets(words(spark, d), 0.05, max_len=2))
+
+
+_FUZZY = sets_sql(BASKET, 5, "0.01 * (SELECT n FROM n)")
 
 
 @query("fuzzy_fixed", _FUZZY)
 def fuzzy_fixed(spark, d):
-    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, max_len=4))
+    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01))
 
 
 @query("fuzzy_grouped", _FUZZY)
 def fuzzy_grouped(spark, d):
-    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, max_len=4, engine="grouped"))
+    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, engine="grouped"))
 
 
-@query("fuzzy_dual", sets_sql(BASKET, 4, "0.01 * (SELECT n FROM n)", frequency="50"))
+@query("fuzzy_dual", sets_sql(BASKET, 5, "0.01 * (SELECT n FROM n)", frequency="50"))
 def fuzzy_dual(spark, d):
-    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, min_frequency=50, max_len=4))
+    return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, min_frequency=50))
 
 
 @query("fuzzy_scaled", sets_sql(USERDAY, 5, "50 * (SELECT n FROM n)", scale=100))
@@ -119,21 +125,19 @@ def fuzzy_floating(spark, d):
     return found.withColumn("support", F.round("support", 4))
 
 
-@query("fuzzy_last_duplicate", """WITH o AS (SELECT l_orderkey AS txn_id, p_brand AS item,
-arg_max(CAST(round(l_discount * 100) AS BIGINT), l_linenumber * 100 + CAST(round(l_discount * 100) AS BIGINT)) AS m
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-SELECT item AS items, 1 AS length, CAST(sum(m) AS BIGINT) AS support, CAST(count(*) AS BIGINT) AS freq
-FROM o WHERE m > 0 GROUP BY 1
-UNION ALL SELECT a.item || ',' || b.item, 2, CAST(sum(least(a.m, b.m)) AS BIGINT), CAST(count(*) AS BIGINT)
-FROM o a JOIN o b ON a.txn_id = b.txn_id AND a.item < b.item WHERE a.m > 0 AND b.m > 0 GROUP BY 1
-HAVING sum(least(a.m, b.m)) >= 1""")
+_LAST = """SELECT l_orderkey AS txn_id, p_brand AS item, arg_max(CAST(round(l_discount * 100) AS BIGINT),
+l_linenumber * 100 + CAST(round(l_discount * 100) AS BIGINT)) AS prob
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
+
+
+@query("fuzzy_last_duplicate", sets_sql(_LAST, 5, "0.01 * (SELECT n FROM n)"))
 def fuzzy_last_duplicate(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand")
     df = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("txn_id"), F.col("p_brand").alias("item"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("prob"),
         (F.col("l_linenumber") * 100 + F.round(F.col("l_discount") * 100).cast("bigint")).alias("pos"))
-    return as_text(iw.fuzzy_frequent_itemsets(df, 1, max_len=2, on_duplicate="last"))
+    return as_text(iw.fuzzy_frequent_itemsets(df, 0.01, on_duplicate="last"))
 
 
 @query("periodic_hours", sets_sql(HOURS, 5, "1", gap=2, periodic=100))
@@ -141,14 +145,14 @@ def periodic_hours(spark, d):
     return as_text(iw.fuzzy_periodic_frequent_itemsets(hours(spark, d), 1, 100, 2), "periodic_freq")
 
 
-@query("periodic_fuzzy_basket", sets_sql(BASKET, 2, "0.01 * (SELECT n FROM n)", gap=40, periodic=150))
+@query("periodic_fuzzy_basket", sets_sql(BASKET, 3, "0.01 * (SELECT n FROM n)", gap=40, periodic=150))
 def periodic_fuzzy_basket(spark, d):
-    return as_text(iw.fuzzy_periodic_frequent_itemsets(basket(spark, d), 0.01, 150, 40, max_len=2), "periodic_freq")
+    return as_text(iw.fuzzy_periodic_frequent_itemsets(basket(spark, d), 0.01, 150, 40), "periodic_freq")
 
 
 @query("replicated_mining", "SELECT items, length, support * 3 AS support, freq * 3 AS freq FROM (" + _FUZZY + ")")
 def replicated_mining(spark, d):
-    return as_text(iw.fuzzy_frequent_itemsets(prepare.replicate(basket(spark, d), 3), 0.01, max_len=4))
+    return as_text(iw.fuzzy_frequent_itemsets(prepare.replicate(basket(spark, d), 3), 0.01))
 
 
 # --- dictionary, candidates, counting ----------------------------------------------------------
@@ -302,11 +306,11 @@ def read_index_parquet(spark, d):
     return readers.load_transactions(spark, path, fuzzy=True)
 
 
-@query("frame_input", sets_sql(USERDAY, 3, "50 * (SELECT n FROM n)"))
+@query("frame_input", sets_sql(USERDAY, 5, "50 * (SELECT n FROM n)"))
 def frame_input(spark, d):
     rows = dic.fuzzy_occurrences(userday(spark, d)).groupBy("txn_id").agg(
         F.collect_list("item").alias("Transactions"), F.collect_list("prob").alias("fuzzyValues"))
-    return as_text(iw.fuzzy_frequent_itemsets(readers.from_lists(rows), 50.0, max_len=3))
+    return as_text(iw.fuzzy_frequent_itemsets(readers.from_lists(rows), 50.0))
 
 
 _ORDER_LINES = """SELECT l_orderkey AS row_index, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS vals
@@ -440,14 +444,14 @@ def replicate(spark, d):
 
 
 _WIDE = """SELECT o_orderkey AS line_id, nullif(o_orderstatus, 'F') AS c0, o_orderpriority AS c1,
-CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS c2 FROM orders"""
+CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS c2 FROM orders"""
 
 
 def _wide(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("line_id"), F.nullif("o_orderstatus", F.lit("F")).alias("c0"),
         F.col("o_orderpriority").alias("c1"),
-        F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.col("o_custkey").cast("string")).alias("c2"))
+        F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_custkey").cast("string")).alias("c2"))
 
 
 _SPARSE3 = f"""SELECT line_id, 0 AS col, c0 AS item FROM ({_WIDE}) WHERE c0 <> '' UNION ALL
@@ -585,5 +589,5 @@ def threshold_sweep(spark, d):
     df = basket(spark, d)
     n = dic.transaction_count(df)
     steps = [math.ceil(f * n) for f in _SWEEP]
-    result = iw.frequent_itemsets(df, min(steps), max_len=4)
+    result = iw.frequent_itemsets(df, min(steps))
     return exp.threshold_sweep(result, steps)
