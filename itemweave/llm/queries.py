@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from itemweave.llm.common import table
+from itemweave.llm.jaccard import jaccard_components
 from itemweave.llm.packing import pack
 from itemweave.llm.quality import quality_scores
 
@@ -37,3 +38,8 @@ def op4_packing(spark, sf_dir):
 @query("op7_quality")
 def op7_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op10_jaccard")
+def op10_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
