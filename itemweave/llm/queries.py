@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from itemweave.llm.common import table
 from itemweave.llm.jaccard import jaccard_components
+from itemweave.llm.line_dedup import line_dedup
 from itemweave.llm.packing import pack
 from itemweave.llm.quality import quality_scores
 
@@ -43,3 +45,30 @@ def op7_quality(spark, sf_dir):
 @query("op10_jaccard")
 def op10_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
+_OP1 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+l AS (SELECT doc_id, pos, ls[pos] AS line FROM p WHERE regexp_matches(ls[pos], '[^\x20\x09-\x0D]')),
+x AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS o FROM l GROUP BY line),
+h AS (SELECT *, unnest(list_distinct([(n // 2)::BIGINT, ((n - 1) // 2)::BIGINT])) AS h FROM x WHERE n >= 20),
+k AS (SELECT *, 'p' AS side, left(line, h) AS k FROM h UNION ALL SELECT *, 's', right(line, h) FROM h),
+c AS (SELECT DISTINCT a.line AS x, a.n AS n, b.line AS y, b.n AS m FROM k a JOIN k b
+      ON a.side = b.side AND a.h = b.h AND a.k = b.k AND b.o < a.o AND abs(a.n - b.n) <= 1),
+i AS (SELECT *, coalesce(list_min(list_filter(range(1, least(n, m) + 1), lambda j: x[j] <> y[j])), least(n, m) + 1) AS i FROM c),
+r AS (SELECT DISTINCT x FROM i WHERE (n = m AND substr(x, i + 1) = substr(y, i + 1))
+      OR (n = m + 1 AND substr(x, i + 1) = substr(y, i)) OR (m = n + 1 AND substr(x, i) = substr(y, i + 1))),
+s AS (SELECT l.doc_id, l.pos, l.line FROM l JOIN x ON l.line = x.line AND (l.doc_id, l.pos) = x.o
+      WHERE l.line NOT IN (SELECT x FROM r)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(n.n, 0) - coalesce(t.n, 0) AS n_removed,
+       sha256(coalesce(t.text, '')) AS kept_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN t ON t.doc_id = documents.doc_id
+"""
+
+
+@query("op1_line_dedup", _OP1)
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
