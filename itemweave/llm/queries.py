@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemweave.llm.common import table
+from itemweave.llm.decontam import UNITS, leaks
 from itemweave.llm.jaccard import jaccard_components
 from itemweave.llm.line_dedup import line_dedup
 from itemweave.llm.packing import pack
@@ -72,3 +73,41 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN t ON t.doc_id = documents.do
 @query("op1_line_dedup", _OP1)
 def op1_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _canonical_sql(name: str, key: str) -> str:
+    """CTEs for the windows of a table: (key, place, h as the text of the window, slots, literals)."""
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    number = "regexp_matches({w}, '^[0-9]+([-/%][0-9]*)*$')"
+    return f"""
+{name}_m AS (SELECT DISTINCT {key}, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), '.!?,;:"()[]{{}}“”„«»', repeat(chr(1), 3)), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS m FROM {name}),
+{name}_r AS (SELECT {key}, m, list_transform(m, lambda w: replace(w, chr(1), '')) AS r FROM {name}_m),
+{name}_c AS (SELECT {key}, r, list_transform(r, lambda w, i: CASE
+    WHEN {number.format(w="w")} THEN '<n>'
+    WHEN i > 1 AND {number.format(w="r[i - 1]")} AND list_contains([{units}], lower(w)) THEN '<u>'
+    WHEN lower(w) <> w AND i > 1 AND NOT ends_with(m[i - 1], chr(1)) THEN '<a>'
+    ELSE lower(w) END) AS c FROM {name}_r),
+{name}_p AS (SELECT {key}, unnest(list_transform(range(1, len(c) - 6), lambda p: {{'place': p,
+    'h': array_to_string(c[p:p + 7], ' '),
+    'slots': list_transform(list_filter(range(p, p + 8), lambda k: c[k] IN ('<n>', '<u>', '<a>')), lambda k: lower(r[k]))}})) AS w FROM {name}_c),
+{name}_w AS (SELECT {key}, w.place AS place, w.h AS h, w.slots AS slots FROM {name}_p)"""
+
+
+_OP8 = f"""
+WITH {_canonical_sql("documents", "doc_id")}, {_canonical_sql("benchmark", "item_id")},
+t AS (SELECT *, count(DISTINCT place) OVER (PARTITION BY item_id) AS n_windows FROM benchmark_w WHERE len(slots) <= 4),
+met AS (SELECT DISTINCT d.doc_id, t.item_id, t.n_windows, t.place, d.place - t.place AS shift, t.slots AS a, d.slots AS b
+        FROM documents_w d JOIN t ON d.h = t.h),
+v AS (SELECT doc_id, item_id, shift, unnest(list_zip(a, b)) AS v FROM met),
+g AS (SELECT doc_id, item_id, shift, v[1] AS slot, min(v[2]) AS lo, max(v[2]) AS hi FROM v GROUP BY ALL),
+s AS (SELECT doc_id, item_id, shift, bool_or(lo <> hi) AS mixed, sum((slot <> lo)::INT)::BIGINT AS n_changed FROM g GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, count(DISTINCT place) AS n_matched, coalesce(max(n_changed), 0) AS n_changed
+FROM met LEFT JOIN s USING (doc_id, item_id, shift) WHERE NOT coalesce(mixed, false)
+GROUP BY doc_id, item_id, n_windows HAVING 100 * count(DISTINCT place) >= 50 * n_windows
+"""
+
+
+@query("op8_decontamination", _OP8)
+def op8_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
