@@ -63,6 +63,16 @@ def words(text: Column) -> Column:
     return F.when(trimmed != "", F.split(trimmed, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly computed columns as they stand.
+
+    A plain filter is pushed below the projections by copying their expressions into it, also into the bodies of array
+    functions, where they run once an element. A column that Spark takes for non-deterministic stops that.
+    """
+    return (df.withColumn("__fence", F.monotonically_increasing_id())
+            .where(condition & (F.col("__fence") >= 0)).drop("__fence"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a saved table of narrow rows for broadcast if its count is within the bound; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.llm.common import Scratch, words
+from itemweave.llm.common import Scratch, where_computed, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -133,7 +133,7 @@ def fit_votes(counts: dict[str, int], rounds: int = 50) -> VoteModel:
 
 def fit(features: DataFrame) -> VoteModel:
     """Fit on every document that passes the base test; at most 3^8 rows reach the driver."""
-    rows = features.where(~base_failed()).groupBy(votes().alias("v")).count().collect()
+    rows = where_computed(features, ~base_failed()).groupBy(votes().alias("v")).count().collect()
     return fit_votes({r["v"]: r["count"] for r in rows})
 
 
@@ -164,4 +164,4 @@ def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
     features = base_columns(packed, "__text")
     model = fit(features.drop("__row"))
-    return with_posterior(features, model).where("kept").select("__row.*")
+    return where_computed(with_posterior(features, model), F.col("kept")).select("__row.*")
