@@ -11,6 +11,7 @@ from itemweave.llm.common import table
 from itemweave.llm.decontam import UNITS, leaks
 from itemweave.llm.jaccard import jaccard_components
 from itemweave.llm.line_dedup import line_dedup
+from itemweave.llm.lm_score import lm_scores
 from itemweave.llm.packing import pack
 from itemweave.llm.quality import quality_scores
 
@@ -111,3 +112,8 @@ GROUP BY doc_id, item_id, n_windows HAVING 100 * count(DISTINCT place) >= 50 * n
 @query("op8_decontamination", _OP8)
 def op8_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents")).drop("n_bytes", "bits_per_byte")
