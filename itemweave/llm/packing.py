@@ -25,7 +25,7 @@ from itemweave.llm.common import Scratch
 
 FAN_IN = 16
 #: A worker forgets its cached words beyond so many.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, win long, offset long, "
            "open boolean")

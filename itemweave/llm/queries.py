@@ -14,6 +14,8 @@ from itemweave.llm.line_dedup import line_dedup
 from itemweave.llm.lm_score import lm_scores
 from itemweave.llm.packing import pack
 from itemweave.llm.quality import quality_scores
+from itemweave.llm.substring_dedup import repeated_words
+from itemweave.llm.suffix_dedup import repeated_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +119,13 @@ def op8_decontamination(spark, sf_dir):
 @query("op3_lm_scoring")
 def op3_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents")).drop("n_bytes", "bits_per_byte")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    return repeated_bytes(table(spark, sf_dir, "documents"), length=50, texts=False)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark, sf_dir):
+    return repeated_words(table(spark, sf_dir, "documents"), window=35, texts=False)

@@ -7,7 +7,7 @@ import xxhash
 
 #: Odd multiplier of the rolling combination; words are hashed to 64 random-looking bits first.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 _cache: dict[bytes, bytes] = {}
 
