@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemweave.llm.common import table
 from itemweave.llm.decontam import UNITS, leaks
+from itemweave.llm.html_extract import main_text
 from itemweave.llm.jaccard import jaccard_components
 from itemweave.llm.line_dedup import line_dedup
 from itemweave.llm.lm_score import lm_scores
@@ -129,3 +130,8 @@ def op5_suffix_dedup(spark, sf_dir):
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark, sf_dir):
     return repeated_words(table(spark, sf_dir, "documents"), window=35, texts=False)
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
