@@ -17,6 +17,7 @@ from itemweave.llm.packing import pack
 from itemweave.llm.quality import quality_scores
 from itemweave.llm.substring_dedup import repeated_words
 from itemweave.llm.suffix_dedup import repeated_bytes
+from itemweave.llm.url_filter import evaluate, host, path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +136,43 @@ def op9_substring_dedup(spark, sf_dir):
 @query("op6_html_extraction")
 def op6_html_extraction(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
+
+
+#: The list: an event of user u, at its time, is about the pages with page_id mod 1000 = u mod 1000: their host, or for odd
+#: users the first segment of their path on this host. Errors and purchases block, other events allow.
+#: A page is fetched 40 minutes of its id after 2024-01-01, round the 30 days of the events.
+_OP2 = r"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    TIMESTAMP '2024-01-01' + to_seconds((page_id * 2400) % 2592000) AS fetched FROM pages),
+e AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 OR path = '' THEN host ELSE host || '/' || split_part(path, '/', 2) END AS pattern, ts,
+    CASE WHEN event_type IN ('error', 'purchase') THEN 'block' ELSE 'allow' END AS action
+    FROM events JOIN u ON user_id % 1000 = page_id % 1000 WHERE host <> ''),
+f AS (SELECT pattern, ts, min(action) AS action FROM e GROUP BY ALL),
+i AS (SELECT pattern, ts, action, lead(ts) OVER (PARTITION BY pattern ORDER BY ts) AS til FROM f),
+l AS (SELECT page_id, host, path, fetched, string_split(host, '.') AS hs, string_split(path, '/') AS ps FROM u WHERE host <> ''),
+a AS (SELECT page_id, fetched, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(hs) + 1), lambda k: array_to_string(hs[k:], '.')),
+    CASE WHEN path = '' THEN [] ELSE list_transform(range(2, len(ps) + 1), lambda k: host || array_to_string(ps[:k], '/')) END))) AS pattern FROM l),
+m AS (SELECT page_id, max((length(a.pattern), a.pattern, ts, action)) AS b FROM a JOIN i ON a.pattern = i.pattern
+    AND ts <= fetched AND (til IS NULL OR fetched < til) GROUP BY page_id)
+SELECT u.page_id, url, b[2] AS pattern, epoch_us(b[3]) AS since_us, b[4] AS action, coalesce(b[4] <> 'block', true) AS kept
+FROM u LEFT JOIN m USING (page_id)
+"""
+
+
+@query("op2_url_filters", _OP2)
+def op2_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    seconds = F.lit(1704067200) + (F.col("page_id") * 2400) % 2592000
+    captures = pages.withColumn("fetched", F.timestamp_seconds(seconds))
+    about = pages.select((F.col("page_id") % 1000).alias("slot"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).where("host <> ''")
+    section = F.concat("host", F.lit("/"), F.get(F.split("path", "/"), 1))
+    about = about.select("slot", F.col("host").alias("whole"), F.when(F.col("path") == "", F.col("host")).otherwise(section).alias("section")).distinct()
+    events = table(spark, sf_dir, "events").select(
+        "ts", (F.col("user_id") % 1000).alias("slot"), (F.col("user_id") % 2 == 0).alias("even"),
+        F.when(F.col("event_type").isin("error", "purchase"), "block").otherwise("allow").alias("action"))
+    entries = events.join(about, "slot").select(F.when(F.col("even"), F.col("whole")).otherwise(F.col("section")).alias("pattern"), "ts", "action")
+    out = evaluate(captures, entries)
+    return out.select("page_id", "url", "pattern", F.unix_micros(F.col("since").cast("timestamp")).alias("since_us"), "action",
+                      F.coalesce(F.col("action") != "block", F.lit(True)).alias("kept"))
