@@ -1,10 +1,11 @@
-"""Exact Jaccard join of word-shingle sets: size bands, prefix tiles, bitmap signatures, sorted-array intersection.
-
-1. Texts with equal shingle sets become one representative (they link by definition).
-2. A set with n shingles must share one of its first ``n - ceil(t * n) + 1`` shingles, in any fixed order of all
-   shingles, with each set that it links to. A tile is one such shingle within one size band (a factor of two; sets just
-   above a band's lower end are also dealt to the band below). Shingles found in many tiles rows move to the end of the
-   order (a table of 2^20 slots says which), so passages that many texts share do not make large tiles.
+"""Exact Jaccard join of word-shingle sets: size-banded tiles, bitmap signatures, sorted-array intersection.
+
+1. Texts with equal shingle sets are one set (they link by definition).
+2. Sets are banded by size: band i has the pairs whose smaller set has 2^i to 2^(i+1) - 1 shingles. Two linked sets of a
+   band differ in at most k shingles, so when the shingles are dealt by hash into more than k parts, some part is the same in
+   both. A tile is one such part with its content: sets meet only if a whole part agrees, and neither a passage that many
+   texts share nor frequent shingles bring other texts together. A set with no more filled parts than k (small or sparse ones) is
+   also dealt by the prefix filter, its first n - ceil(t n) + 1 shingles in order of hash, so no link is lost.
 3. Each member of a tile is compared with the tile's smallest member. Links found so far are joined into components.
 4. Tiles that still hold several components are cut into cells of at most about CELL x CELL members. Inside a
    cell all pairs of different components are compared by signature, in numpy; only those that may link leave it. Pairs
@@ -13,7 +14,7 @@
    that y lacks, so |x & y| <= |x| - popcount(x & ~y). Pairs that pass are settled on the sorted arrays.
 
 No link is lost at any step, and no pair inside a component is needed. A shingle is a 64-bit hash and a set is known by a
-64-bit hash of its sorted shingles.
+64-bit hash of its sorted shingles. A task sends each set's parts once, so a tile gets at most a row for each set and task.
 
 Defined cases: a NULL, empty or blank text has an empty set and links with nothing; a text with fewer words than a shingle
 is one shingle; repeated rows and ties are one set and get the same component; a NULL doc_id links like any other, but a
@@ -28,12 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemweave.llm.blocks import starts, whole_groups
 from itemweave.llm.common import Scratch, components, small
 from itemweave.llm.shingles import mix, shingle_set
 
 CELL = 512
-#: Slots of the table of frequent shingles; a slot is frequent at HOT rows, or HOT_TIMES the mean of the slots.
-SLOTS, HOT, HOT_TIMES = 1 << 20, 48, 8
 
 
 def need(n, percent: int):
@@ -45,19 +45,30 @@ def _band(n: int) -> int:
     return n.bit_length() - 1
 
 
-def tile_keys(s: np.ndarray, percent: int, late: np.ndarray | None = None) -> np.ndarray:
-    """The tiles of a sorted set: its first shingles in the order (late, hash), for each of its bands."""
-    n = len(s)
-    if not n:
-        return s
-    if late is not None:
-        s = s[np.argsort(late[(s % np.uint64(SLOTS)).astype(np.int64)], kind="stable")]
-    first = s[:n - need(n, percent) + 1]
-    b = _band(n)
-    keys = mix(first + np.uint64(b))
-    if b and percent * n <= 100 * (1 << b):
-        keys = np.concatenate([keys, mix(first + np.uint64(b - 1))])
-    return keys
+def most_different(n: int, m: int, percent: int) -> int:
+    """The most shingles that are in one only of two linked sets of sizes n and m."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """The tiles of a sorted set, in its own band and in those below in which it can be the larger set."""
+    n, out = len(s), []
+    for i in range(_band(n) if n else -1, -1, -1):
+        small_most = (2 << i) - 1
+        most = 100 * small_most // percent
+        if n > most:
+            break
+        k = most_different(small_most, most, percent)
+        parts = np.uint64(k + 3 + k // 25)
+        part = mix(s + np.uint64(i)) % parts
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        content = np.add.reduceat(mix(s[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
+        out.append(mix(content + mix(part[first] + np.uint64(1 + (i << 40)))))
+        if len(first) <= most_different(n, min(most, 100 * n // percent), percent):
+            out.append(mix(s[:n - need(n, percent) + 1] + np.uint64((i + 1) << 50)))
+    return np.concatenate(out) if out else s
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -83,12 +94,15 @@ def linked(common, n, m, percent: int):
 
 def _scan(shingle: int, percent: int):
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
             cols = ([], [], [], [])
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), shingle)
-                for c, v in zip(cols, (doc.as_py(), len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63),
-                                       tile_keys(s, percent).view(np.int64)), strict=True):
+                sid = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                keys = None if sid in sent else tile_keys(s, percent).view(np.int64)
+                sent.add(sid)
+                for c, v in zip(cols, (doc.as_py(), len(s), sid, keys), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
@@ -96,6 +110,19 @@ def _scan(shingle: int, percent: int):
     return run
 
 
+def _tiles(rows: pa.Table) -> pa.Table:
+    """The distinct members of tiles with two or more; rows come sorted by (key, sid)."""
+    key, sid = rows.column("key").to_numpy(), rows.column("sid").to_numpy()
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+    key, sid = key[new], sid[new]
+    first = starts(key)
+    size = np.diff(np.append(first, len(key)))
+    c = np.repeat(size, size)
+    keep = c > 1
+    return pa.table({"key": key[keep], "sid": sid[keep], "pivot": np.repeat(sid[first], size)[keep], "c": c[keep]})
+
+
 def _sets(shingle: int):
     def run(batches):
         for batch in batches:
@@ -107,30 +134,6 @@ def _sets(shingle: int):
     return run
 
 
-def _retile(percent: int, late: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            keys = [tile_keys(np.frombuffer(s.as_py(), np.uint64), percent, late).view(np.int64) for s in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["sid", "n", "keys"])
-    return run
-
-
-def _first_slots(percent: int, late: np.ndarray):
-    """Rows of the first shingles' slots, counted by batch."""
-    def run(batches):
-        for batch in batches:
-            slots = []
-            for s in batch.column(2):
-                s = np.frombuffer(s.as_py(), np.uint64)
-                order = np.argsort(late[(s % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
-                slots.append((s[order][:len(s) - need(len(s), percent) + 1] % np.uint64(SLOTS)).astype(np.int64))
-            if slots:
-                slot, n = np.unique(np.concatenate(slots), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
-    return run
-
-
 def bit_bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The most shingles that rows x and y of signatures can share."""
     only_x = np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
@@ -227,30 +230,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, doc
     scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = scratch.save(rows.mapInArrow(_scan(shingle, percent), "doc_id long, n long, sid long, keys array<long>"), "scanned")
-    reps = scanned.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    members = reps.select("sid", F.explode("keys").alias("key")).repartition(_parts(docs), "key")
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    involved = scratch.save(members.join(shared, "key", "left_semi").select("sid").distinct(), "involved")
+    members = (scanned.select("sid", F.explode("keys").alias("key")).repartition(_parts(docs), "key").sortWithinPartitions("key", "sid"))
+    tiles = scratch.save(members.mapInArrow(whole_groups(_tiles), "key long, sid long, pivot long, c long"), "tiles", batch=20_000)
+
+    # The whole sets of tile members, from one document of each; documents without an id are all looked at.
+    involved = scratch.save(tiles.select("sid").distinct(), "involved")
     ids = scratch.save(scanned.where("doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
                        .join(small(involved), "sid", "left_semi").select("doc_id"), "ids")
     schema = "sid long, n long, shingles binary, sig binary"
     known = rows.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), schema)
     unknown = rows.where("doc_id IS NULL").select("text").mapInArrow(_sets(shingle), schema).where("n > 0").dropDuplicates(["sid"])
     sets = scratch.save(known.union(unknown), "sets")
-    scratch.drop("ids")
-
-    late = np.zeros(SLOTS, np.uint8)
-    for _ in range(2):
-        slots = sets.mapInArrow(_first_slots(percent, late), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        slots = scratch.save(slots, "slots")
-        rows_in = slots.agg(F.sum("n")).first()[0] or 0
-        bound = max(HOT, HOT_TIMES * rows_in // SLOTS)
-        for r in slots.where(F.col("n") >= bound).select("slot").collect():  # at most rows_in / bound and at most SLOTS
-            late[r["slot"]] = 1
-    tiles = (sets.mapInArrow(_retile(percent, late), "sid long, n long, keys array<long>")
-             .select("sid", "n", F.explode("keys").alias("key")).repartition(_parts(docs), "key"))
-    many = tiles.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("pivot"), F.max("sid").alias("other")).where("pivot <> other")
-    tiles = scratch.save(tiles.join(many.drop("other"), "key"), "tiles")
+    scratch.drop("ids", "involved")
     stars = tiles.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     edges = scratch.save(_settled(stars, sets, percent).distinct(), "stars")
 
@@ -262,12 +253,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, doc
              .agg(F.count("*").alias("k")))
     cells = open_tiles.join(apart, "key").where("sid <> pivot")
     nr, nl = F.ceil(F.col("c") / CELL).cast("int"), F.ceil(F.col("k") / CELL).cast("int")
-    right = cells.select("key", "sid", "n", "comp", F.pmod(F.xxhash64("sid"), nr).cast("int").alias("i"),
+    right = cells.select("key", "sid", "comp", F.pmod(F.xxhash64("sid"), nr).cast("int").alias("i"),
                          F.explode(F.sequence(F.lit(0), nl - 1)).alias("j"), F.lit(False).alias("is_left"))
     left = cells.where("comp <> main").select(
-        "key", "sid", "n", "comp", F.explode(F.sequence(F.lit(0), nr - 1)).alias("i"),
+        "key", "sid", "comp", F.explode(F.sequence(F.lit(0), nr - 1)).alias("i"),
         F.pmod(F.xxhash64("sid", F.lit(1)), nl).cast("int").alias("j"), F.lit(True).alias("is_left"))
-    cells = (left.union(right).join(sets.select("sid", "sig"), "sid").select("key", "i", "j", "is_left", "sid", "n", "comp", "sig")
+    cells = (left.union(right).join(sets.select("sid", "n", "sig"), "sid").select("key", "i", "j", "is_left", "sid", "n", "comp", "sig")
              .repartition(_parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j"))
     pairs = cells.mapInArrow(_cells(percent), "a long, b long").distinct()
     more = scratch.save(_settled(pairs, sets, percent, bounded=True), "more")
