@@ -5,7 +5,6 @@ from itemweave.functions.columns import (
     human_bytes,
     itemset_text,
     megabytes_per_second,
-    parse_multiplier,
     split_items,
     split_literal,
     trim_trailing,
@@ -17,7 +16,6 @@ __all__ = [
     "human_bytes",
     "itemset_text",
     "megabytes_per_second",
-    "parse_multiplier",
     "split_items",
     "split_literal",
     "trim_trailing",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,11 +81,3 @@ def human_bytes(col: Column, digits: int = 1) -> Column:
 
 def megabytes_per_second(n_bytes: Column, seconds: Column) -> Column:
     return n_bytes / F.lit(1024.0 * 1024.0) / F.greatest(seconds, F.lit(1e-12))
-
-
-def parse_multiplier(text: str | int) -> int:
-    """``'2x'``, ``'3X'`` or ``'2'`` as a number of copies, at least 1."""
-    m = re.fullmatch(r"\s*(\d+)\s*[xX]?\s*", str(text))
-    if not m or int(m.group(1)) < 1:
-        raise ValueError(f"not a multiplier: {text!r} (use '2x' or 3)")
-    return int(m.group(1))

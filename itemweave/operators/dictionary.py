@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from itemweave.plans.numbering import number_rows
 
@@ -35,13 +38,28 @@ def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max", keep_absent: boo
     else:
         raise ValueError(f"on_duplicate must be max or last, not {on_duplicate!r}")
     rows = df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull())
+    kind = df.schema["prob"].dataType
+    if isinstance(kind, T.FloatType):
+        rows = rows.withColumn("prob", F.col("prob").cast("string").cast("double"))  # 0.7 stays 0.7
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        rows = rows.withColumn("prob", F.nanvl("prob", F.lit(0.0)))  # not a number: absent
     if on_duplicate == "max" and not keep_absent:
         rows = rows.where(F.col("prob") > 0)
     rows = rows.groupBy("txn_id", "item").agg(pick.alias("prob"))
     return rows if keep_absent else rows.where(F.col("prob") > 0)
 
 
+def sum_type(kind: T.DataType) -> str:
+    """The type of a sum of memberships: whole numbers and decimals stay exact."""
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return f"decimal(38,{kind.scale})" if isinstance(kind, T.DecimalType) else "double"
+
+
 def transaction_count(df: DataFrame) -> int:
+    """Transactions that hold at least one item; the same for every engine."""
+    if "item" in df.columns:
+        df = df.where(F.col("item").isNotNull())
     return df.agg(F.count_distinct("txn_id")).first()[0]
 
 
@@ -55,12 +73,18 @@ def parse_threshold(value) -> tuple[float, bool]:
     return value, isinstance(value, float)
 
 
+def share_of(proportion: float, n_transactions: int) -> int | float:
+    """A proportion as a count, in decimal arithmetic: 0.07 of 100 is 7."""
+    count = Decimal(str(proportion)) * n_transactions
+    return int(count) if count == count.to_integral_value() else float(count)
+
+
 def resolve_threshold(value, df: DataFrame, n_transactions: int | None = None):
     """The threshold as a count; see :func:`parse_threshold`."""
     number, proportion = parse_threshold(value)
     if not proportion:
         return number
-    return number * (n_transactions if n_transactions is not None else transaction_count(df))
+    return share_of(number, n_transactions if n_transactions is not None else transaction_count(df))
 
 
 def item_dictionary(df: DataFrame, min_support=1, min_frequency: int = 1, by: str = "freq") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemweave.operators.dictionary import sum_type
 from itemweave.plans.levels import LevelRun
 from itemweave.plans.storage import Workspace
 
@@ -30,6 +32,8 @@ CLASS_ROWS = 500_000
 def _deeper(prefix: tuple[int, ...], members: list, min_support, min_frequency: int,
             max_extra: int | None) -> Iterator[tuple[tuple[int, ...], float, int]]:
     """All frequent sets below ``prefix``; ``members`` are (rank, transactions, memberships)."""
+    # A float does not compare with decimal memberships.
+    limit = Decimal(str(min_support)) if members and isinstance(members[0][2][0], Decimal) else min_support
     for i, (rank, txns, ms) in enumerate(members):
         found = []
         for other, other_txns, other_ms in members[i + 1:]:
@@ -38,7 +42,7 @@ def _deeper(prefix: tuple[int, ...], members: list, min_support, min_frequency:
                 continue
             low = np.minimum(ms[left], other_ms[right])
             total = low.sum()
-            if total >= min_support:
+            if total >= limit:
                 yield (*prefix, rank, other), total, len(both)
                 found.append((other, both, low))
         if len(found) > 1 and (max_extra is None or max_extra > 2):
@@ -49,7 +53,7 @@ def _deeper(prefix: tuple[int, ...], members: list, min_support, min_frequency:
 def mine_grouped(search, occ: DataFrame, min_support, support_for, min_frequency: int | None,
                  max_len: int | None, started: float):
     """The level loop with :func:`split` and :func:`finish` attached."""
-    is_double = occ.schema["prob"].dataType.typeName() == "double"
+    kind = sum_type(occ.schema["prob"].dataType)
 
     def split(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return classes.where(F.col("weight") > CLASS_ROWS), classes.where(F.col("weight") <= CLASS_ROWS)
@@ -76,7 +80,6 @@ def mine_grouped(search, occ: DataFrame, min_support, support_for, min_frequency
                         for p, s, f in _deeper((), members, min_support, min_frequency or 1, extra)]
                 return pd.DataFrame(rows, columns=["pid", "path", "support", "freq"])
 
-            kind = "double" if is_double else "bigint"
             sets = state.groupBy("sid").applyInPandas(
                 search_class, f"pid bigint, path array<int>, support {kind}, freq bigint")
             sets = ws.write(sets.withColumn("sid2", F.monotonically_increasing_id()), f"classes-{length}")

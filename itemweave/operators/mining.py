@@ -16,6 +16,8 @@ from itemweave.operators.dictionary import (
     parse_threshold,
     require_columns,
     resolve_threshold,
+    share_of,
+    sum_type,
 )
 from itemweave.operators.results import MiningResult
 from itemweave.plans.levels import (
@@ -51,18 +53,6 @@ def _integral(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
-def _cell_type(occ: DataFrame, support: Support) -> str:
-    """The smallest numpy type that holds every value of ``m``."""
-    if support.counting is CRISP:
-        return "uint8"
-    if support.counting is BITSET:
-        return "uint64"  # numpy counts the bits of a signed number's absolute value
-    if not _integral(occ, "m"):
-        return "float64"
-    top = occ.agg(F.max("m")).first()[0] or 0
-    return next(t for t, limit in (("uint8", 2**8), ("uint16", 2**16), ("int32", 2**31), ("int64", 2**64)) if top < limit)
-
-
 def _transactions(occ: DataFrame, counting: Counting) -> int:
     """Transactions behind the cached occurrences; bitset words hold up to 64 of them."""
     if counting is not BITSET:
@@ -86,7 +76,7 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
     try:
         if proportion:
             counting = support_for(0).counting
-            threshold *= n_transactions if n_transactions is not None else _transactions(cached, counting)
+            threshold = share_of(threshold, n_transactions if n_transactions is not None else _transactions(cached, counting))
         support = support_for(threshold)
         occ = cached.where(F.col("m") > 0) if support.counting is FUZZY else cached
         t0 = time.time()
@@ -102,14 +92,14 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
             names = first.select("item", "rank")
             rows = occ.join(broadcast_if(names, n_items, item_text), "item").select("unit", "rank", "m")
             units = pack_units(rows, support.counting.has_values, support.carried).persist()
-            grow(units, first, n_items, item_text, support, ws, run, max_len, _cell_type(occ, support), split_local)
+            grow(units, first, n_items, item_text, support, ws, run, max_len, split_local)
             if run.local_states:
                 run.tables.extend(finish_local(run, first, ws))
     finally:
         run.release()
         cached.unpersist()
     columns = ["items", *support.columns()]
-    value_type = "double" if occ.schema["m"].dataType == T.DoubleType() and support.counting is FUZZY else "bigint"
+    value_type = sum_type(occ.schema["m"].dataType) if support.counting is FUZZY else "bigint"
     found = None
     for table in run.tables:
         part = table.select(*columns)
@@ -177,7 +167,7 @@ def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: flo
     from itemweave.operators.grouped import mine_grouped
 
     occ = crisp_occurrences(df).withColumn("prob", F.lit(1).cast("bigint"))
-    threshold = resolve_threshold(min_support, df, n_transactions)
+    threshold = resolve_threshold(min_support, occ, n_transactions)
     return mine_grouped(_search, occ, threshold, lambda t: Support(FUZZY, _keep(t)), None, max_len, started)
 
 
@@ -206,6 +196,28 @@ def frequent_itemsets(df: DataFrame, min_support, max_len: int | None = None, en
 
 # --- fuzzy -------------------------------------------------------------------------------------
 
+def _fuzzy_join(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
+                started: float, n_transactions: int | None) -> MiningResult:
+    # A proportion needs the transactions whose items are all absent as well.
+    count_all = parse_threshold(min_support)[1] and n_transactions is None
+    return _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all), F.col("txn_id"), F.col("prob"),
+                   min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions)
+
+
+def _fuzzy_grouped(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
+                   started: float, n_transactions: int | None) -> MiningResult:
+    from itemweave.operators.grouped import mine_grouped
+
+    threshold = resolve_threshold(min_support, df, n_transactions)
+    return mine_grouped(_search, fuzzy_occurrences(df, on_duplicate), threshold,
+                        lambda t: Support(FUZZY, _keep(t, min_frequency)), min_frequency, max_len, started)
+
+
+# Register another engine by adding a function
+# (df, min_support, min_frequency, max_len, on_duplicate, started, n_transactions) -> MiningResult.
+FUZZY_ENGINES: dict[str, Callable[..., MiningResult]] = {"join": _fuzzy_join, "grouped": _fuzzy_grouped}
+
+
 def fuzzy_frequent_itemsets(df: DataFrame, min_support, min_frequency: int | None = None,
                             scaling_factor: int = 1, max_len: int | None = None, engine: str = "join",
                             on_duplicate: str = "max", n_transactions: int | None = None) -> MiningResult:
@@ -216,19 +228,9 @@ def fuzzy_frequent_itemsets(df: DataFrame, min_support, min_frequency: int | Non
     ``prob``; supports are divided by ``scaling_factor`` in the result.
     """
     started = time.time()
-    if engine == "join":
-        # A proportion needs the transactions whose items are all absent as well.
-        count_all = parse_threshold(min_support)[1] and n_transactions is None
-        result = _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all), F.col("txn_id"), F.col("prob"),
-                         min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions)
-    elif engine == "grouped":
-        from itemweave.operators.grouped import mine_grouped
-
-        threshold = resolve_threshold(min_support, df, n_transactions)
-        result = mine_grouped(_search, fuzzy_occurrences(df, on_duplicate), threshold,
-                              lambda t: Support(FUZZY, _keep(t, min_frequency)), min_frequency, max_len, started)
-    else:
-        raise ValueError(f"unknown engine {engine!r}; known: ['grouped', 'join']")
+    if engine not in FUZZY_ENGINES:
+        raise ValueError(f"unknown engine {engine!r}; known: {sorted(FUZZY_ENGINES)}")
+    result = FUZZY_ENGINES[engine](df, min_support, min_frequency, max_len, on_duplicate, started, n_transactions)
     return result.rescaled(scaling_factor)
 
 
@@ -251,7 +253,9 @@ def fuzzy_periodic_frequent_itemsets(df: DataFrame, min_support, min_periodic_fr
     low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
     if low is None:
         low = high = 0
+    # Ids count from the smallest one, so that words and groups of words start at 0.
     result = _search(
-        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint"), F.col("prob"), 0,
-        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, (low, high)), max_len, started)
+        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint") - F.lit(low), F.col("prob"), 0,
+        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low,
+                                  _keep(threshold, min_periodic_frequency + 1)), max_len, started)
     return result.rescaled(scaling_factor)

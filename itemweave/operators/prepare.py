@@ -17,10 +17,10 @@ def _fraction(text: Column) -> Column:
 
 def max_decimals(df: DataFrame, col: str = "prob") -> int:
     """Most digits after the point in any value."""
-    text = F.col(col).cast("string")
-    if not isinstance(df.schema[col].dataType, T.StringType):
-        # 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing.
-        text = F.rtrim(F.col(col).cast("string").cast("decimal(38,18)").cast("string"), F.lit("0"))
+    text = F.btrim(F.col(col).cast("string"))
+    # 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing.
+    plain = F.rtrim(text.cast("decimal(38,18)").cast("string"), F.lit("0"))
+    text = F.when(F.lower(text).contains("e"), plain).otherwise(text) if isinstance(df.schema[col].dataType, T.StringType) else plain
     return df.agg(F.max(F.length(_fraction(text)))).first()[0] or 0
 
 

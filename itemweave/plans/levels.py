@@ -23,7 +23,6 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from itemweave.plans.blocks import DENSE_FROM, DENSE_UNITS_FROM, FOLD_FROM, classes_by_prefix, extend, fold, pair_totals
 from itemweave.plans.numbering import number_rows
 from itemweave.plans.storage import Workspace
 
@@ -37,9 +36,6 @@ HEADS_PER_ROW = 2_048
 BITMAP_LONGS = 4_000_000
 # Distinct frequent items that a one-task ranking may hold.
 RANK_IN_ONE_TASK = 200_000
-# Subsets per task that may be counted in one pass, and the longest row it may do that for.
-SUBSETS_PER_TASK = 500_000
-SUBSET_ROW = 16
 # Levels between two states written to the shared folder to cut the lineage.
 LEVELS_PER_CUT = 5
 
@@ -230,75 +226,16 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
     return heads.select(*cols, *carried)
 
 
-def _remaining(state: DataFrame) -> tuple[float, int, int, int]:
-    """Number of subsets of all rows together, the longest row, the values and the rows; computes the
-    state as well."""
-    size = F.size("r")
-    total, longest, values, rows = state.agg(
-        F.sum(F.pow(F.lit(2.0), size)), F.max(size), F.sum(size), F.count(F.lit(1))).first()
-    return total or 0.0, longest or 0, values or 0, rows
-
-
-def subset_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...], limit: int) -> DataFrame:
-    """Every subset of 2 to ``limit`` positions of a row: ``(sid, p, m)``. For short rows only."""
-    def entry(p: Column, m: Column) -> Column:
-        return F.struct(p.alias("p"), m.alias("m")) if counting.has_values else F.struct(p.alias("p"))
-
-    def value(s: Column) -> Column:
-        return s["m"] if counting.has_values else F.lit(1)
-
-    def with_item(acc: Column, j: Column) -> Column:
-        rank = F.get("r", j)
-        own = F.get("m", j) if counting.has_values else F.lit(1)
-        grown = F.transform(F.filter(acc, lambda s: F.size(s["p"]) < limit),
-                            lambda s: entry(F.array_append(s["p"], rank), counting.combine(value(s), own)))
-        if counting.alive:
-            grown = F.filter(grown, lambda s: counting.alive(s["m"]))
-        return F.concat(acc, grown, F.array(entry(F.array(rank), own)))
-
-    value_type = state.schema["m"].dataType.elementType.simpleString() if counting.has_values else None
-    empty = F.array().cast("array<struct<p:array<int>" + (f",m:{value_type}>>" if value_type else ">>"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size("r") - 1), empty, with_item)
-    rows = state.select("sid", *carried, F.explode(folded).alias("s"))
-    m = F.col("s.m") if counting.has_values else F.lit(1)
-    return rows.where(F.size("s.p") > 1).select("sid", F.col("s.p").alias("p"), *carried, m.alias("m"))
-
-
-def _finish(state: DataFrame, parents: DataFrame, names: DataFrame, k: int, longest: int, support: Support, ws: Workspace, run: LevelRun, max_len: int | None) -> None:
-    """Count everything above level k in one pass over rows whose subsets are few. ``parents`` and
-    ``names`` come marked for broadcast where they are small."""
-    limit = longest if max_len is None else min(longest, max_len - k + 1)
-    started = time.time()
-    totals = support.totals(subset_rows(state, support.counting, support.carried, limit), ["sid", "p"])
-    sizes = range(2, limit + 1)
-    of_size = {n: F.size("p") == n for n in sizes}
-    totals, seen = _observed(
-        totals, **{f"candidates{n}": F.count_if(c) for n, c in of_size.items()},
-        **{f"occurrences{n}": F.sum(F.when(c, F.col("freq"))) for n, c in of_size.items()})
-    found = totals.where(support.keep)
-    tails = (found.select("sid", "p", *support.columns(), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("pos", "b"))
-             .join(names, "b")
-             .groupBy("sid", "p", *support.columns())
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "name")))["name"].alias("tail"))
-             .withColumn("a", F.get("p", F.lit(0))))
-    full = tails.join(parents, ["sid", "a"]).select(
-        F.concat("prefix", "tail").alias("items"), *support.columns())
-    table = ws.write(full, f"above-{k}")
-    counts = dict(table.groupBy(F.size("items")).count().collect())
-    observed = _metrics(seen)
-    for n in sizes:
-        stat = _stat(k + n - 1, counts.get(k + n - 1, 0), observed, started, str(n))
-        if stat["candidates"]:
-            run.stats.append(stat)
-    run.tables.append(table)
+def _longest(state: DataFrame) -> int:
+    """The longest row; computes the state as well."""
+    return state.agg(F.max(F.size("r"))).first()[0] or 0
 
 
 def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, support: Support, ws: Workspace,
-         run: LevelRun, max_len: int | None, cell_type: str,
-         split_local: Callable | None = None) -> LevelRun:
+         run: LevelRun, max_len: int | None, split_local: Callable | None = None) -> LevelRun:
     """Levels 2 and up. ``first`` is the ranked dictionary ``(rank, item, ...)``; ``units`` the packed
-    level-1 state; ``item_text`` the bytes of all items; ``cell_type`` the numpy type that holds any value. ``split_local(classes)`` may
-    take over prefix classes small enough to finish in one task each; it returns the classes that stay
+    level-1 state; ``item_text`` the bytes of all items. ``split_local(classes)`` may take
+    over prefix classes small enough to finish in one task each; it returns the classes that stay
     in the loop and those it takes."""
     counting, carried = support.counting, support.carried
     names = broadcast_if(first.select(F.col("rank").alias("b"), F.col("item").alias("name")), n_items, item_text)
@@ -308,37 +245,22 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
     parents = broadcast_if(parents, n_items, item_text)
     n_parents, pair_filter, state, k = n_items, None, units, 1
     run.held.append(state)
-    one_pass = SUBSETS_PER_TASK * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dense, widest = False, n_items
     while n_parents > k and (max_len is None or k < max_len):
         started = time.time()
-        if not dense:
-            subsets, longest, values, n_rows = _remaining(state)
-            if longest == 0:
-                break
-            if split_local is None and longest <= SUBSET_ROW and subsets <= one_pass:
-                _finish(state, parents, names, k, longest, support, ws, run, max_len)
-                break
-            widest = longest
-            if k == 1 and not carried and split_local is None \
-                    and values >= max(FOLD_FROM, DENSE_UNITS_FROM * n_rows * n_items):
-                state, dense = fold(state, counting.name, counting.has_values, cell_type).persist(), True
-                run.held.append(state)
-        if dense:
-            totals = pair_totals(state)
-        else:
-            rows = candidate_rows(state, counting, carried, widest)
-            if pair_filter is not None:
-                rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
-            totals = support.totals(rows, ["sid", "a", "b"])
+        widest = _longest(state)
+        if widest == 0:
+            break
+        rows = candidate_rows(state, counting, carried, widest)
+        if pair_filter is not None:
+            rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
+        totals = support.totals(rows, ["sid", "a", "b"])
         k += 1
         totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
         level = (totals.where(support.keep).join(parents, ["sid", "a"]).join(names, "b")
                  .select(F.monotonically_increasing_id().alias("id"), "pid", "sid", "a", "b", "pfreq",
                          F.array_append("prefix", F.col("name")).alias("items"), *support.columns()))
         level = ws.write(level, f"level-{k}")
-        n_sets, filled, cells, text = level.agg(
-            _count(), F.sum("freq"), F.sum("pfreq"), text_bytes(F.array_join("items", ","))).first()
+        n_sets, text = level.agg(_count(), text_bytes(F.array_join("items", ","))).first()
         run.stats.append(_stat(k, n_sets, _metrics(seen), started))
         if n_sets:
             run.tables.append(level)
@@ -346,18 +268,12 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
         if n_sets <= k or (max_len is not None and k >= max_len):
             break
         classes = extension_classes(level)
-        if dense:
-            heads = classes_by_prefix(classes.select("sid", "a", "pid", "ext"))
-            state = extend(state, broadcast_if(heads, n_sets), counting.name, cell_type)
-        else:
-            bitmap = n_items > 128 and min(n_sets // 2, n_parents) * ((n_items >> 6) + 1) <= BITMAP_LONGS
-            if split_local is not None:
-                classes, taken = split_local(classes)
-                run.local_states.append(
-                    next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
-            state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
-            if not carried and split_local is None and filled >= max(FOLD_FROM, DENSE_FROM * cells):
-                state, dense = fold(state, counting.name, counting.has_values, cell_type), True
+        bitmap = n_items > 128 and min(n_sets // 2, n_parents) * ((n_items >> 6) + 1) <= BITMAP_LONGS
+        if split_local is not None:
+            classes, taken = split_local(classes)
+            run.local_states.append(
+                next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
+        state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
         if k % LEVELS_PER_CUT == 0:
             state = ws.write(state, f"state-{k}")
         else:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemweave.operators.dictionary import sum_type
 from itemweave.plans.levels import Counting, Support
 
 _WORD_BITS = 6
@@ -32,29 +33,32 @@ class PeriodicSupport(Support):
 
     carried = ("unit",)
 
-    def __init__(self, counting: Counting, keep: Column, max_gap: int, id_range: tuple[int, int]):
+    def __init__(self, counting: Counting, keep: Column, max_gap: int, last_id: int, keep_first: Column):
+        """Ids run from 0 to ``last_id``. ``keep_first`` is what support and freq alone decide."""
         super().__init__(counting, keep)
         if max_gap < 1:
             raise ValueError("max_gap must be at least 1")
-        self.max_gap, self.id_range = int(max_gap), id_range
+        self.max_gap, self.last_id, self.keep_first = int(max_gap), last_id, keep_first
 
     def columns(self) -> list[str]:
         return ["support", "freq", "periodic_freq"]
 
     def totals(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Support and frequency of all candidates by partial sums; gaps only of those that pass on them."""
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("unit").bitwiseAND(F.lit(63)).cast("int"))
-        words = rows.groupBy(*keys, F.shiftright("unit", _WORD_BITS).alias("grp")).agg(
-            F.bit_or(bit).alias("bits"), F.sum("m").cast("bigint" if not self.counting.has_values else rows.schema["m"].dataType).alias("support"),
+        kind = sum_type(rows.schema["m"].dataType) if self.counting.has_values else "bigint"
+        passed = super().totals(rows, keys).where(self.keep_first).select(*keys)
+        words = rows.join(passed, keys, "left_semi").groupBy(*keys, F.shiftright("unit", _WORD_BITS).alias("grp")).agg(
+            F.bit_or(bit).alias("bits"), F.sum("m").cast(kind).alias("support"),
             F.min("unit").alias("first_id"), F.max("unit").alias("last_id"))
         runs = words.select(*keys, "first_id", "last_id", "support",
                             F.bit_count("bits").cast("bigint").alias("freq"),
                             _close_inside_word(F.col("bits"), self.max_gap).cast("bigint").alias("periodic_freq"))
-        low, high = self.id_range
         shift = _WORD_BITS
         while True:
             shift += _GROUP_BITS
             runs = self._stitch(runs, keys, shift)
-            if low >> shift == high >> shift:
+            if not self.last_id >> shift:
                 return runs.select(*keys, *self.columns())
 
     def _stitch(self, runs: DataFrame, keys: list[str], shift: int) -> DataFrame:
@@ -64,5 +68,5 @@ class PeriodicSupport(Support):
             (F.col("first_id") - previous <= self.max_gap).cast("bigint"), F.lit(0).cast("bigint")))
         return joined.groupBy(*keys, "grp").agg(
             F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
-            F.sum("support").alias("support"), F.sum("freq").alias("freq"),
+            F.sum("support").cast(runs.schema["support"].dataType).alias("support"), F.sum("freq").alias("freq"),
             (F.sum("periodic_freq") + F.sum("close")).alias("periodic_freq")).drop("grp")

@@ -116,12 +116,24 @@ def load_transactions(spark: SparkSession, path: str, fuzzy: bool = False, sep:
     return crisp_long(read_crisp_text(spark, path, sep))
 
 
-def read_wide(spark: SparkSession, path: str, width: int, sep: str = ",", dtype: str = "string",
+def read_headered(spark: SparkSession, path: str, usecols: list[str] | None = None, sep: str = ",") -> DataFrame:
+    """A delimited file, or folder of files, whose first lines name the columns; ``usecols`` picks some by name."""
+    df = spark.read.csv(path, sep=sep, header=True, enforceSchema=False)
+    require_columns(df, *(usecols or []))
+    return df.select(*[F.col(f"`{c}`") for c in usecols or df.columns])
+
+
+def read_wide(spark: SparkSession, path: str, width: int | None = None, sep: str = ",", dtype: str = "string",
               usecols: list[int] | None = None, line_ids: bool = False) -> DataFrame:
     """A headerless delimited file as columns ``c0 .. c{width-1}``; missing cells are NULL.
 
-    ``line_ids`` adds ``line_id`` from 0 in line order.
+    The widest line sets the width; a smaller ``width`` is an error. ``line_ids`` adds ``line_id``
+    from 0 in line order.
     """
+    widest = spark.read.text(path).agg(F.max(F.size(split_literal(F.col("value"), sep)))).first()[0] or 1
+    if width is not None and width < widest:
+        raise ValueError(f"a line has {widest} cells, more than width={width}")
+    width = width or widest
     schema = ", ".join(f"c{i} {dtype}" for i in range(width))
     df = spark.read.csv(path, schema=schema, sep=sep, header=False)
     wanted = [f"c{i}" for i in (usecols if usecols is not None else range(width))]

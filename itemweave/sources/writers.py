@@ -35,7 +35,7 @@ def write_itemsets(itemsets: DataFrame, path: str, style: str = "comma") -> None
     itemset_lines(itemsets, style).write.text(path)
 
 
-def _codec(compression: str | None) -> str:
+def codec_name(compression: str | None) -> str:
     name = (compression or "none").lower()
     if name not in CODECS:
         raise ValueError(f"compression must be one of {CODECS}, not {compression!r}")
@@ -45,7 +45,7 @@ def _codec(compression: str | None) -> str:
 def write_long_parquet(df: DataFrame, path: str, compression: str | None = "zstd") -> None:
     """``(txn_id, item[, prob])`` as Parquet."""
     cols = [c for c in ("txn_id", "item", "prob") if c in df.columns]
-    df.select(*cols).write.option("compression", _codec(compression)).parquet(path)
+    df.select(*cols).write.option("compression", codec_name(compression)).parquet(path)
 
 
 def wide_columns(values: Column, width: int) -> list[Column]:
@@ -53,9 +53,19 @@ def wide_columns(values: Column, width: int) -> list[Column]:
     return [F.get(values, F.lit(i)).alias(f"c{i}") for i in range(width)]
 
 
-def write_wide_parquet(rows: DataFrame, path: str, width: int, compression: str | None = None,
+def checked_width(rows: DataFrame, width: int | None, values: str = "values") -> int:
+    """The number of cells of the widest row; an error if a given width is less."""
+    widest = rows.agg(F.max(F.size(values))).first()[0] or 0
+    if width is not None and width < widest:
+        raise ValueError(f"a row has {widest} cells, more than width={width}")
+    return max(width if width is not None else widest, 1)
+
+
+def write_wide_parquet(rows: DataFrame, path: str, width: int | None = None, compression: str | None = None,
                        values: str = "values") -> None:
-    rows.select(*wide_columns(F.col(values), width)).write.option("compression", _codec(compression)).parquet(path)
+    """Columns ``c0 ..`` for all cells of the widest row, or for ``width`` of them."""
+    width = checked_width(rows, width, values)
+    rows.select(*wide_columns(F.col(values), width)).write.option("compression", codec_name(compression)).parquet(path)
 
 
 def long_values(rows: DataFrame, row_index: str = "row_index", values: str = "values") -> DataFrame:
@@ -64,14 +74,22 @@ def long_values(rows: DataFrame, row_index: str = "row_index", values: str = "va
 
 
 def write_long_values(rows: DataFrame, path: str, compression: str | None = None) -> None:
-    long_values(rows).write.option("compression", _codec(compression)).parquet(path)
+    long_values(rows).write.option("compression", codec_name(compression)).parquet(path)
 
 
 def write_ragged_csv(rows: DataFrame, path: str, sep: str = ",", compression: str | None = None,
                      values: str = "values") -> None:
     """One line per row, only the values the row has; plain or gzip."""
     line = F.array_join(F.col(values).cast("array<string>"), sep).alias("value")
-    rows.select(line).write.option("compression", _codec(compression)).text(path)
+    rows.select(line).write.option("compression", codec_name(compression)).text(path)
+
+
+def write_wide_csv(df: DataFrame, path: str, sep: str = ",", compression: str | None = None) -> None:
+    """A wide table as lines without a header; empty cells at the end of a line are left out."""
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    last = F.coalesce(F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    write_ragged_csv(df.select(F.transform(F.slice(cells, F.lit(1), last), lambda x: F.coalesce(x, F.lit(""))).alias("values")),
+                     path, sep, compression)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

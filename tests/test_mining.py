@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import itemweave as iw
 from itemweave.operators import grouped
 from itemweave.operators.prepare import replicate
-from itemweave.plans import blocks, levels
+from itemweave.plans import levels
 
 TINY = [(1, "a", 5), (1, "b", 3), (1, "c", 2), (2, "a", 7), (2, "b", 4), (3, "b", 6), (3, "c", 9), (4, "a", 1), (4, "c", 8)]
 
@@ -54,20 +54,12 @@ def random_rows(seed, n_txn=60, n_items=9, density=0.5, top=20):
             if rng.random() < density * (i + 2) / n_items]
 
 
-@pytest.fixture(params=["rows", "blocks", "blocks_at_once", "one_pass", "cut"])
+@pytest.fixture(params=["rows", "cut"])
 def plan(request, monkeypatch):
-    """Force each way the loop can go on: rows, matrices, a single pass, and states that are split
-    into head ranges and written at every level."""
-    monkeypatch.setattr(levels, "SUBSETS_PER_TASK", 10**9 if request.param == "one_pass" else 0)
-    monkeypatch.setattr(levels, "DENSE_FROM", 0.0 if request.param == "blocks" else 2.0)
-    monkeypatch.setattr(levels, "DENSE_UNITS_FROM", 0.0 if request.param == "blocks_at_once" else 2.0)
-    monkeypatch.setattr(levels, "FOLD_FROM", 0)
+    """The loop as it is, and with states that are split into head ranges and written at every level."""
     if request.param == "cut":
         monkeypatch.setattr(levels, "HEADS_PER_ROW", 2)
         monkeypatch.setattr(levels, "LEVELS_PER_CUT", 1)
-    if request.param.startswith("blocks"):
-        monkeypatch.setattr(blocks, "CELL_BYTES", 64)
-        monkeypatch.setattr(blocks, "PAIR_CELLS", 100)
     return request.param
 
 
@@ -87,10 +79,7 @@ def test_crisp_every_plan(spark, plan, engine):
     assert got == brute(rows, 8)
 
 
-def test_bitset_uses_the_top_bit(spark, monkeypatch):
-    monkeypatch.setattr(levels, "SUBSETS_PER_TASK", 0)
-    monkeypatch.setattr(levels, "DENSE_FROM", 0.0)
-    monkeypatch.setattr(levels, "FOLD_FROM", 0)
+def test_bitset_uses_the_top_bit(spark):
     rows = [(t, i, 1) for t, i, _ in random_rows(2, n_txn=200, n_items=7, density=0.9)]
     assert table(iw.frequent_itemsets(crisp_frame(spark, rows), 5, engine="bitset")) == brute(rows, 5)
 
@@ -228,3 +217,32 @@ def test_result_and_base_class(spark, tmp_path):
     assert miner.get_pattern_count() == 3 and miner.get_execution_time() >= 0
     miner.save(str(tmp_path / "out"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a\t3", "b\t3", "c\t3"]
+
+
+@pytest.mark.parametrize("kind", ["float", "decimal(5,2)", "double"])
+@pytest.mark.parametrize("engine", ["join", "grouped"])
+def test_fractional_memberships_keep_their_sums(spark, kind, engine):
+    rows = spark.createDataFrame([(1, "a", "0.5"), (2, "a", "0.7"), (1, "b", "0.6"), (2, "b", "0.9"), (2, "c", "0.1")], "txn_id bigint, item string, prob string")
+    got = iw.fuzzy_frequent_itemsets(rows.withColumn("prob", F.col("prob").cast(kind)), 1, engine=engine)
+    assert {tuple(r["items"]): round(float(r["support"]), 6) for r in got.itemsets.collect()} == {("a",): 1.2, ("b",): 1.5, ("a", "b"): 1.2}
+
+
+@pytest.mark.parametrize("engine", ["join", "bitset", "fpgrowth", "grouped"])
+def test_proportion_on_the_boundary_and_null_items(spark, engine):
+    rows = [(t, "x") for t in range(7)] + [(t, "all") for t in range(100)] + [(200 + t, None) for t in range(50)]
+    df = spark.createDataFrame(rows, "txn_id bigint, item string")
+    got = {tuple(r["items"]) for r in iw.frequent_itemsets(df, 0.07, engine=engine).itemsets.collect()}
+    assert got == {("x",), ("all",), ("all", "x")}
+
+
+def test_nan_is_absent(spark):
+    rows = [(1, "a", float("nan")), (1, "a", 0.25), (2, "b", float("nan")), (2, "c", 0.5)]
+    df = spark.createDataFrame(rows, "txn_id bigint, item string, prob double")
+    assert {tuple(r["items"]): r["support"] for r in iw.fuzzy_frequent_itemsets(df, 0.01).itemsets.collect()} == {("c",): 0.5, ("a",): 0.25}
+
+
+def test_periodic_on_both_sides_of_zero(spark):
+    ids = [-130, -129, -66, -65, -64, -1, 0, 1, 63, 64, 200]
+    df = spark.createDataFrame([(t, "a", 100) for t in ids], "txn_id bigint, item string, prob int").withColumn("prob", F.col("prob").cast("tinyint"))
+    row, = iw.fuzzy_periodic_frequent_itemsets(df, 1, 1, 2).itemsets.collect()
+    assert (row["support"], row["freq"], row["periodic_freq"]) == (1100, 11, sum(b - a <= 2 for a, b in zip(ids, ids[1:])))

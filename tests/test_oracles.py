@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 import verify
+from workload import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def duck():
     return verify.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_same_as_sql(spark, duck, name):
     state, n, _, note = verify.compare(spark, duck, name, SF_DIR)
     assert state == "ok", note

@@ -88,10 +88,37 @@ def crisp_words_bitset(spark, d):
     return as_text(iw.frequent_itemsets(words(spark, d), 0.4, engine="bitset"))
 
 
-@query("crisp_words_pairs", sets_sql(WORDS, 2, "0.05 * (SELECT n FROM n)", crisp=True, prune="0.05 * (SELECT n FROM n)"))
+@query("crisp_words_pairs", sets_sql(WORDS, 8, "0.38 * (SELECT n FROM n)", crisp=True, prune="0.38 * (SELECT n FROM n)"))
 def crisp_words_pairs(spark, d):
-    """Which words go together: pairs are the question, so the length is limited to 2."""
-    return as_text(iw.frequent_itemsets(words(spark, d), 0.05, max_len=2))
+    """Which words go together, in sets of any length."""
+    return as_text(iw.frequent_itemsets(words(spark, d), 0.38))
+
+
+_STEPS = """SELECT DISTINCT o_orderkey % 100 AS txn_id, r_name AS item, 1 AS prob FROM orders
+JOIN region ON o_orderkey % 100 < r_regionkey + 5"""
+_ALL_STEPS = "SELECT DISTINCT o_orderkey % 100 AS txn_id, 'all' AS item, 1 AS prob FROM orders"
+
+
+@query("crisp_boundary", sets_sql(f"{_STEPS} UNION ALL {_ALL_STEPS}", 4, "0.07 * (SELECT n FROM n)", crisp=True))
+def crisp_boundary(spark, d):
+    """100 transactions; one item is in exactly 7 of them, and the threshold is 0.07."""
+    txns = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("txn_id")).distinct()
+    steps = txns.join(F.broadcast(table(spark, d, "region")), F.col("txn_id") < F.col("r_regionkey") + 5)
+    rows = steps.select("txn_id", F.col("r_name").alias("item")).union(txns.select("txn_id", F.lit("all")))
+    return as_text(iw.frequent_itemsets(rows, 0.07))
+
+
+_KNOWN = USERDAY.replace("FROM events", "FROM events WHERE event_type <> 'error'")
+
+
+@query("crisp_null_items", f"""SELECT e.engine, s.* FROM ({sets_sql(_KNOWN, 4, "0.1 * (SELECT n FROM n)", crisp=True)}) s
+CROSS JOIN (VALUES ('join'), ('bitset'), ('fpgrowth'), ('grouped')) e(engine)""")
+def crisp_null_items(spark, d):
+    """Transactions with nothing but NULL items do not count, whatever the engine."""
+    rows = userday(spark, d).withColumn("item", F.nullif("item", F.lit("error")))
+    found = [as_text(iw.frequent_itemsets(rows, 0.1, engine=e)).withColumn("engine", F.lit(e))
+             for e in ("join", "bitset", "fpgrowth", "grouped")]
+    return exp.union_metrics(found)
 
 
 _FUZZY = sets_sql(BASKET, 5, "0.01 * (SELECT n FROM n)")
@@ -125,6 +152,18 @@ def fuzzy_floating(spark, d):
     return found.withColumn("support", F.round("support", 4))
 
 
+def _in_hundredths(kind: str):
+    def run(spark, d):
+        df = userday(spark, d).withColumn("prob", (F.col("prob") / 100).cast(kind))
+        found = as_text(iw.fuzzy_frequent_itemsets(df, 0.5))
+        return found.withColumn("support", F.round(F.col("support").cast("double"), 4))
+    return run
+
+
+for _name, _kind in (("fuzzy_decimal", "decimal(9,2)"), ("fuzzy_float", "float")):
+    query(_name, ORACLES["fuzzy_floating"])(_in_hundredths(_kind))
+
+
 _LAST = """SELECT l_orderkey AS txn_id, p_brand AS item, arg_max(CAST(round(l_discount * 100) AS BIGINT),
 l_linenumber * 100 + CAST(round(l_discount * 100) AS BIGINT)) AS prob
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
@@ -145,6 +184,13 @@ def periodic_hours(spark, d):
     return as_text(iw.fuzzy_periodic_frequent_itemsets(hours(spark, d), 1, 100, 2), "periodic_freq")
 
 
+@query("periodic_centred", sets_sql(f"SELECT txn_id - 361 AS txn_id, item, 100 AS prob FROM ({HOURS})", 5, "1", gap=2, periodic=100))
+def periodic_centred(spark, d):
+    """Ids on both sides of 0, and memberships of one byte."""
+    df = hours(spark, d).select((F.col("txn_id") - 361).alias("txn_id"), "item", F.lit(100).cast("tinyint").alias("prob"))
+    return as_text(iw.fuzzy_periodic_frequent_itemsets(df, 1, 100, 2), "periodic_freq")
+
+
 @query("periodic_fuzzy_basket", sets_sql(BASKET, 3, "0.01 * (SELECT n FROM n)", gap=40, periodic=150))
 def periodic_fuzzy_basket(spark, d):
     return as_text(iw.fuzzy_periodic_frequent_itemsets(basket(spark, d), 0.01, 150, 40), "periodic_freq")
@@ -167,11 +213,10 @@ def item_dictionary(spark, d):
     return dic.item_dictionary(basket(spark, d), 1000)
 
 
-@query("item_dictionary_by_support", f"""WITH o AS ({WORDS}), i AS (SELECT item, CAST(count(*) AS BIGINT) AS freq
-FROM o GROUP BY 1 HAVING count(*) >= 2)
-SELECT item, CAST(row_number() OVER (ORDER BY freq DESC, item) AS BIGINT) AS rank, freq AS support, freq FROM i""")
+@query("item_dictionary_by_support", _ITEMS + """ SELECT item, CAST(row_number() OVER (ORDER BY support DESC, item) AS BIGINT)
+AS rank, support, freq FROM i""")
 def item_dictionary_by_support(spark, d):
-    return dic.item_dictionary(words(spark, d), 2, by="support")
+    return dic.item_dictionary(basket(spark, d), 1000, by="support")
 
 
 @query("encode", _ITEMS + """ SELECT o.txn_id, r.rank, o.prob FROM o JOIN (SELECT item,
@@ -329,7 +374,7 @@ vals[3] AS c2 FROM ({_ORDER_LINES})""")
 def read_wide_csv(spark, d):
     path = Workspace(spark).path("wide.csv")
     writers.write_ragged_csv(_order_rows(spark, d).orderBy("row_index"), path)
-    return readers.read_wide(spark, path, 4, dtype="bigint", usecols=[0, 2], line_ids=True).select("line_id", "c0", "c2")
+    return readers.read_wide(spark, path, dtype="bigint", usecols=[0, 2], line_ids=True).select("line_id", "c0", "c2")
 
 
 @query("codec_matrix", """SELECT f.format, f.codec, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_partkey) AS BIGINT) AS total
@@ -396,11 +441,15 @@ def patterns_frame(spark, d):
     return iw.fuzzy_frequent_itemsets(userday(spark, d), 50.0).to_frame(" ")
 
 
-@query("wide_parquet", f"SELECT vals[1] AS c0, vals[2] AS c1, vals[3] AS c2, vals[4] AS c3, vals[5] AS c4 FROM ({_ORDER_LINES})")
+@query("wide_parquet", f"""SELECT CAST(i - 1 AS INTEGER) AS col, vals[i] AS value FROM (
+SELECT vals, unnest(range(1, len(vals) + 1)) AS i FROM ({_ORDER_LINES}))""")
 def wide_parquet(spark, d):
+    """Every cell of the wide table with its column, however many columns the longest order needs."""
     path = Workspace(spark).path("wide.parquet")
-    writers.write_wide_parquet(_order_rows(spark, d), path, 5, "zstd")
-    return spark.read.parquet(path)
+    writers.write_wide_parquet(_order_rows(spark, d), path, compression="zstd")
+    wide = spark.read.parquet(path)
+    cells = F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("value")) for i, c in enumerate(wide.columns)])
+    return wide.select(F.explode(cells).alias("c")).select("c.col", "c.value").where("value IS NOT NULL")
 
 
 @query("long_values", f"SELECT row_index, unnest(vals) AS value FROM ({_ORDER_LINES})")
@@ -461,10 +510,25 @@ SELECT line_id, 1, c1 FROM ({_WIDE}) WHERE c1 <> '' UNION ALL SELECT line_id, 2,
 @query("dense_parquet", _WIDE)
 def dense_parquet(spark, d):
     path = Workspace(spark).path("dense.parquet")
-    _wide(spark, d).write.option("compression", "none").parquet(path)
+    layouts.to_dense(_wide(spark, d), path)
     return spark.read.parquet(path)
 
 
+@query("wide_csv", f"""SELECT coalesce(c0, '') || ',' || c1 || CASE WHEN c2 <> '' THEN ',' || c2 ELSE '' END AS value FROM ({_WIDE})""")
+def wide_csv(spark, d):
+    """Sparse back to wide, and on to lines of text."""
+    path = Workspace(spark).path("wide.csv")
+    writers.write_wide_csv(layouts.from_sparse3(layouts.to_sparse3(_wide(spark, d)), 3).drop("line_id"), path)
+    return spark.read.text(path)
+
+
+@query("read_headered", "SELECT o_orderpriority, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders")
+def read_headered(spark, d):
+    path = Workspace(spark).path("orders.csv")
+    table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").write.option("header", True).csv(path)
+    return readers.read_headered(spark, path, ["o_orderpriority", "o_orderkey"])
+
+
 @query("sparse3", _SPARSE3)
 def sparse3(spark, d):
     return layouts.to_sparse3(_wide(spark, d))
@@ -480,10 +544,10 @@ def from_sparse3(spark, d):
     return layouts.from_sparse3(layouts.to_sparse3(_wide(spark, d)), 3)
 
 
-@query("from_sparse2", f"""SELECT line_id, l[1] AS c0, l[2] AS c1 FROM (SELECT line_id, list(item ORDER BY col) AS l
+@query("from_sparse2", f"""SELECT line_id, l[1] AS c0, l[2] AS c1, l[3] AS c2 FROM (SELECT line_id, list(item ORDER BY col) AS l
 FROM ({_SPARSE3}) GROUP BY 1)""")
 def from_sparse2(spark, d):
-    return layouts.from_sparse2(layouts.to_sparse3(_wide(spark, d)), 2, order="col")
+    return layouts.from_sparse2(layouts.to_sparse3(_wide(spark, d)), order="col")
 
 
 @query("number_rows", f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS position
@@ -539,6 +603,7 @@ CAST(count(*) AS DOUBLE) AS patterns_found FROM events GROUP BY 1, 2""")
 def run_log_metrics(spark, d):
     g = _cents(spark, d).groupBy("event_type", "user_id").agg(
         F.sum("cents").alias("s"), F.max("cents").alias("hi"), F.min("cents").alias("lo"), F.count("*").alias("n"))
+    # The lines a run prints.
     text = F.concat(
         F.lit("--- Miner Results ---\nExecution Time: "), F.col("s").cast("string"), F.lit(" seconds\nPeak CPU Memory Usage: "),
         F.col("hi").cast("string"), F.lit(" MB\n"),
@@ -547,15 +612,29 @@ def run_log_metrics(spark, d):
     return exp.extract_metrics(g.select("event_type", "user_id", text.alias("text")))
 
 
+@query("read_run_logs", f"""SELECT event_type, CAST(sum({_CENTS}) AS DOUBLE) AS exec_time, CAST(NULL AS DOUBLE) AS gpu_mem_mb,
+CAST(count(*) AS DOUBLE) AS patterns_found FROM events GROUP BY 1""")
+def read_run_logs(spark, d):
+    """Log files, one for each event type."""
+    path = Workspace(spark).path("logs")
+    g = _cents(spark, d).groupBy("event_type").agg(F.sum("cents").alias("s"), F.count("*").alias("n"))
+    text = F.concat(F.lit("start\nexecution time: "), F.col("s").cast("string"), F.lit(" seconds\nTotal Patterns Found: "), F.col("n").cast("string"))
+    g.select("event_type", text.alias("value")).write.partitionBy("event_type").text(path)
+    found = exp.extract_metrics(exp.read_logs(spark, path + "/*"))
+    return found.select(F.regexp_extract("path", "event_type=([^/]*)", 1).alias("event_type"), "exec_time", "gpu_mem_mb", "patterns_found")
+
+
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("comparison_table", f"""SELECT support_quant_int,
-max(CASE WHEN event_type = 'click' THEN t END) AS time_click, max(CASE WHEN event_type = 'view' THEN t END) AS time_view,
-max(CASE WHEN event_type = 'click' THEN p END) AS patterns_click, max(CASE WHEN event_type = 'view' THEN p END) AS patterns_view
+{", ".join(f"max(CASE WHEN event_type = '{e}' THEN {k[0]} END) AS {k}_{e}" for k in ("time", "patterns") for e in _TYPES)}
 FROM (SELECT user_id AS support_quant_int, event_type, CAST(sum({_CENTS}) AS DOUBLE) AS t, CAST(count(*) AS BIGINT) AS p
-FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2) GROUP BY 1""")
+FROM events GROUP BY 1, 2) GROUP BY 1""")
 def comparison_table(spark, d):
     metrics = _cents(spark, d).groupBy(F.col("user_id").alias("support_quant_int"), F.col("event_type").alias("algorithm")).agg(
         F.sum("cents").cast("double").alias("exec_time"), F.count("*").alias("patterns_found"))
-    return exp.comparison_table(metrics, ["click", "view"])
+    return exp.comparison_table(metrics, _TYPES)
 
 
 @query("metrics_csv", f"""SELECT CAST(user_id AS BIGINT) AS support_quant_int, event_type AS algorithm,
@@ -579,7 +658,7 @@ _SWEEP = [0.004, 0.006, 0.02, 0.05]
 
 
 @query("threshold_sweep", f"""WITH r AS ({_CRISP}), v(f) AS (VALUES
-(0.004), (0.006), (0.02), (0.05)), t AS (SELECT CAST(ceil(CAST(f AS DOUBLE) * (SELECT count(DISTINCT l_orderkey) FROM lineitem)) AS BIGINT)
+(0.004), (0.006), (0.02), (0.05)), t AS (SELECT CAST(ceil(f * (SELECT count(DISTINCT l_orderkey) FROM lineitem)) AS BIGINT)
 AS min_support FROM v)
 SELECT min_support, CAST(count(*) AS BIGINT) AS patterns, max(length) AS longest, CAST(sum(support) AS BIGINT) AS total_support
 FROM r JOIN t ON support >= min_support GROUP BY 1""")
@@ -588,6 +667,6 @@ def threshold_sweep(spark, d):
 
     df = basket(spark, d)
     n = dic.transaction_count(df)
-    steps = [math.ceil(f * n) for f in _SWEEP]
+    steps = [math.ceil(dic.share_of(f, n)) for f in _SWEEP]
     result = iw.frequent_itemsets(df, min(steps))
     return exp.threshold_sweep(result, steps)
