@@ -4,12 +4,15 @@
 2. Sets are banded by size: band i has the pairs whose smaller set has 2^i to 2^(i+1) - 1 shingles. Two linked sets of a
    band differ in at most k shingles, so when the shingles are dealt by hash into more than k parts, some part is the same in
    both. A tile is one such part with its content: sets meet only if a whole part agrees, and neither a passage that many
-   texts share nor frequent shingles bring other texts together. A set with no more filled parts than k (small or sparse ones) is
-   also dealt by the prefix filter, its first n - ceil(t n) + 1 shingles in order of hash, so no link is lost.
-3. Each member of a tile is compared with the tile's smallest member. Links found so far are joined into components.
+   texts share nor frequent shingles bring other texts together. A set leaves out its smallest parts as long as more than k
+   larger ones remain (two linked sets then still agree on a part that both send). A set with no more filled parts than k
+   (small or sparse ones) is also dealt by the prefix filter, its first n - ceil(t n) + 1 shingles in order of hash.
+3. Each member of a tile is compared with one pivot; tiles take their pivots by one of PIVOTS orders. Links found so far
+   are joined into components.
 4. Tiles that still hold several components are cut into cells of at most about CELL x CELL members. Inside a
-   cell all pairs of different components are compared by signature, in numpy; only those that may link leave it. Pairs
-   within a component need no comparison, so a large group of copies costs a comparison a member.
+   cell all pairs of different components are compared by signature, in numpy. In a first round each member names its most
+   promising partner; once those are settled and joined, all pairs that may link and are still apart are. Pairs within a
+   component need no comparison, so a large group of copies costs a few comparisons a member.
 5. A signature has one bit for each hashed shingle. Every bit that is set in x and not in y stands for a shingle of x
    that y lacks, so |x & y| <= |x| - popcount(x & ~y). Pairs that pass are settled on the sorted arrays.
 
@@ -33,7 +36,7 @@ from itemweave.llm.blocks import starts, whole_groups
 from itemweave.llm.common import Scratch, components, small
 from itemweave.llm.shingles import mix, shingle_set
 
-CELL = 512
+CELL, PIVOTS = 512, 3
 
 
 def need(n, percent: int):
@@ -59,15 +62,19 @@ def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if n > most:
             break
         k = most_different(small_most, most, percent)
-        parts = np.uint64(k + 3 + k // 25)
+        parts = np.uint64(k + 3 + k // 8)
         part = mix(s + np.uint64(i)) % parts
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         content = np.add.reduceat(mix(s[order] ^ np.uint64(0x5851F42D4C957F2D)), first)
-        out.append(mix(content + mix(part[first] + np.uint64(1 + (i << 40)))))
-        if len(first) <= most_different(n, min(most, 100 * n // percent), percent):
-            out.append(mix(s[:n - need(n, percent) + 1] + np.uint64((i + 1) << 50)))
+        keys = mix(content + mix(part[first] + np.uint64(1 + (i << 40))))
+        enough = most_different(n, min(most, 100 * n // percent), percent) + 1
+        if len(first) >= enough:
+            size = np.diff(np.append(first, n))
+            out.append(keys[size >= np.partition(size, len(size) - enough)[len(size) - enough]])
+        else:
+            out += [keys, mix(s[:n - need(n, percent) + 1] + np.uint64((i + 1) << 50))]
     return np.concatenate(out) if out else s
 
 
@@ -116,11 +123,13 @@ def _tiles(rows: pa.Table) -> pa.Table:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
     key, sid = key[new], sid[new]
-    first = starts(key)
-    size = np.diff(np.append(first, len(key)))
+    size = np.diff(np.append(starts(key), len(key)))
     c = np.repeat(size, size)
-    keep = c > 1
-    return pa.table({"key": key[keep], "sid": sid[keep], "pivot": np.repeat(sid[first], size)[keep], "c": c[keep]})
+    key, sid, c = key[c > 1], sid[c > 1], c[c > 1]
+    first = starts(key)
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    order = np.lexsort((mix(sid.view(np.uint64) ^ (key.view(np.uint64) % np.uint64(PIVOTS))), group))
+    return pa.table({"key": key, "sid": sid, "pivot": sid[order][first][group] if len(key) else sid, "c": c})
 
 
 def _sets(shingle: int):
@@ -166,20 +175,26 @@ def _settle(percent: int):
     return run
 
 
-def _settled(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) that link; signatures first unless the pairs have passed them already."""
+def _settled(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that link; signatures first unless the pairs have passed them already.
+
+    Few pairs are sent to the sets and so find the first set without a shuffle; only sets in a pair are shuffled.
+    """
     if not bounded:
         sig = sets.select("sid", "n", "sig")
         both = (pairs.join(sig.toDF("a", "n", "x"), "a").join(sig.toDF("b", "m", "y"), "b")
                 .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
         pairs = both.select("a", "b", "n", "m", "x", "y").mapInArrow(_may_link(percent), "a long, b long")
+    pairs = scratch.save(pairs, f"{name}-pairs")
     whole = sets.select("sid", "shingles")
-    return (pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            .mapInArrow(_settle(percent), "a long, b long"))
+    heads = whole.toDF("a", "x").join(small(scratch.save(pairs.select("a").distinct(), f"{name}-heads")), "a", "left_semi")
+    members = whole.toDF("b", "y").join(small(pairs), "b")
+    out = members.join(heads, "a").select("a", "b", "x", "y").mapInArrow(_settle(percent), "a long, b long")
+    return scratch.save(out.distinct(), name)
 
 
-def _cells(percent: int):
-    """Rows of a cell come together; compare its left with its right members."""
+def _cells(percent: int, best: bool):
+    """Rows of a cell come together; compare its left with its right members. best: one pair for each left member."""
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         comp, sid, n = (rows.column(c).to_numpy() for c in ("comp", "sid", "n"))
         left = rows.column("is_left").to_numpy()
@@ -191,7 +206,11 @@ def _cells(percent: int):
         for i in li:
             r = ri[(comp[ri] != comp[i]) & (np.minimum(n[ri], n[i]) * 100 >= np.maximum(n[ri], n[i]) * percent)]
             if len(r):
-                r = r[linked(bit_bound(sig[i][None, :], sig[r], n[i], n[r]), n[i], n[r], percent)]
+                bound = bit_bound(sig[i][None, :], sig[r], n[i], n[r])
+                may = linked(bound, n[i], n[r], percent)
+                r, bound = r[may], bound[may]
+                if best and len(r):
+                    r = r[[np.argmax(bound / (n[i] + n[r] - bound))]]
                 a.append(np.full(len(r), sid[i]))
                 b.append(sid[r])
         if a:
@@ -223,6 +242,23 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _open_cells(tiles: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The members of tiles that hold several components, dealt to cells (key, i, j); left ones are not of the pivot's."""
+    rows = tiles.where("c > 2").join(small(labels), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    rows = scratch.save(rows, f"{name}-open")
+    main = rows.where("sid = pivot").select("key", F.col("comp").alias("main"))
+    apart = rows.join(main, "key").where("comp <> main").groupBy("key", "main").agg(F.count("*").alias("k"))
+    rows = rows.join(apart, "key").where("sid <> pivot")
+    nr, nl = F.ceil(F.col("c") / CELL).cast("int"), F.ceil(F.col("k") / CELL).cast("int")
+    right = rows.select("key", "sid", "comp", F.pmod(F.xxhash64("sid"), nr).cast("int").alias("i"),
+                        F.explode(F.sequence(F.lit(0), nl - 1)).alias("j"), F.lit(False).alias("is_left"))
+    left = rows.where("comp <> main").select(
+        "key", "sid", "comp", F.explode(F.sequence(F.lit(0), nr - 1)).alias("i"),
+        F.pmod(F.xxhash64("sid", F.lit(1)), nl).cast("int").alias("j"), F.lit(True).alias("is_left"))
+    return (left.union(right).join(sets.select("sid", "n", "sig"), "sid")
+            .select("key", "i", "j", "is_left", "sid", "n", "comp", "sig"))
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
@@ -243,28 +279,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, doc
     sets = scratch.save(known.union(unknown), "sets")
     scratch.drop("ids", "involved")
     stars = tiles.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    edges = scratch.save(_settled(stars, sets, percent).distinct(), "stars")
-
-    labels = scratch.save(components(scratch, edges, "first"), "labels")
-    open_tiles = tiles.where("c > 2").join(small(labels.toDF("sid", "comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_tiles = scratch.save(open_tiles, "open")
-    main = open_tiles.where("sid = pivot").select("key", F.col("comp").alias("main")).distinct()
-    apart = (open_tiles.join(main, "key").where("comp <> main").groupBy("key", "main")
-             .agg(F.count("*").alias("k")))
-    cells = open_tiles.join(apart, "key").where("sid <> pivot")
-    nr, nl = F.ceil(F.col("c") / CELL).cast("int"), F.ceil(F.col("k") / CELL).cast("int")
-    right = cells.select("key", "sid", "comp", F.pmod(F.xxhash64("sid"), nr).cast("int").alias("i"),
-                         F.explode(F.sequence(F.lit(0), nl - 1)).alias("j"), F.lit(False).alias("is_left"))
-    left = cells.where("comp <> main").select(
-        "key", "sid", "comp", F.explode(F.sequence(F.lit(0), nr - 1)).alias("i"),
-        F.pmod(F.xxhash64("sid", F.lit(1)), nl).cast("int").alias("j"), F.lit(True).alias("is_left"))
-    cells = (left.union(right).join(sets.select("sid", "n", "sig"), "sid").select("key", "i", "j", "is_left", "sid", "n", "comp", "sig")
-             .repartition(_parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    pairs = cells.mapInArrow(_cells(percent), "a long, b long").distinct()
-    more = scratch.save(_settled(pairs, sets, percent, bounded=True), "more")
-    scratch.drop("open", "tiles", "labels")
-
-    labels = scratch.save(components(scratch, edges.union(more).distinct(), "all"), "components").toDF("sid", "comp")
+    edges = _settled(stars, sets, percent, scratch, "stars")
+    for name, best in (("best", True), ("rest", False)):
+        labels = scratch.save(components(scratch, edges, f"{name}-cc"), f"{name}-labels").toDF("sid", "comp")
+        apart = _open_cells(tiles, labels, sets, scratch, name)
+        pairs = apart.repartition(_parts(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells(percent, best), "a long, b long")
+        edges = edges.union(_settled(pairs.distinct(), sets, percent, scratch, name, bounded=True)).distinct()
+        scratch.drop(f"{name}-labels", f"{name}-open")
+    scratch.drop("tiles")
+
+    labels = scratch.save(components(scratch, edges, "all"), "components").toDF("sid", "comp")
     out = scanned.select("doc_id", "n", "sid").join(small(labels), "sid", "left")
     out = out.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
     lowest = out.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("lowest"))
