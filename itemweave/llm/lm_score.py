@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from itemweave.llm.common import Scratch
 
 END = b"\n"  # no word holds it
-BLOCK_BYTES, CHUNK_BYTES = 32 << 20, 2 << 20
+BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 1 << 20
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
 GRAM, WORD = 0, 1
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
@@ -116,7 +116,8 @@ def _requests(depth: int):
                     else:
                         words.update(w)
                 words[END] += 0 if out else len(part)
-            if size > 4_000_000:
+            # Merge once the chunks since the last merge outweigh what it left.
+            if size > max(1_000_000, len(keys[0])):
                 key, n = _sum_by_key(keys, counts)
                 keys, counts, size = [key], [n.astype(float)], 0
         key, n = _sum_by_key(keys, counts)
@@ -272,6 +273,7 @@ def _scores(depth: int, train_tokens: int, distinct: int):
 
         gram_keys, gram_values = sorted_side(GRAM)
         word_keys, counts = sorted_side(WORD)
+        del kind, key, value
         known: dict[bytes, float] = {}
 
         def word_value(w: bytes) -> float:
@@ -287,7 +289,7 @@ def _scores(depth: int, train_tokens: int, distinct: int):
             bits = gram_values[np.searchsorted(gram_keys, distinct_keys)][at]
             starts = np.cumsum([0, *[len(d) for _, d in part]])
             score = np.add.reduceat(bits, starts[:-1])
-            if len(known) > 400_000:
+            if len(known) > 150_000:
                 known.clear()
             for k, (found, d) in enumerate(part):
                 v = np.array([known[w] if w in known else word_value(w) for w in (*found, END)])
