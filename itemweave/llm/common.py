@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
-        """Write a table and read it back; Python stages inside get ``batch`` rows at a time."""
+        """Write a table and read it back; Python stages inside get ``batch`` rows at a time.
+
+        Spark removes a finished job's shuffle files when the driver collects its garbage; asking for that between jobs
+        keeps the disk from holding the shuffles of all of them.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, batch)

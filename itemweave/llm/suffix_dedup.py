@@ -56,7 +56,7 @@ class Suffixes:
             self.eight[k::8] = np.frombuffer(padded, "<u8", (self.n - k + 7) // 8, k)
         n = max(self.n - GRAM + 1, 0)
         e, w = self.eight, _WEIGHTS
-        self.gram = mix(mix(e[:n] * w[0] + e[8:8 + n]) * w[1] + e[12:12 + n]) if n else np.zeros(0, np.uint64)
+        self.gram = mix(mix(e[:n] * w[0] + e[8:8 + n]) * w[1] + e[GRAM - 8:GRAM - 8 + n]) if n else np.zeros(0, np.uint64)
         n = max(self.n - length + 1, 0)
         self.low = sliding(self.gram, self.reach + 1) if n else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -198,7 +198,13 @@ def _windows(length: int):
     def run(table, answers):
         told, keys, docs = Answers(answers), [], []
         for _, s, ids in _parts(table, length) if len(answers) else ():
-            w = s.windows_of(told.look_up(s, ids)[1])
+            whole, rest = told.look_up(s, ids)
+            w = s.windows_of(rest)
+            # A window beside a place that is settled is a repeat already, and so not the first of its kind.
+            edge = np.zeros(s.n + 1, np.int64)
+            np.add.at(edge, np.maximum(whole - s.reach, s.starts[s.doc[whole]]), 1)
+            np.add.at(edge, whole + 1, -1)
+            w = w[np.cumsum(edge)[w] == 0]
             keys.append(s.hashes(w))
             docs.append(ids[s.doc[w]])
         key, lo = _least(keys, docs)
