@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,10 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="llm-")
         self.root = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex[:12]}"
+        # Workers on the driver's machine find this package where the driver did; others get it by --py-files.
+        env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+        if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
