@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -43,18 +42,19 @@ class Scratch:
     def save(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
         """Write a table and read it back; Python stages inside get ``batch`` rows at a time.
 
-        Spark removes a finished job's shuffle files when the driver collects its garbage; asking for that between jobs
-        keeps the disk from holding the shuffles of all of them.
+        The job's shuffle files go as soon as the table is written, or the disk would hold those of all jobs until the
+        driver happens to collect its garbage. Both settings hold for this one write.
         """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, batch)
+        own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch),
+               "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        before = {k: self.spark.conf.get(k) for k in own}
         try:
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            self.spark.conf.set(key, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
