@@ -88,10 +88,10 @@ def crisp_words_bitset(spark, d):
     return as_text(iw.frequent_itemsets(words(spark, d), 0.4, engine="bitset"))
 
 
-@query("crisp_words_pairs", sets_sql(WORDS, 7, "0.38 * (SELECT n FROM n)", crisp=True, prune="0.38 * (SELECT n FROM n)"))
+@query("crisp_words_pairs", sets_sql(WORDS, 7, "0.42 * (SELECT n FROM n)", crisp=True, prune="0.42 * (SELECT n FROM n)"))
 def crisp_words_pairs(spark, d):
     """Which words go together, in sets of any length."""
-    return as_text(iw.frequent_itemsets(words(spark, d), 0.38))
+    return as_text(iw.frequent_itemsets(words(spark, d), 0.42))
 
 
 _STEPS = """SELECT DISTINCT o_orderkey % 100 AS txn_id, r_name AS item, 1 AS prob FROM orders
