@@ -98,6 +98,7 @@ def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nd
 
 def _requests(depth: int):
     def run(table):
+        pa.default_memory_pool().release_unused()  # what the last block has left
         texts, held = table.column("text"), table.column("held_out").to_pylist()
         words: Counter = Counter()
         keys, counts, size = [], [], 0
@@ -263,6 +264,7 @@ def _scores(depth: int, train_tokens: int, distinct: int):
     unknown = np.log10(1 / (train_tokens + distinct + 1))
 
     def run(docs, replies):
+        pa.default_memory_pool().release_unused()  # what the last block has left
         kind, key, value = (replies.column(c).to_numpy() for c in ("kind", "key", "value"))
         key = key.view(np.uint64)
 
