@@ -5,13 +5,15 @@ placeholders, other words lose punctuation and case. Every WINDOW consecutive ca
 least LITERALS ordinary words are a template. Windows of documents meet templates by an equality join on their hash.
 Matches are grouped by document, item and alignment (place in the document minus place in the item, in words); an
 alignment counts if each slot value of the item always stands for one value in the document, so the same question with
-other numbers or names is found and a chance mixture is not. An item leaks into a document if consistent alignments cover
-at least ``percent`` of its templates.
+other numbers or names is found and a chance mixture is not. Which words are names depends on their case and on full stops, so
+the place of a template is also found by the WINDOW words as they are, without case and punctuation, wherever they stand
+in the document. An item leaks into a document if consistent alignments and literal windows cover at least ``percent`` of
+its templates; of an item without templates (all capitals, say) every literal window counts instead.
 
 The benchmark side is broadcast only when its counted templates are within BROADCAST_ROWS; beyond it the join shuffles.
 Slot values travel only with matching windows.
 
-Defined cases: a NULL, empty or short text has no window; an item with fewer than WINDOW words has no template and cannot
+Defined cases: a NULL, empty or short text has no window; an item with fewer than WINDOW words has no window and cannot
 leak; repeated documents are reported once for each doc_id, repeated items once for each item_id; NULL ids group
 together; empty tables give empty results; other columns are not read (``drop_leaks`` keeps them).
 """
@@ -55,11 +57,16 @@ def canonical(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__c", F.transform("__m", form))
 
 
-def _hashes(df: DataFrame) -> DataFrame:
-    """Add __h: the hash of each window, by place."""
-    return df.withColumn("__h", F.when(F.size("__c") >= WINDOW, F.slice(
-        F.transform("__c", lambda w, i: F.xxhash64(w, *[F.get("__c", i + k) for k in range(1, WINDOW)])),
-        1, F.greatest(F.size("__c") - (WINDOW - 1), F.lit(1)))))
+def literal(df: DataFrame, text: str) -> DataFrame:
+    """Add __l: the words without case and punctuation; those of punctuation alone go."""
+    return df.withColumn("__l", words(F.lower(F.translate(F.col(text), _MARKS, ""))))
+
+
+def _hashes(df: DataFrame, of: str = "__c", to: str = "__h") -> DataFrame:
+    """Add the hash of each window, by place."""
+    return df.withColumn(to, F.when(F.size(of) >= WINDOW, F.slice(
+        F.transform(of, lambda w, i: F.xxhash64(w, *[F.get(of, i + k) for k in range(1, WINDOW)])),
+        1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(1)))))
 
 
 def _slots(place: str) -> Column:
@@ -68,14 +75,24 @@ def _slots(place: str) -> Column:
 
 
 def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, n_windows, place, h and the slot values of each template."""
+    """item_id, n_windows, place, h and the slot values of each template, and g, the hash of its literal window.
+
+    Items without templates have their literal windows only, with no h.
+    """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")).distinct()
-    rows = _hashes(canonical(items, "__text")).select("item_id", "__m", "__c", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
-    literal = F.size(F.filter(F.slice("__c", F.col("place") + 1, WINDOW), lambda w: ~w.isin("<n>", "<u>", "<a>")))
-    rows = rows.where(literal >= LITERALS)
-    counts = rows.groupBy(F.col("item_id").alias("__i")).agg(F.countDistinct("place").alias("n_windows"))
-    return rows.join(counts, F.col("item_id").eqNullSafe(F.col("__i"))).select(
-        "item_id", "n_windows", "place", "h", _slots("place").alias("slots"))
+    rows = _hashes(_hashes(literal(canonical(items, "__text"), "__text")), "__l", "__g")
+    # The place among the literal words; the two differ only if some words are punctuation alone.
+    rows = rows.withColumn("__p", F.filter(F.transform("__m", lambda w, i: F.when(w != _STOP, i)), lambda i: i.isNotNull()))
+    rows = rows.select("item_id", "__m", "__c", "__g", "__p", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
+    at = F.when(F.size("__p") == F.size("__m"), F.col("place")).otherwise((F.array_position("__p", F.col("place")) - 1).cast("int"))
+    count = F.size(F.filter(F.slice("__c", F.col("place") + 1, WINDOW), lambda w: ~w.isin("<n>", "<u>", "<a>")))
+    rows = rows.select("item_id", "place", "h", _slots("place").alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"))
+    counts = rows.groupBy(F.col("item_id").alias("__i")).agg(
+        F.max("typed").alias("__typed"), F.countDistinct(F.when(F.col("typed"), F.col("place"))).alias("__n"),
+        F.countDistinct(F.when(F.col("g").isNotNull(), F.col("place"))).alias("__literal"))
+    rows = rows.join(counts, F.col("item_id").eqNullSafe(F.col("__i"))).where("typed OR NOT __typed AND g IS NOT NULL")
+    return rows.select("item_id", F.when(F.col("__typed"), F.col("__n")).otherwise(F.col("__literal")).alias("n_windows"), "place",
+                       F.when(F.col("typed"), F.col("h")).alias("h"), "slots", "g")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
@@ -83,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
     """doc_id, item_id, n_windows (of the item), n_matched (templates found) and n_changed (slot values that differ)."""
     scratch = Scratch(docs.sparkSession)
     known = scratch.save(templates(benchmark, item_id, item_text), "templates")
-    side = small(known.select(F.col("h").alias("__t")).distinct())
+    side = small(known.select(F.col("h").alias("__t")).where("__t IS NOT NULL").distinct())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     # Only ids, places and hashes are laid out by window; the words of the few documents that match are read again.
     # The outer form keeps Spark from testing the size of the array, and so computing it, ahead of the explode.
@@ -102,11 +119,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
         F.max(F.col("lo") != F.col("hi")).alias("mixed"), F.sum((F.col("slots") != F.col("lo")).cast("long")).alias("n_changed"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "item_id", "shift")]
     met = met.alias("a").join(slots.alias("b"), same[0] & same[1] & same[2], "left").where("NOT coalesce(b.mixed, false)")
-    out = met.groupBy("a.doc_id", "a.item_id", "n_windows").agg(
-        F.countDistinct("place").alias("n_matched"), F.coalesce(F.max("n_changed"), F.lit(0)).alias("n_changed"))
+    met = met.select("a.doc_id", "a.item_id", "n_windows", "place", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    out = met.union(_verbatim(docs, known, scratch, doc_id, text)).groupBy("doc_id", "item_id", "n_windows").agg(
+        F.countDistinct("place").alias("n_matched"), F.max("n_changed").alias("n_changed"))
     return out.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
 
 
+def _verbatim(docs: DataFrame, known: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
+    """doc_id, item_id, n_windows and place of each literal window of an item in a document; nothing is changed in them."""
+    side = small(known.select("g").where("g IS NOT NULL").distinct())
+    rows = _hashes(literal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text"), "__l", "__g")
+    found = scratch.save(rows.select("doc_id", F.explode_outer("__g").alias("g")).join(side, "g", "left_semi").distinct(), "verbatim")
+    return found.join(known, "g").select("doc_id", "item_id", "n_windows", "place", F.lit(0).cast("long").alias("n_changed"))
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` into which no item leaks; rows that share a doc_id go together."""
     scratch = Scratch(docs.sparkSession)

@@ -463,6 +463,20 @@ def test_leaks(spark, docs, empty):
     assert leaks(docs, bench).count() == 0 and leaks(empty, bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_other_case(spark):
+    """Words as they are count where names are typed by case: upper, lower, without full stops, and items in capitals."""
+    named = "Old Anna Meyer met the tall guide at Lake Como. Then Berta Lang rowed them over to Bellagio before the storm came"
+    plain = "Seven small birds sat on the fence near the river and sang until the evening came over the hills"
+    loud = "WHO TOOK THE LAST TRAIN FROM THE NORTHERN STATION TO THE SEA"
+    bench = spark.createDataFrame([(1, named), (2, plain), (3, loud)], "item_id long, text string")
+    rows = [(1, named.upper()), (2, plain.upper()), (3, named.lower()), (4, named.replace(".", " ,")), (5, loud.title()), (6, "so " + loud + " now"),
+            (7, " ".join(plain.upper().split()[:9])), (8, "Other words " * 9), (None, plain.title())]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.n_changed) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 1), (4, 1), (5, 3), (6, 3), (None, 2)}
+    assert all(matched == n and not changed for matched, n, changed in got.values())
+    assert got[2, 2][1] == len(plain.split()) - 7 and got[5, 3][1] == len(loud.split()) - 7
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 
