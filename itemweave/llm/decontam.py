@@ -3,11 +3,12 @@
 Words are brought to a canonical form: numbers, units behind a number, and names (capitals inside a sentence) become typed
 placeholders, other words lose punctuation and case. Every WINDOW consecutive canonical words of a benchmark item with at
 least LITERALS ordinary words are a template. Windows of documents meet templates by an equality join on their hash.
-Matches are grouped by document, item and alignment (place in the document minus place in the item, in words); an
-alignment counts if each slot value of the item always stands for one value in the document, so the same question with
-other numbers or names is found and a chance mixture is not. Which words are names depends on their case and on full stops, so
+Matches are grouped by document, item and alignment (place in the document minus place in the item, in words). In an
+alignment each slot value of the item stands for one value in the document, that of most windows (of equals the least);
+windows with another value do not count, so the same question with other numbers or names is found and a chance mixture
+is not. Which words are names depends on their case and on full stops, so
 the place of a template is also found by the WINDOW words as they are, without case and punctuation, wherever they stand
-in the document. An item leaks into a document if consistent alignments and literal windows cover at least ``percent`` of
+in the document. An item leaks into a document if consistent windows and literal windows cover at least ``percent`` of
 its templates; of an item without templates (all capitals, say) every literal window counts instead.
 
 The benchmark side is broadcast only when its counted templates are within BROADCAST_ROWS; beyond it the join shuffles.
@@ -97,7 +98,7 @@ def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_matched (templates found) and n_changed (slot values that differ)."""
+    """doc_id, item_id, n_windows (of the item), n_matched (templates found) and n_changed (slot values that differ in them)."""
     scratch = Scratch(docs.sparkSession)
     known = scratch.save(templates(benchmark, item_id, item_text), "templates")
     side = small(known.select(F.col("h").alias("__t")).where("__t IS NOT NULL").distinct())
@@ -113,13 +114,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
     found = rows.select("doc_id", "__c", "__m", "__h", F.explode_outer("__at").alias("at")).where(F.get("__h", "at").isNotNull())
     found = scratch.save(found.select("doc_id", "at", F.get("__h", "at").alias("h"), _slots("at").alias("values")).distinct(), "found")
     met = found.join(known, "h").withColumn("shift", F.col("at") - F.col("place"))
-    pairs = (met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "values")).alias("v"))
-             .groupBy("doc_id", "item_id", "shift", "v.slots").agg(F.min("v.values").alias("lo"), F.max("v.values").alias("hi")))
-    slots = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.max(F.col("lo") != F.col("hi")).alias("mixed"), F.sum((F.col("slots") != F.col("lo")).cast("long")).alias("n_changed"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "item_id", "shift")]
-    met = met.alias("a").join(slots.alias("b"), same[0] & same[1] & same[2], "left").where("NOT coalesce(b.mixed, false)")
-    met = met.select("a.doc_id", "a.item_id", "n_windows", "place", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    # The windows of an alignment are bounded by the item, so its slots fit a row.
+    same = ["doc_id", "item_id", "shift"]
+    most = (met.select(*same, F.explode(F.arrays_zip("slots", "values")).alias("v"), "place").distinct()
+            .groupBy(*same, "v").agg(F.count("*").alias("n"))
+            .groupBy(*same, "v.slots").agg(F.min(F.struct(-F.col("n"), "v.values"))["values"].alias("value"))
+            .groupBy(*same).agg(F.map_from_entries(F.collect_list(F.struct("slots", "value"))).alias("most")))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same]
+    met = met.alias("a").join(most.alias("b"), on[0] & on[1] & on[2], "left").where(
+        F.forall(F.arrays_zip("slots", "values"), lambda v: F.element_at("most", v["slots"]) == v["values"]))
+    changed = F.transform(F.filter(F.arrays_zip("slots", "values"), lambda v: v["slots"] != v["values"]), lambda v: v["slots"])
+    met = met.select("a.doc_id", "a.item_id", "n_windows", "a.shift", "place", changed.alias("changed")).groupBy("doc_id", "item_id", "n_windows", "shift").agg(
+        F.collect_set("place").alias("places"), F.size(F.array_distinct(F.flatten(F.collect_list("changed")))).cast("long").alias("n_changed"))
+    met = met.select("doc_id", "item_id", "n_windows", F.explode("places").alias("place"), "n_changed")
     out = met.union(_verbatim(docs, known, scratch, doc_id, text)).groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("place").alias("n_matched"), F.max("n_changed").alias("n_changed"))
     return out.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))

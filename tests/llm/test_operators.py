@@ -477,6 +477,18 @@ def test_leaks_in_other_case(spark):
     assert got[2, 2][1] == len(plain.split()) - 7 and got[5, 3][1] == len(loud.split()) - 7
 
 
+def test_leaks_with_one_value_for_two(spark):
+    """Equal slot values that stand for two values cost their windows, not the alignment."""
+    sum_of = "Add 2 apples and 2 pears to the basket that stands behind the door of the kitchen and count what lies in it"
+    names = "Yesterday Anna walked along the river with her dog and told everyone in the village that nobody but Anna had seen it"
+    bench = spark.createDataFrame([(1, sum_of), (2, names)], "item_id long, text string")
+    rows = [(1, sum_of.replace("2", "3", 1).replace("2", "4")), (2, names.replace("but Anna", "but Berta")), (3, sum_of.replace("2", "3")), (4, names.replace("Anna", "Berta"))]
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.n_changed) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    n, m = len(sum_of.split()) - 7, len(names.split()) - 7
+    # Document 1: the windows 0 and 1 hold both numbers, 2 to 4 the second only. Document 2: four windows have Berta, and those with Anna are literal.
+    assert got == {(1, 1): (n - 2, n, 1), (2, 2): (m, m, 1), (3, 1): (n, n, 1), (4, 2): (m, m, 1)}
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 
