@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemweave.llm.common import table
+from itemweave.llm.conversation_repair import repaired_digests
 from itemweave.llm.decontam import UNITS, leaks
+from itemweave.llm.hard_negatives import hard_negatives
 from itemweave.llm.html_extract import main_text
 from itemweave.llm.jaccard import jaccard_components
 from itemweave.llm.line_dedup import line_dedup
@@ -18,6 +20,7 @@ from itemweave.llm.quality import quality_scores
 from itemweave.llm.substring_dedup import repeated_words
 from itemweave.llm.suffix_dedup import repeated_bytes
 from itemweave.llm.url_filter import evaluate, host, path
+from itemweave.llm.warc import fetch, find, write_archives, write_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +179,50 @@ def op2_url_filters(spark, sf_dir):
     out = evaluate(captures, entries)
     return out.select("page_id", "url", "pattern", F.unix_micros(F.col("since").cast("timestamp")).alias("since_us"), "action",
                       F.coalesce(F.col("action") != "block", F.lit(True)).alias("kept"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    return repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+#: Every row with an id divisible by 50 is an anchor; every seventh label is one too high.
+_OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", _OP12)
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
+#: The digest is that of the whole payload, five bits a letter.
+_OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, payload_bytes, min(page_id) AS first FROM p GROUP BY ALL)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(x, 1 + 10 * CAST(i // 8 AS INT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (x, payload_bytes)
+"""
+
+
+@query("op13_warc", _OP13)
+def op13_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    archive = write_index(write_archives(pages, least_bytes=0))
+    records = fetch(archive, find(archive, pages), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

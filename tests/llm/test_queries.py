@@ -21,6 +21,9 @@ COLUMNS = {
     "op7_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_jaccard": ["doc_id", "n_shingles", "component_id"],
+    "op11_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
 }
 
 
@@ -34,7 +37,9 @@ def test_same_as_sql(spark, name):
 def test_contract_columns(spark, name):
     out = queries.QUERIES[name](spark, SF_DIR)
     assert out.columns[:len(COLUMNS[name])] == COLUMNS[name]
-    if name not in ("op4_packing", "op6_html_extraction"):
+    if name == "op11_conversation_repair":
+        assert out.count() == table(spark, SF_DIR, "conversations").select("conv_id").distinct().count()
+    elif name not in ("op4_packing", "op6_html_extraction", "op12_hard_negatives", "op13_warc"):
         assert out.count() == table(spark, SF_DIR, "documents").count()
 
 
