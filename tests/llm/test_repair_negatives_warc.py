@@ -204,12 +204,12 @@ def test_bounds_hold_at_every_level():
     x = np.floor(rng.normal(size=(50, 37)) * 100)
     table = pa.table({"vec_id": pa.array(range(50)), "label": pa.array([0] * 50), "vector": pa.array(list(x)), "summary": pa.array(list(hn.summary(x)))})
     v, rows = hn.Vectors(table, 37), np.arange(50)
-    exact, width = v.scores(rows, v, 3), math.inf
+    exact, width = x @ x.T, math.inf
     for level in range(len(hn.LEVELS)):
-        low, high = v.bounds(level, rows, v, 3)
-        assert (low <= exact).all() and (exact <= high).all()
-        assert (high - low).sum() < width
-        width = (high - low).sum()
+        middle, reach = v.bounds(level, rows, v, rows)
+        assert (np.abs(exact - middle) <= reach).all()
+        assert reach.sum() < width
+        width = reach.sum()
 
 
 # --- archives ----------------------------------------------------------------------------------------------------------
