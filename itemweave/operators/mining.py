@@ -26,13 +26,13 @@ from itemweave.plans.levels import (
     FUZZY,
     Counting,
     LevelRun,
+    Steps,
     Support,
     _metrics,
     _observed,
     _stat,
     broadcast_if,
     grow,
-    pack_units,
     rank_items,
     text_bytes,
 )
@@ -63,7 +63,7 @@ def _transactions(occ: DataFrame, counting: Counting) -> int:
 
 def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_for: Callable[..., Support],
             max_len: int | None, started: float, n_transactions: int | None = None,
-            split_local: Callable | None = None, finish_local: Callable | None = None) -> MiningResult:
+            split_local: Callable | None = None, finish_local: Callable | None = None, steps: Steps | None = None) -> MiningResult:
     """Dictionary, one packing shuffle, then the level loop. ``occ`` holds one row per item and unit;
     ``support_for`` takes the threshold as a count."""
     spark = occ.sparkSession
@@ -91,8 +91,9 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
             first = rank_items(items, n_items, [F.col("freq"), F.col("item")], ws)
             names = first.select("item", "rank")
             rows = occ.join(broadcast_if(names, n_items, item_text), "item").select("unit", "rank", "m")
-            units = pack_units(rows, support.counting.has_values, support.carried).persist()
-            grow(units, first, n_items, item_text, support, ws, run, max_len, split_local)
+            steps = steps or Steps(support, ws)
+            units = steps.pack(rows).persist()
+            grow(units, first, n_items, item_text, support, ws, run, max_len, split_local, steps)
             if run.local_states:
                 run.tables.extend(finish_local(run, first, ws))
     finally:
@@ -137,6 +138,15 @@ def _crisp_bitset(df: DataFrame, min_support, max_len: int | None, started: floa
                    max_len, started, n_transactions)
 
 
+def _crisp_bitmap(df: DataFrame, min_support, max_len: int | None, started: float,
+                  n_transactions: int | None) -> MiningResult:
+    """Compressed bitmaps over runs of transactions; ids may be anything that sorts, with any holes."""
+    from itemweave.plans.bitmaps import BitmapSteps
+
+    return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), min_support, lambda t: Support(CRISP, _keep(t)),
+                   max_len, started, n_transactions, steps=BitmapSteps())
+
+
 def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: float,
                     n_transactions: int | None) -> MiningResult:
     """Spark's own parallel FP-growth. It keeps sets with at least ``ceil(ratio * n)`` transactions,
@@ -176,6 +186,7 @@ def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: flo
 ENGINES: dict[str, Callable[..., MiningResult]] = {
     "join": _crisp_join,
     "bitset": _crisp_bitset,
+    "bitmap": _crisp_bitmap,
     "fpgrowth": _crisp_fpgrowth,
     "grouped": _crisp_grouped,
 }

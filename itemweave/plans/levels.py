@@ -164,19 +164,38 @@ def _heads(state: DataFrame, widest: int) -> DataFrame:
                 F.col("lo"), F.least(F.col("lo") + F.lit(HEADS_PER_ROW - 1), last)))).drop("lo")))
 
 
-def candidate_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...], widest: int) -> DataFrame:
-    """Every occurrence of every candidate: ``(sid, a, b, m)``."""
-    pairs = _heads(state, widest).withColumn(
-        "j", F.explode(F.sequence(F.col("i") + 1, F.size("r") - 1)))
-    cols = [F.col("sid"), F.get("r", F.col("i")).alias("a"), F.get("r", F.col("j")).alias("b"), *carried]
-    if counting.has_values:
-        cols.append(counting.combine(F.get("m", F.col("i")), F.get("m", F.col("j"))).alias("m"))
-    else:
-        cols.append(F.lit(1).alias("m"))
-    rows = pairs.select(*cols)
+def candidate_rows(state: DataFrame, counting: Counting, carried: tuple[str, ...], widest: int,
+                   pairs: DataFrame | None = None) -> DataFrame:
+    """Every occurrence of every candidate: ``(sid, a, b, m)``. With ``pairs`` (rows of a pair table), only
+    heads in it, and of their candidates those whose pair has its bit."""
+    heads = _heads(state, widest).withColumn("a", F.get("r", F.col("i")))
+    if pairs is not None:
+        heads = heads.join(F.broadcast(pairs), "a")
+    rows = heads.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("r") - 1))).withColumn("b", F.get("r", F.col("j")))
+    if pairs is not None:
+        word = F.get("bits", F.shiftright("b", 6).cast("int"))
+        rows = rows.where(F.getbit(word, F.col("b").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    m = counting.combine(F.get("m", F.col("i")), F.get("m", F.col("j"))) if counting.has_values else F.lit(1)
+    rows = rows.select("sid", "a", "b", *carried, m.alias("m"))
     return rows.where(counting.alive(F.col("m"))) if counting.alive else rows
 
 
+def pair_table(level: DataFrame, n_items: int, ws: Workspace) -> list[DataFrame]:
+    """The frequent pairs as a triangular table of bits, ``(a, bits)`` by rank, in ranges of heads.
+
+    A head's words are put together with ``bit_or``, so a range has at most ``BITMAP_LONGS`` words however many pairs there are,
+    and each may be broadcast. More items only mean more ranges.
+    """
+    width = (n_items >> 6) + 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b").bitwiseAND(F.lit(63)))
+    words = (level.groupBy("a", F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("word"))
+             .groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("w", "word"))).alias("ws")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda w: F.coalesce(F.try_element_at("ws", w), F.lit(0).cast("bigint")))
+    table = ws.write(words.select("a", dense.alias("bits")), "pairs")
+    heads = max(BITMAP_LONGS // width, 1)
+    return [table.where((F.col("a") >= lo) & (F.col("a") < lo + heads)) for lo in range(1, n_items + 1, heads)]
+
+
 def extension_classes(level: DataFrame) -> DataFrame:
     """Prefixes of a level with at least two frequent extensions: only these can grow."""
     return (level.groupBy("sid", "a", "pid").agg(F.sort_array(F.collect_list("b")).alias("ext"),
@@ -209,6 +228,9 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
             return F.array_contains("ext", rank)
 
     heads = _heads(state, widest).withColumn("a", F.get("r", F.col("i")))
+    if n_sets > BROADCAST_SETS:  # heads travel: each with what comes after it only
+        rest = {c: F.slice(c, F.col("i") + 1, F.size(c) - F.col("i")) for c in (("r", "m") if counting.has_values else ("r",))}
+        heads = heads.withColumns(rest).withColumn("i", F.lit(0))
     heads = heads.join(broadcast_if(classes.select("sid", "a", "pid", "ext"), n_sets), ["sid", "a"])
     later = F.sequence(F.col("i") + 1, F.size("r") - 1)
 
@@ -231,29 +253,57 @@ def _longest(state: DataFrame) -> int:
     return state.agg(F.max(F.size("r"))).first()[0] or 0
 
 
+class Steps:
+    """The three steps of the level loop on packed rows: pack, count a level, and build the next state."""
+
+    def __init__(self, support: Support, ws: Workspace):
+        self.support, self.counting, self.carried, self.ws = support, support.counting, support.carried, ws
+        self.pairs: list[DataFrame | None] = [None]
+        self.widest = 0
+
+    def pack(self, rows: DataFrame) -> DataFrame:
+        return pack_units(rows, self.counting.has_values, self.carried)
+
+    def totals(self, state: DataFrame, widest: int) -> DataFrame:
+        self.widest = widest
+        rows = None
+        for pairs in self.pairs:
+            part = candidate_rows(state, self.counting, self.carried, widest, pairs)
+            rows = part if rows is None else rows.unionByName(part)
+        return self.support.totals(rows, ["sid", "a", "b"])
+
+    def extend(self, state: DataFrame, classes: DataFrame, n_sets: int, n_items: int, bitmap: bool) -> DataFrame:
+        return next_state(state, classes, self.counting, self.carried, self.widest, n_items, bitmap, n_sets)
+
+    def advance(self, state: DataFrame, level: DataFrame, n_sets: int, n_items: int, k: int,
+                classes: DataFrame | None = None) -> DataFrame:
+        bitmap = n_items > 128 and n_sets // 2 * ((n_items >> 6) + 1) <= BITMAP_LONGS
+        # With nearly all pairs frequent there is nothing to prune.
+        if k == 2 and n_sets < 0.4 * n_items * (n_items - 1):
+            self.pairs = pair_table(level, n_items, self.ws)
+        return self.extend(state, extension_classes(level) if classes is None else classes, n_sets, n_items, bitmap)
+
+
 def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, support: Support, ws: Workspace,
-         run: LevelRun, max_len: int | None, split_local: Callable | None = None) -> LevelRun:
+         run: LevelRun, max_len: int | None, split_local: Callable | None = None, steps: Steps | None = None) -> LevelRun:
     """Levels 2 and up. ``first`` is the ranked dictionary ``(rank, item, ...)``; ``units`` the packed
     level-1 state; ``item_text`` the bytes of all items. ``split_local(classes)`` may take
     over prefix classes small enough to finish in one task each; it returns the classes that stay
     in the loop and those it takes."""
-    counting, carried = support.counting, support.carried
+    steps = steps or Steps(support, ws)
     names = broadcast_if(first.select(F.col("rank").alias("b"), F.col("item").alias("name")), n_items, item_text)
     parents = first.select(F.lit(0).cast("bigint").alias("sid"), F.col("rank").alias("a"),
                            F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"),
                            F.col("freq").alias("pfreq"))
     parents = broadcast_if(parents, n_items, item_text)
-    n_parents, pair_filter, state, k = n_items, None, units, 1
+    n_parents, state, k = n_items, units, 1
     run.held.append(state)
     while n_parents > k and (max_len is None or k < max_len):
         started = time.time()
         widest = _longest(state)
         if widest == 0:
             break
-        rows = candidate_rows(state, counting, carried, widest)
-        if pair_filter is not None:
-            rows = rows.join(F.broadcast(pair_filter), ["a", "b"], "left_semi")
-        totals = support.totals(rows, ["sid", "a", "b"])
+        totals = steps.totals(state, widest)
         k += 1
         totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
         level = (totals.where(support.keep).join(parents, ["sid", "a"]).join(names, "b")
@@ -267,20 +317,17 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
         # A (k+1)-set needs k+1 frequent subsets of size k.
         if n_sets <= k or (max_len is not None and k >= max_len):
             break
-        classes = extension_classes(level)
-        bitmap = n_items > 128 and min(n_sets // 2, n_parents) * ((n_items >> 6) + 1) <= BITMAP_LONGS
-        if split_local is not None:
-            classes, taken = split_local(classes)
-            run.local_states.append(
-                next_state(state, taken, counting, carried, widest, n_items, False, n_sets))
-        state = next_state(state, classes, counting, carried, widest, n_items, bitmap, n_sets)
+        if split_local is None:
+            state = steps.advance(state, level, n_sets, n_items, k)
+        else:
+            classes, taken = split_local(extension_classes(level))
+            run.local_states.append(steps.extend(state, taken, n_sets, n_items, False))
+            state = steps.advance(state, level, n_sets, n_items, k, classes)
         if k % LEVELS_PER_CUT == 0:
             state = ws.write(state, f"state-{k}")
         else:
             state = state.persist()
             run.held.append(state)
-        if k == 2 and n_sets <= BROADCAST_SETS and n_sets < 0.4 * n_items * (n_items - 1):
-            pair_filter = level.select("a", "b")
         parents = level.select(F.col("pid").alias("sid"), F.col("b").alias("a"), F.col("id").alias("pid"),
                                F.col("items").alias("prefix"), F.col("freq").alias("pfreq"))
         parents = broadcast_if(parents, n_sets, text)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import itemweave as iw
 from itemweave.operators import grouped
 from itemweave.operators.prepare import replicate
-from itemweave.plans import levels
+from itemweave.plans import bitmaps, levels
 
 TINY = [(1, "a", 5), (1, "b", 3), (1, "c", 2), (2, "a", 7), (2, "b", 4), (3, "b", 6), (3, "c", 9), (4, "a", 1), (4, "c", 8)]
 
@@ -60,6 +60,11 @@ def plan(request, monkeypatch):
     if request.param == "cut":
         monkeypatch.setattr(levels, "HEADS_PER_ROW", 2)
         monkeypatch.setattr(levels, "LEVELS_PER_CUT", 1)
+        monkeypatch.setattr(levels, "BITMAP_LONGS", 3)
+        monkeypatch.setattr(bitmaps, "HEADS_PER_ROW", 2)
+        monkeypatch.setattr(bitmaps, "SETS_PER_PASS", 7)
+        monkeypatch.setattr(bitmaps, "PAIR_BITS", 200)
+        monkeypatch.setattr(bitmaps, "PARTIAL", 5)
     return request.param
 
 
@@ -72,7 +77,7 @@ def fuzzy_frame(spark, rows, kind="bigint"):
     return spark.createDataFrame([(t, i, cast(p)) for t, i, p in rows], f"txn_id bigint, item string, prob {kind}")
 
 
-@pytest.mark.parametrize("engine", ["join", "bitset"])
+@pytest.mark.parametrize("engine", ["join", "bitset", "bitmap"])
 def test_crisp_every_plan(spark, plan, engine):
     rows = [(t, i, 1) for t, i, _ in random_rows(1)]
     got = table(iw.frequent_itemsets(crisp_frame(spark, rows + rows[:30]), 8, engine=engine))
@@ -84,6 +89,49 @@ def test_bitset_uses_the_top_bit(spark):
     assert table(iw.frequent_itemsets(crisp_frame(spark, rows), 5, engine="bitset")) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("entries", [1 << 22, 500])
+def test_bitmap_over_many_runs_and_sparse_ids(spark, monkeypatch, entries):
+    """Several runs of transactions, listed and bit containers, ids with holes and ids that are text."""
+    monkeypatch.setattr(bitmaps, "ENTRIES", entries)
+    rng = random.Random(11)
+    rows = [(t * 10**12 - 5 * 10**15, f"i{i}", 1) for t in range(9_000) for i in range(6) if rng.random() < 0.6 / (i + 1) ** 2]
+    rows += [(7 * 10**15, f"i{i}", 1) for i in range(6)]
+    frame = crisp_frame(spark, rows).repartition(5)
+    want = brute(rows, 20)
+    assert table(iw.frequent_itemsets(frame, 20, engine="bitmap")) == want
+    text = frame.withColumn("txn_id", F.concat(F.lit("t"), "txn_id"))
+    assert table(iw.frequent_itemsets(text, 20, engine="bitmap")) == want
+
+
+def test_containers_take_the_smaller_form(spark):
+    rows = [(t, 1 + (t % 16 == 0)) for t in range(bitmaps.RANGE)] + [(t, 3) for t in range(0, bitmaps.RANGE, 2)]
+    state = bitmaps.BitmapSteps().pack(spark.createDataFrame(rows, "unit bigint, rank int").repartition(1))
+    kinds = {r["kind"]: (r["transactions"], r["bytes"] / r["transactions"]) for r in bitmaps.sizes(state).collect()}
+    assert sum(n for n, _ in kinds.values()) == len(rows)
+    assert kinds["list"][1] == 2 and kinds["bits"][1] < 1
+
+
+def test_pairs_are_pruned_at_any_number(spark, monkeypatch):
+    """Candidates with a pair that is not frequent are not counted; ranges of the pair table change nothing."""
+    # A rare hub goes with each of ten items, which hardly ever meet each other.
+    baskets = [("hub", f"y{t % 10}") for t in range(350)] + [("hub", "y1", "y2", "y3")] * 31 + [(f"y{i}", f"y{i + 1}") for i in range(9)]
+    baskets += [("hub", f"y{t % 10}", f"y{(t + 3) % 10}") for t in range(20)] + [(f"y{t % 10}",) for t in range(5_000)]
+    frame = crisp_frame(spark, [(t, i, 1) for t, b in enumerate(baskets) for i in b])
+    seen = {}
+    for name, longs, top in (("one range", 4_000_000, 2_000_000), ("ranges", 3, 2_000_000), ("no broadcast", 4_000_000, 5), ("off", None, 2_000_000)):
+        with monkeypatch.context() as m:
+            m.setattr(levels, "BROADCAST_SETS", top)
+            if longs is None:
+                m.setattr(levels, "pair_table", lambda *_: [None])
+            else:
+                m.setattr(levels, "BITMAP_LONGS", longs)
+            result = iw.frequent_itemsets(frame, 30)
+            seen[name] = (table(result), [s["candidates"] for s in result.stats])
+    assert len({str(sorted(t.items())) for t, _ in seen.values()}) == 1
+    assert seen["one range"][1] == seen["ranges"][1] == seen["no broadcast"][1]
+    assert sum(seen["one range"][1]) < sum(seen["off"][1])
+
+
 @pytest.mark.parametrize("engine", ["fpgrowth", "grouped"])
 def test_crisp_other_engines(spark, engine):
     rows = [(t, i, 1) for t, i, _ in random_rows(3)]
@@ -145,7 +193,7 @@ def test_thresholds(spark, value):
 
 def test_empty_and_single(spark):
     df = crisp_frame(spark, TINY)
-    for engine in ("join", "bitset", "fpgrowth", "grouped"):
+    for engine in ("join", "bitset", "bitmap", "fpgrowth", "grouped"):
         assert table(iw.frequent_itemsets(df, 100, engine=engine)) == {}
     only = table(iw.frequent_itemsets(df, 3))
     assert set(only) == {("a",), ("b",), ("c",)}
@@ -227,7 +275,7 @@ def test_fractional_memberships_keep_their_sums(spark, kind, engine):
     assert {tuple(r["items"]): round(float(r["support"]), 6) for r in got.itemsets.collect()} == {("a",): 1.2, ("b",): 1.5, ("a", "b"): 1.2}
 
 
-@pytest.mark.parametrize("engine", ["join", "bitset", "fpgrowth", "grouped"])
+@pytest.mark.parametrize("engine", ["join", "bitset", "bitmap", "fpgrowth", "grouped"])
 def test_proportion_on_the_boundary_and_null_items(spark, engine):
     rows = [(t, "x") for t in range(7)] + [(t, "all") for t in range(100)] + [(200 + t, None) for t in range(50)]
     df = spark.createDataFrame(rows, "txn_id bigint, item string")

@@ -63,6 +63,18 @@ def crisp_bitset(spark, d):
     return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="bitset"))
 
 
+@query("crisp_bitmap", _CRISP)
+def crisp_bitmap(spark, d):
+    return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="bitmap"))
+
+
+@query("crisp_bitmap_sparse", _CRISP)
+def crisp_bitmap_sparse(spark, d):
+    """Ids with holes of a hundred thousand: the same sets."""
+    sparse = basket(spark, d).withColumn("txn_id", F.col("txn_id") * 100_003)
+    return as_text(iw.frequent_itemsets(sparse, 0.004, engine="bitmap"))
+
+
 @query("crisp_fpgrowth", _CRISP)
 def crisp_fpgrowth(spark, d):
     return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="fpgrowth"))
@@ -112,12 +124,12 @@ _KNOWN = USERDAY.replace("FROM events", "FROM events WHERE event_type <> 'error'
 
 
 @query("crisp_null_items", f"""SELECT e.engine, s.* FROM ({sets_sql(_KNOWN, 4, "0.1 * (SELECT n FROM n)", crisp=True)}) s
-CROSS JOIN (VALUES ('join'), ('bitset'), ('fpgrowth'), ('grouped')) e(engine)""")
+CROSS JOIN (VALUES ('join'), ('bitset'), ('bitmap'), ('fpgrowth'), ('grouped')) e(engine)""")
 def crisp_null_items(spark, d):
     """Transactions with nothing but NULL items do not count, whatever the engine."""
     rows = userday(spark, d).withColumn("item", F.nullif("item", F.lit("error")))
     found = [as_text(iw.frequent_itemsets(rows, 0.1, engine=e)).withColumn("engine", F.lit(e))
-             for e in ("join", "bitset", "fpgrowth", "grouped")]
+             for e in ("join", "bitset", "bitmap", "fpgrowth", "grouped")]
     return exp.union_metrics(found)
 
 
