@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.operators.dictionary import crisp_occurrences, fuzzy_occurrences
+from itemweave.operators.dictionary import crisp_occurrences, fuzzy_occurrences, sum_type
 from itemweave.plans.levels import broadcast_if, pack_units, rank_items, text_bytes
+from itemweave.plans.numbering import number_rows
+from itemweave.plans.settree import tree_support
 from itemweave.plans.storage import Workspace
 
 #: Sets sharing a prefix that one task pairs with a single partner range.
@@ -34,10 +36,10 @@ def candidates(frequent: DataFrame, pairs: DataFrame | None = None) -> DataFrame
 
 
 def count_support(df: DataFrame, itemsets: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """Support and frequency of the given sets (``items``); a set that never occurs gets 0.
+    """Support and frequency of the given sets (``items``); a set that never occurs, or has no item, gets 0.
 
-    A set is looked up only in transactions that hold its rarest item, and checked there against the
-    packed transaction, so nothing but partial sums is shuffled after packing.
+    The sets become a prefix tree that is walked along each packed transaction, so sets that begin alike are
+    looked up once, and nothing but partial sums is shuffled after packing.
     """
     spark = df.sparkSession
     ws = Workspace(spark)
@@ -53,19 +55,16 @@ def count_support(df: DataFrame, itemsets: DataFrame, fuzzy: bool = False) -> Da
         ranked = broadcast_if(ranked, n_items, item_text)
         coded = (sets.select("items", F.explode("items").alias("item")).join(ranked, "item")
                  .groupBy("items").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-                 .where(F.size("ranks") == F.size("items"))
-                 .select("items", "ranks", F.get("ranks", F.lit(0)).alias("anchor")))
-        coded = ws.write(coded, "coded-sets")
-        coded = broadcast_if(coded, *coded.agg(F.count(F.lit(1)), text_bytes(F.array_join("items", ","))).first())
+                 .where(F.size("ranks") == F.size("items")))
+        # Rare items come first, so sets of one neighbourhood share the beginning of their paths.
+        coded = ws.write(number_rows(coded, [F.col("ranks")], "sid", first=0, workspace=ws), "coded-sets")
+        n_ranks = coded.agg(F.coalesce(F.sum(F.size("ranks")), F.lit(0))).first()[0]
         units = pack_units(occ.join(ranked, "item"), fuzzy, shortest=1)
-        hits = (units.withColumn("anchor", F.explode("r")).join(coded, "anchor")
-                .where(F.forall("ranks", lambda x: F.array_contains("r", x))))
-        lowest = F.array_min(F.transform("ranks", lambda x: F.element_at("m", F.array_position("r", x).cast("int")))) \
-            if fuzzy else F.lit(1)
-        totals = hits.groupBy("items").agg(F.sum(lowest).alias("support"), F.count(F.lit(1)).alias("freq"))
-        totals = ws.write(totals, "supports")
+        kind = sum_type(occ.schema["m"].dataType) if fuzzy else "bigint"
+        totals = ws.write(tree_support(units, coded, n_ranks, fuzzy, kind), "supports")
     finally:
         occ.unpersist()
+    totals = totals.join(coded.select("sid", "items"), "sid").drop("sid")
     zero = F.lit(0)
     return sets.join(totals, "items", "left").select(
         "items", F.size("items").alias("length"),
