@@ -64,10 +64,15 @@ def literal(df: DataFrame, text: str) -> DataFrame:
 
 
 def _hashes(df: DataFrame, of: str = "__c", to: str = "__h") -> DataFrame:
-    """Add the hash of each window, by place."""
-    return df.withColumn(to, F.when(F.size(of) >= WINDOW, F.slice(
-        F.transform(of, lambda w, i: F.xxhash64(w, *[F.get(of, i + k) for k in range(1, WINDOW)])),
-        1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(1)))))
+    """Add the hash of each window, by place: words are hashed once, then pairs, fours and eights of them."""
+    def doubled(name: str, step: int) -> Column:
+        return F.transform(name, lambda a, i: F.xxhash64(a, F.get(name, i + step)))
+
+    df = df.withColumn("__1", F.transform(of, lambda w: F.xxhash64(w)))
+    for step in (1, 2, 4):
+        df = df.withColumn(f"__{2 * step}", doubled(f"__{step}", step))
+    whole = F.slice(f"__{WINDOW}", 1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(1)))
+    return df.withColumn(to, F.when(F.size(of) >= WINDOW, whole)).drop("__1", "__2", "__4", "__8")
 
 
 def _slots(place: str) -> Column:

@@ -102,17 +102,37 @@ def _canonical_sql(name: str, key: str) -> str:
 {name}_w AS (SELECT {key}, w.place AS place, w.h AS h, w.slots AS slots FROM {name}_p)"""
 
 
+#: Literal windows: words without case and punctuation. A template's place among them skips words that are a full stop alone.
+_LITERAL = """regexp_split_to_array(lower(translate(coalesce(text, ''), '.!?,;:"()[]{}“”„«»', '')), '[\\x20\\x09-\\x0D]+')"""
+
+#: Of the values that a slot has in an alignment, that of most windows counts, of equals the least; windows with another go.
 _OP8 = f"""
 WITH {_canonical_sql("documents", "doc_id")}, {_canonical_sql("benchmark", "item_id")},
-t AS (SELECT *, count(DISTINCT place) OVER (PARTITION BY item_id) AS n_windows FROM benchmark_w WHERE len(slots) <= 4),
-met AS (SELECT DISTINCT d.doc_id, t.item_id, t.n_windows, t.place, d.place - t.place AS shift, t.slots AS a, d.slots AS b
-        FROM documents_w d JOIN t ON d.h = t.h),
-v AS (SELECT doc_id, item_id, shift, unnest(list_zip(a, b)) AS v FROM met),
-g AS (SELECT doc_id, item_id, shift, v[1] AS slot, min(v[2]) AS lo, max(v[2]) AS hi FROM v GROUP BY ALL),
-s AS (SELECT doc_id, item_id, shift, bool_or(lo <> hi) AS mixed, sum((slot <> lo)::INT)::BIGINT AS n_changed FROM g GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, count(DISTINCT place) AS n_matched, coalesce(max(n_changed), 0) AS n_changed
-FROM met LEFT JOIN s USING (doc_id, item_id, shift) WHERE NOT coalesce(mixed, false)
-GROUP BY doc_id, item_id, n_windows HAVING 100 * count(DISTINCT place) >= 50 * n_windows
+i AS (SELECT item_id, m, c, r, list_filter({_LITERAL}, lambda w: w <> '') AS l
+    FROM (SELECT DISTINCT item_id, text FROM benchmark) JOIN benchmark_m USING (item_id) JOIN benchmark_c USING (item_id)),
+i2 AS (SELECT item_id, l, m, list_filter(range(1, len(m) + 1), lambda k: m[k] <> chr(1)) AS p FROM i),
+w AS (SELECT w.item_id, w.place, w.h, w.slots, len(w.slots) <= 4 AS typed, l, CASE WHEN len(p) = len(m) THEN w.place ELSE list_position(p, w.place) END AS lit
+    FROM benchmark_w w JOIN i2 USING (item_id)),
+t AS (SELECT *, CASE WHEN lit >= 1 AND lit + 7 <= len(l) THEN array_to_string(l[lit:lit + 7], ' ') END AS g FROM w),
+n AS (SELECT item_id, bool_or(typed) AS templated, count(DISTINCT place) FILTER (typed) AS typed_n, count(DISTINCT place) FILTER (g IS NOT NULL) AS literal_n FROM t GROUP BY item_id),
+known AS (SELECT item_id, CASE WHEN templated THEN typed_n ELSE literal_n END AS n_windows, place, CASE WHEN typed THEN h END AS h, slots, g
+    FROM t JOIN n USING (item_id) WHERE typed OR (NOT templated AND g IS NOT NULL)),
+met AS (SELECT DISTINCT d.doc_id, k.item_id, k.n_windows, k.place, d.place - k.place AS shift, k.slots AS a, d.slots AS b
+    FROM documents_w d JOIN known k ON d.h = k.h),
+v AS (SELECT DISTINCT doc_id, item_id, shift, place, unnest(list_zip(a, b)) AS v FROM met),
+most AS (SELECT doc_id, item_id, shift, v[1] AS slot, v[2] AS val FROM v GROUP BY doc_id, item_id, shift, v[1], v[2]
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, shift, v[1] ORDER BY count(*) DESC, v[2]) = 1),
+x AS (SELECT *, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE list_zip(a, b) END) AS v FROM met),
+z AS (SELECT x.doc_id, x.item_id, x.n_windows, x.place, x.shift, x.a, x.b, bool_and(v IS NULL OR coalesce(v[2] = val, false)) AS fits
+    FROM x LEFT JOIN most ON x.doc_id = most.doc_id AND x.item_id = most.item_id AND x.shift = most.shift AND v[1] = slot GROUP BY ALL),
+f AS (SELECT doc_id, item_id, n_windows, shift, place, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE list_zip(a, b) END) AS v FROM z WHERE fits),
+al AS (SELECT doc_id, item_id, n_windows, shift, list(DISTINCT place) AS places, count(DISTINCT v[1]) FILTER (v[1] <> v[2]) AS n_changed FROM f GROUP BY ALL),
+dl AS (SELECT DISTINCT doc_id, list_filter({_LITERAL}, lambda w: w <> '') AS l FROM documents),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(l) - 6), lambda p: array_to_string(l[p:p + 7], ' '))) AS g FROM dl),
+found AS (SELECT doc_id, item_id, n_windows, unnest(places) AS place, n_changed FROM al
+    UNION ALL SELECT doc_id, item_id, n_windows, place, 0 FROM dg JOIN known USING (g))
+SELECT doc_id, item_id, n_windows, count(DISTINCT place) AS n_matched, max(n_changed) AS n_changed
+FROM found GROUP BY ALL HAVING 100 * count(DISTINCT place) >= 50 * n_windows
 """
 
 
