@@ -264,9 +264,10 @@ def fuzzy_periodic_frequent_itemsets(df: DataFrame, min_support, min_periodic_fr
     low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
     if low is None:
         low = high = 0
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ids count from the smallest one, so that words and groups of words start at 0.
     result = _search(
         fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint") - F.lit(low), F.col("prob"), 0,
-        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low,
-                                  _keep(threshold, min_periodic_frequency + 1)), max_len, started)
+        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low, n_parts),
+        max_len, started)
     return result.rescaled(scaling_factor)

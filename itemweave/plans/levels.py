@@ -88,6 +88,10 @@ class Support:
     #: columns a state must carry besides ``sid``, ``r`` and ``m``
     carried: tuple[str, ...] = ()
 
+    def group(self, unit: Column) -> Column | None:
+        """Units with the same value are packed into the same partition; None: any may be."""
+        return None
+
     def totals(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         return rows.groupBy(*keys).agg(*self.counting.measures(F.col("m")))
 
@@ -132,20 +136,23 @@ def text_bytes(col: Column) -> Column:
     return F.coalesce(F.sum(F.octet_length(col)), F.lit(0))
 
 
-def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
+def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (), shortest: int = 2,
+               group: Column | None = None) -> DataFrame:
     """One row per unit from ``(unit, rank[, m])``. A unit holds each frequent item at most once,
     so a packed row is bounded by the size of the item dictionary."""
     entry = F.struct("rank", "m") if has_values else F.col("rank")
     # A fixed number of partitions: pairing costs far more than the packed bytes suggest, so small
     # partitions must not be merged. The grouping reuses this shuffle.
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.repartition(n_parts, "unit").groupBy("unit").agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    keys = ["unit"]
+    if group is not None:
+        rows, keys = rows.withColumn("grp", group), ["grp", "unit"]
+    packed = rows.repartition(n_parts, keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("t"))
     ranks = F.col("t.rank") if has_values else F.col("t")
     cols = [F.lit(0).cast("bigint").alias("sid"), ranks.alias("r")]
     if has_values:
         cols.append(F.col("t.m").alias("m"))
-    if "unit" in carried:
-        cols.append(F.col("unit"))
+    cols += [F.col(c) for c in carried]
     return packed.where(F.size("t") >= shortest).select(*cols)
 
 
@@ -262,7 +269,7 @@ class Steps:
         self.widest = 0
 
     def pack(self, rows: DataFrame) -> DataFrame:
-        return pack_units(rows, self.counting.has_values, self.carried)
+        return pack_units(rows, self.counting.has_values, self.carried, group=self.support.group(F.col("unit")))
 
     def totals(self, state: DataFrame, widest: int) -> DataFrame:
         self.widest = widest
@@ -296,14 +303,15 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
                            F.col("rank").cast("bigint").alias("pid"), F.array("item").alias("prefix"),
                            F.col("freq").alias("pfreq"))
     parents = broadcast_if(parents, n_items, item_text)
-    n_parents, state, k = n_items, units, 1
+    # Rows are no longer than the dictionary and get shorter by an item a level; they are measured where that says too little.
+    n_parents, state, k, widest = n_items, units, 1, n_items
     run.held.append(state)
     while n_parents > k and (max_len is None or k < max_len):
         started = time.time()
-        widest = _longest(state)
-        if widest == 0:
-            break
+        if widest > HEADS_PER_ROW:
+            widest = _longest(state)
         totals = steps.totals(state, widest)
+        widest -= 1
         k += 1
         totals, seen = _observed(totals, candidates=_count(), occurrences=F.sum("freq"))
         level = (totals.where(support.keep).join(parents, ["sid", "a"]).join(names, "b")

@@ -1,9 +1,10 @@
 """Periodic frequency: consecutive occurrences of a set that are at most ``max_gap`` ids apart.
 
-Occurrences are first folded into 64-id words with ``bit_or``, which Spark combines before the
-shuffle; the gaps inside a word are counted with shifts. Words are then stitched in groups of
-1024, again and again, until one group is left, so no window partition holds more than 1024 rows
-however often a set occurs.
+Transactions are packed by groups of neighbouring ids, so all occurrences of a candidate in a group are in one task. There they are
+folded into 64-id words with ``bit_or``, the gaps inside a word counted with shifts, and the words of the group stitched to one
+summary: first and last id, near gaps, support and frequency. All this needs no exchange; what travels is one summary for each
+candidate and group. Summaries are stitched in the order of their ids, 1024 groups at a time, until one is left, so no
+window partition holds more than 1024 rows however often a set occurs.
 """
 
 from __future__ import annotations
@@ -31,42 +32,44 @@ def _close_inside_word(bits: Column, max_gap: int) -> Column:
 class PeriodicSupport(Support):
     """Adds ``periodic_freq`` to the totals. Units are transaction ids."""
 
-    carried = ("unit",)
+    carried = ("unit", "grp")
 
-    def __init__(self, counting: Counting, keep: Column, max_gap: int, last_id: int, keep_first: Column):
-        """Ids run from 0 to ``last_id``. ``keep_first`` is what support and freq alone decide."""
+    def __init__(self, counting: Counting, keep: Column, max_gap: int, last_id: int, n_parts: int):
+        """Ids run from 0 to ``last_id``; groups are as wide as leaves every partition several of them."""
         super().__init__(counting, keep)
         if max_gap < 1:
             raise ValueError("max_gap must be at least 1")
-        self.max_gap, self.last_id, self.keep_first = int(max_gap), last_id, keep_first
+        self.max_gap, self.last_id = int(max_gap), last_id
+        self.shift = max(_WORD_BITS, min(_WORD_BITS + _GROUP_BITS, ((last_id + 1) // (4 * n_parts)).bit_length()))
+
+    def group(self, unit: Column) -> Column:
+        return F.shiftright(unit, self.shift)
 
     def columns(self) -> list[str]:
         return ["support", "freq", "periodic_freq"]
 
     def totals(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Support and frequency of all candidates by partial sums; gaps only of those that pass on them."""
         bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("unit").bitwiseAND(F.lit(63)).cast("int"))
         kind = sum_type(rows.schema["m"].dataType) if self.counting.has_values else "bigint"
-        passed = super().totals(rows, keys).where(self.keep_first).select(*keys)
-        words = rows.join(passed, keys, "left_semi").groupBy(*keys, F.shiftright("unit", _WORD_BITS).alias("grp")).agg(
+        if "grp" not in rows.columns:
+            rows = rows.withColumn("grp", self.group(F.col("unit")))
+        words = rows.groupBy("grp", *keys, F.shiftright("unit", _WORD_BITS).alias("word")).agg(
             F.bit_or(bit).alias("bits"), F.sum("m").cast(kind).alias("support"),
             F.min("unit").alias("first_id"), F.max("unit").alias("last_id"))
-        runs = words.select(*keys, "first_id", "last_id", "support",
+        runs = words.select("grp", *keys, "first_id", "last_id", "support",
                             F.bit_count("bits").cast("bigint").alias("freq"),
                             _close_inside_word(F.col("bits"), self.max_gap).cast("bigint").alias("periodic_freq"))
-        shift = _WORD_BITS
-        while True:
+        runs, shift = self._stitch(runs, keys), self.shift
+        while self.last_id >> shift:
             shift += _GROUP_BITS
-            runs = self._stitch(runs, keys, shift)
-            if not self.last_id >> shift:
-                return runs.select(*keys, *self.columns())
+            runs = self._stitch(runs.withColumn("grp", F.shiftright("first_id", shift)), keys)
+        return runs.select(*keys, *self.columns())
 
-    def _stitch(self, runs: DataFrame, keys: list[str], shift: int) -> DataFrame:
-        runs = runs.withColumn("grp", F.shiftright("first_id", shift))
-        previous = F.lag("last_id").over(Window.partitionBy(*keys, "grp").orderBy("first_id"))
+    def _stitch(self, runs: DataFrame, keys: list[str]) -> DataFrame:
+        previous = F.lag("last_id").over(Window.partitionBy("grp", *keys).orderBy("first_id"))
         joined = runs.withColumn("close", F.coalesce(
             (F.col("first_id") - previous <= self.max_gap).cast("bigint"), F.lit(0).cast("bigint")))
-        return joined.groupBy(*keys, "grp").agg(
+        return joined.groupBy("grp", *keys).agg(
             F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"),
             F.sum("support").cast(runs.schema["support"].dataType).alias("support"), F.sum("freq").alias("freq"),
-            (F.sum("periodic_freq") + F.sum("close")).alias("periodic_freq")).drop("grp")
+            (F.sum("periodic_freq") + F.sum("close")).alias("periodic_freq"))
