@@ -66,6 +66,11 @@ def trimmed_mean(col: Column) -> Column:
     return F.when(n >= 3, (F.sum(col) - F.min(col) - F.max(col)) / (n - 2)).otherwise(F.avg(col))
 
 
+def next_power_of_two(n: Column) -> Column:
+    """The smallest power of two that is not below ``n``; NULL below 1."""
+    return F.when(n >= 1, F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("bigint"))
+
+
 def human_bytes(col: Column, digits: int = 1) -> Column:
     """Bytes as text with a binary unit, one decimal by default: ``1536`` gives ``1.5KiB``."""
     # Unit names in ascending powers of 1024.

@@ -82,6 +82,12 @@ def largest(values: list, k: int = 1) -> list:
     return sorted(values, reverse=True)[:k]
 
 
+def largest_rows(df: DataFrame, by: str, k: int = 1) -> DataFrame:
+    """The rows with the ``k`` largest values of a column, ties included; each task sends its ``k`` largest."""
+    top = df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(F.desc(by)).limit(k)
+    return df.join(F.broadcast(top), by, "left_semi")
+
+
 def metrics_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Run metrics in the shape the tables above read."""
     return spark.createDataFrame(

@@ -112,7 +112,9 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
         F.array_sort("items").alias("items"), F.size("items").alias("length"),
         F.col("support").cast(value_type).alias("support"),
         *[F.col(c).cast("bigint").alias(c) for c in columns[2:]])
-    return MiningResult(itemsets, run.stats, time.time() - started)
+    # The sets of each level are the result; what only led to them goes.
+    ws.drop("pairs", "ordered-rank", "offsets-rank", *[f"state-{s['k']}" for s in run.stats])
+    return MiningResult(itemsets, run.stats, time.time() - started, ws)
 
 
 # --- crisp -------------------------------------------------------------------------------------
@@ -167,9 +169,10 @@ def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: fl
         F.col("freq").alias("support"), F.col("freq").alias("freq"))
     if max_len is not None:
         found = found.where(F.col("length") <= max_len)
-    found = Workspace(df.sparkSession).write(found, "found")
+    ws = Workspace(df.sparkSession)
+    found = ws.write(found, "found")
     baskets.unpersist()
-    return MiningResult(found, [], time.time() - started)
+    return MiningResult(found, [], time.time() - started, ws)
 
 
 def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: float,
@@ -245,9 +248,28 @@ def fuzzy_frequent_itemsets(df: DataFrame, min_support, min_frequency: int | Non
     return result.rescaled(scaling_factor)
 
 
+def _periodic_join(df: DataFrame, min_support, min_periodic_frequency: int, max_gap: int, max_len: int | None,
+                   on_duplicate: str, started: float) -> MiningResult:
+    threshold = resolve_threshold(min_support, df)
+    low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
+    if low is None:
+        low = high = 0
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ids count from the smallest one, so that words and groups of words start at 0.
+    return _search(
+        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint") - F.lit(low), F.col("prob"), 0,
+        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low, n_parts),
+        max_len, started)
+
+
+# Register another engine by adding a function
+# (df, min_support, min_periodic_frequency, max_gap, max_len, on_duplicate, started) -> MiningResult.
+PERIODIC_ENGINES: dict[str, Callable[..., MiningResult]] = {"join": _periodic_join}
+
+
 def fuzzy_periodic_frequent_itemsets(df: DataFrame, min_support, min_periodic_frequency: int, max_gap: int,
                                      scaling_factor: int = 1, max_len: int | None = None,
-                                     on_duplicate: str = "max") -> MiningResult:
+                                     on_duplicate: str = "max", engine: str = "join") -> MiningResult:
     """Fuzzy frequent sets that also come back regularly.
 
     The periodic frequency of a set is the number of consecutive occurrences whose ``txn_id`` values
@@ -255,19 +277,12 @@ def fuzzy_periodic_frequent_itemsets(df: DataFrame, min_support, min_periodic_fr
     threshold prunes exactly. Without a ``prob`` column every membership is 1.
     """
     started = time.time()
+    if engine not in PERIODIC_ENGINES:
+        raise ValueError(f"unknown engine {engine!r}; known: {sorted(PERIODIC_ENGINES)}")
     require_columns(df, "txn_id", "item")
     if not _integral(df, "txn_id"):
         raise ValueError("periodic mining needs whole-number txn_id")
     if "prob" not in df.columns:
         df = df.withColumn("prob", F.lit(1).cast("bigint"))
-    threshold = resolve_threshold(min_support, df)
-    low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
-    if low is None:
-        low = high = 0
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ids count from the smallest one, so that words and groups of words start at 0.
-    result = _search(
-        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint") - F.lit(low), F.col("prob"), 0,
-        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low, n_parts),
-        max_len, started)
+    result = PERIODIC_ENGINES[engine](df, min_support, min_periodic_frequency, max_gap, max_len, on_duplicate, started)
     return result.rescaled(scaling_factor)

@@ -10,31 +10,46 @@ from itemweave.operators.dictionary import require_columns
 from itemweave.sources import readers, writers
 
 
-def _fraction(text: Column) -> Column:
-    """Digits after the point, empty if there is none."""
-    return F.coalesce(F.get(F.split(text, "\\.", 2), F.lit(1)), F.lit(""))
+_NUMBER = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+
+
+def _digits(df: DataFrame, col: str) -> tuple[Column, Column, Column, Column]:
+    """Sign, digits without the point, place of the point, and digits behind it, of numbers of any length as text."""
+    text = F.btrim(F.col(col).cast("string"))
+    sign, whole, fraction, exponent = (F.regexp_extract(text, _NUMBER, k) for k in range(1, 5))
+    bad = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("string")
+    digits = F.when(F.regexp_like(text, F.lit(_NUMBER)) & F.regexp_like(text, F.lit(r"^[+-]?\.?\d")), F.concat(whole, fraction)).when(text.isNotNull(), bad)
+    point = F.length(whole) + F.when(exponent == "", 0).otherwise(exponent.cast("int"))
+    # 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing, those of plain text do.
+    stripped = F.rtrim(digits, F.lit("0"))
+    behind = F.greatest(F.length(stripped) - point, F.lit(0))
+    if isinstance(df.schema[col].dataType, T.StringType):
+        # The length of the digits is looked at in any case, so that text without digits is an error.
+        behind = F.when((exponent == "") & (F.length(digits) >= 0), F.length(fraction)).otherwise(behind)
+    return sign, digits, point, behind
 
 
 def max_decimals(df: DataFrame, col: str = "prob") -> int:
     """Most digits after the point in any value."""
-    text = F.btrim(F.col(col).cast("string"))
-    # 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing.
-    plain = F.rtrim(text.cast("decimal(38,18)").cast("string"), F.lit("0"))
-    text = F.when(F.lower(text).contains("e"), plain).otherwise(text) if isinstance(df.schema[col].dataType, T.StringType) else plain
-    return df.agg(F.max(F.length(_fraction(text)))).first()[0] or 0
+    return df.agg(F.max(_digits(df, col)[3])).first()[0] or 0
 
 
 def to_fixed_point(df: DataFrame, col: str = "prob") -> tuple[DataFrame, int]:
     """Values times the smallest power of ten that makes all of them whole, and that power.
 
-    The product is decimal, never binary floating point: 4.35 times 100 is 435.
+    The point moves within the digits of the value as text, so nothing is rounded or cut: 4.35 times 100 is 435. The result
+    is BIGINT up to 18 digits, DECIMAL(38,0) up to 38, and text beyond, where Spark has no number for it.
     """
     require_columns(df, col)
-    digits = max_decimals(df, col)
-    scale = 10**digits
-    exact = F.col(col).cast("string").cast(f"decimal(38,{digits})")
-    scaled = (exact * F.lit(scale).cast(f"decimal({digits + 1},0)")).cast("bigint")
-    return df.withColumn(col, scaled), scale
+    sign, digits, point, behind = _digits(df, col)
+    scale, ahead = df.agg(F.max(behind), F.max(F.when(F.ltrim(digits, F.lit("0")) != "", point - F.length(digits) + F.length(F.ltrim(digits, F.lit("0")))))).first()
+    scale, ahead = scale or 0, max(ahead or 0, 0)
+    size = point + F.lit(scale)
+    shifted = F.when(size > 0, F.rpad(F.substring(digits, F.lit(1), size), size, "0")).otherwise("")
+    shifted = F.ltrim(shifted, F.lit("0"))
+    shifted = F.when(digits.isNotNull(), F.when(shifted == "", "0").otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), shifted)))
+    kind = "bigint" if ahead + scale <= 18 else "decimal(38,0)" if ahead + scale <= 38 else "string"
+    return df.withColumn(col, shifted.cast(kind)), 10**scale
 
 
 def text_to_long(spark: SparkSession, path: str, sep: str = "\t", on_mismatch: str = "truncate") -> DataFrame:

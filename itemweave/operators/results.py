@@ -17,15 +17,20 @@ class MiningResult:
     The table holds each set once, its items in ascending order.
     """
 
-    def __init__(self, itemsets: DataFrame, stats: list[dict], seconds: float):
-        self.itemsets, self.stats, self.seconds = itemsets, stats, seconds
+    def __init__(self, itemsets: DataFrame, stats: list[dict], seconds: float, workspace=None):
+        self.itemsets, self.stats, self.seconds, self.workspace = itemsets, stats, seconds, workspace
+
+    def close(self) -> None:
+        """Delete the tables behind the sets; neither they nor frames made from them can be read afterwards."""
+        if self.workspace is not None:
+            self.workspace.drop()
 
     def rescaled(self, scaling_factor: int) -> MiningResult:
         """Supports divided by the fixed-point scale."""
         if scaling_factor == 1:
             return self
         scaled = self.itemsets.withColumn("support", F.col("support") / F.lit(scaling_factor))
-        return MiningResult(scaled, self.stats, self.seconds)
+        return MiningResult(scaled, self.stats, self.seconds, self.workspace)
 
     @property
     def levels(self) -> DataFrame:

@@ -39,6 +39,6 @@ def parse_ints(lines: DataFrame, delimiter: str = ",") -> DataFrame:
         *keep, F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint")).alias("value"))
 
 
-def preview(lines: DataFrame, n: int = 2) -> DataFrame:
-    """The first lines, as a look at a file."""
-    return lines.limit(n)
+def preview(lines: DataFrame, n: int = 2, order: str = "line") -> DataFrame:
+    """The first lines by their number (``number_lines``: in the order of files and lines); of a frame without numbers, any."""
+    return lines.orderBy(order).limit(n) if order in lines.columns else lines.limit(n)

@@ -33,6 +33,13 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later read needs, or the whole folder if none is named."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [self.path(name) for name in names] or [self.root]:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back."""
         schema = df.schema

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from itemweave.functions.columns import aligned_pairs, split_items, split_literal, trim_trailing
 from itemweave.operators.dictionary import require_columns
 from itemweave.plans.numbering import number_lines
+from itemweave.plans.storage import Workspace
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +91,8 @@ def from_lists(df: DataFrame, transactions: str = "Transactions", values: str =
     ``txn_id`` must be a column when ids matter; otherwise each row gets a unique one.
     """
     if "txn_id" not in df.columns:
-        df = df.withColumn("txn_id", F.monotonically_increasing_id() + F.lit(1))
+        # Written once: computed again, the same row might get another id.
+        df = Workspace(df.sparkSession).write(df.withColumn("txn_id", F.monotonically_increasing_id() + F.lit(1)), "lists")
     if values not in df.columns:
         return df.select("txn_id", F.explode(transactions).alias("item"))
     zipped = aligned_pairs(F.col(transactions), F.col(values))

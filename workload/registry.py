@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import itemweave as iw
-from itemweave.functions import human_bytes, megabytes_per_second
+from itemweave.functions import columns, human_bytes, megabytes_per_second
 from itemweave.operators import candidates as cand
 from itemweave.operators import dictionary as dic
 from itemweave.operators import experiments as exp
@@ -562,6 +562,25 @@ def from_sparse2(spark, d):
     return layouts.from_sparse2(layouts.to_sparse3(_wide(spark, d)), order="col")
 
 
+@query("preview_rows", """SELECT doc_id, line FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS line
+FROM documents) WHERE line <= 5""")
+def preview_rows(spark, d):
+    """The first five by number."""
+    df = table(spark, d, "documents")
+    return textprofile.preview(number_rows(df, [F.col("n_chars").desc(), F.col("doc_id")], "line").select("doc_id", "line"), 5)
+
+
+@query("largest_rows", """SELECT doc_id, n_chars FROM documents
+WHERE n_chars IN (SELECT DISTINCT n_chars FROM documents ORDER BY n_chars DESC LIMIT 10)""")
+def largest_rows_query(spark, d):
+    return exp.largest_rows(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 10)
+
+
+@query("power_of_two", "SELECT doc_id, CASE WHEN n_chars >= 1 THEN CAST(pow(2, ceil(log2(n_chars))) AS BIGINT) END AS room FROM documents")
+def power_of_two(spark, d):
+    return table(spark, d, "documents").select("doc_id", columns.next_power_of_two(F.col("n_chars")).alias("room"))
+
+
 @query("number_rows", f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS position
 FROM documents""")
 def number_rows_query(spark, d):
