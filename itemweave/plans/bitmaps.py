@@ -177,8 +177,10 @@ def _advance(sets):
             i, j = np.searchsorted(r, a), np.searchsorted(r, b)
             here = (i < len(r)) & (j < len(r))
             here[here] = (r[i[here]] == a[here]) & (r[j[here]] == b[here])
+            if not here.any():  # frequent pairs, but none of this run
+                continue
             i, j, pid = i[here], j[here], pid[here]
-            cuts = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]])) if len(pid) else np.zeros(0, np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
             for s, e in zip(cuts, np.append(cuts[1:], len(pid)), strict=True):
                 if e - s < 2:
                     continue

@@ -103,6 +103,17 @@ def test_bitmap_over_many_runs_and_sparse_ids(spark, monkeypatch, entries):
     assert table(iw.frequent_itemsets(text, 20, engine="bitmap")) == want
 
 
+def test_bitmap_runs_without_a_frequent_pair(spark, monkeypatch):
+    """Runs that hold frequent items, but no two of them that are frequent together."""
+    monkeypatch.setattr(bitmaps, "RANGE", 64)
+    monkeypatch.setattr(bitmaps, "LISTED", 4)
+    monkeypatch.setattr(bitmaps, "_WORDS", 1)
+    rows = [(t, i, 1) for t in range(60) for i in "abc"] + [(1000 + 2 * t + k, "de"[k], 1) for t in range(300) for k in (0, 1)]
+    rows += [(5000 + t, i, 1) for t in range(5) for i in "de"]
+    got = table(iw.frequent_itemsets(crisp_frame(spark, rows), 40, engine="bitmap"))
+    assert got == brute(rows, 40)
+
+
 def test_containers_take_the_smaller_form(spark):
     rows = [(t, 1 + (t % 16 == 0)) for t in range(bitmaps.RANGE)] + [(t, 3) for t in range(0, bitmaps.RANGE, 2)]
     state = bitmaps.BitmapSteps().pack(spark.createDataFrame(rows, "unit bigint, rank int").repartition(1))
