@@ -10,28 +10,38 @@ from itemweave.operators.dictionary import require_columns
 from itemweave.sources import readers, writers
 
 
-_NUMBER = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_PARSED = ("__text", "__mantissa", "__exponent", "__fraction", "__digits", "__point")
 
 
-def _digits(df: DataFrame, col: str) -> tuple[Column, Column, Column, Column]:
-    """Sign, digits without the point, place of the point, and digits behind it, of numbers of any length as text."""
+def _parsed(df: DataFrame, col: str) -> DataFrame:
+    """Add the digits of numbers of any length without the point, its place among them, and the digits behind it as written.
+
+    Each step is a column of its own, or Spark would work the text out again in every branch that uses it.
+    """
     text = F.btrim(F.col(col).cast("string"))
-    sign, whole, fraction, exponent = (F.regexp_extract(text, _NUMBER, k) for k in range(1, 5))
-    bad = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("string")
-    digits = F.when(F.regexp_like(text, F.lit(_NUMBER)) & F.regexp_like(text, F.lit(r"^[+-]?\.?\d")), F.concat(whole, fraction)).when(text.isNotNull(), bad)
-    point = F.length(whole) + F.when(exponent == "", 0).otherwise(exponent.cast("int"))
-    # 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing, those of plain text do.
-    stripped = F.rtrim(digits, F.lit("0"))
-    behind = F.greatest(F.length(stripped) - point, F.lit(0))
+    # Numbers are well-formed but for NaN and the infinities.
+    fine = F.regexp_like(text, F.lit(_NUMBER)) if isinstance(df.schema[col].dataType, T.StringType) else F.upper(F.substring(text, -1, 1)).between("0", "9")
+    df = df.withColumn("__text", F.when(text.isNull() | fine, F.lower(text)).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text))))
+    has_exponent, has_point = F.contains("__text", F.lit("e")), F.contains("__mantissa", F.lit("."))
+    df = df.withColumns({"__mantissa": F.translate(F.substring_index("__text", "e", 1), "+-", ""),
+                         "__exponent": F.when(has_exponent, F.substring_index("__text", "e", -1).cast("int"))})
+    df = df.withColumn("__fraction", F.when(has_point, F.substring_index("__mantissa", ".", -1)).otherwise(""))
+    return df.withColumns({"__digits": F.replace("__mantissa", F.lit("."), F.lit("")),
+                           "__point": F.length(F.substring_index("__mantissa", ".", 1)) + F.coalesce("__exponent", F.lit(0))})
+
+
+def _behind(df: DataFrame, col: str) -> Column:
+    """Digits after the point: 1.0E-5 and 0.5 both as plain digits; trailing zeros of a number carry nothing, those of plain text do."""
+    plain = F.greatest(F.length(F.rtrim("__digits", F.lit("0"))) - F.col("__point"), F.lit(0))
     if isinstance(df.schema[col].dataType, T.StringType):
-        # The length of the digits is looked at in any case, so that text without digits is an error.
-        behind = F.when((exponent == "") & (F.length(digits) >= 0), F.length(fraction)).otherwise(behind)
-    return sign, digits, point, behind
+        return F.when(F.col("__exponent").isNull(), F.length("__fraction")).otherwise(plain)
+    return plain
 
 
 def max_decimals(df: DataFrame, col: str = "prob") -> int:
     """Most digits after the point in any value."""
-    return df.agg(F.max(_digits(df, col)[3])).first()[0] or 0
+    return _parsed(df.select(col), col).agg(F.max(_behind(df, col))).first()[0] or 0
 
 
 def to_fixed_point(df: DataFrame, col: str = "prob") -> tuple[DataFrame, int]:
@@ -41,15 +51,21 @@ def to_fixed_point(df: DataFrame, col: str = "prob") -> tuple[DataFrame, int]:
     is BIGINT up to 18 digits, DECIMAL(38,0) up to 38, and text beyond, where Spark has no number for it.
     """
     require_columns(df, col)
-    sign, digits, point, behind = _digits(df, col)
-    scale, ahead = df.agg(F.max(behind), F.max(F.when(F.ltrim(digits, F.lit("0")) != "", point - F.length(digits) + F.length(F.ltrim(digits, F.lit("0")))))).first()
+    left = F.ltrim("__digits", F.lit("0"))
+    ahead = F.when(left != "", F.col("__point") - F.length("__digits") + F.length(left))
+    scale, ahead = _parsed(df.select(col), col).agg(F.max(_behind(df, col)), F.max(ahead)).first()
     scale, ahead = scale or 0, max(ahead or 0, 0)
-    size = point + F.lit(scale)
-    shifted = F.when(size > 0, F.rpad(F.substring(digits, F.lit(1), size), size, "0")).otherwise("")
-    shifted = F.ltrim(shifted, F.lit("0"))
-    shifted = F.when(digits.isNotNull(), F.when(shifted == "", "0").otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), shifted)))
+    size = F.col("__point") + F.lit(scale)
+    parsed = _parsed(df, col).withColumn("__digits", F.when(size > 0, F.rpad(F.substring("__digits", F.lit(1), size), size, "0"))
+                                         .when(F.col("__text").isNotNull(), "0"))
     kind = "bigint" if ahead + scale <= 18 else "decimal(38,0)" if ahead + scale <= 38 else "string"
-    return df.withColumn(col, shifted.cast(kind)), 10**scale
+    shifted = F.col("__digits")
+    if kind == "string":
+        bare = F.ltrim("__digits", F.lit("0"))
+        shifted = F.when(bare == "", "0").otherwise(bare)
+    negative = F.startswith("__text", F.lit("-")) & (F.ltrim("__digits", F.lit("0")) != "")
+    value = F.when(negative, F.concat(F.lit("-"), shifted)).otherwise(shifted).cast(kind)
+    return parsed.withColumn(col, value).drop(*_PARSED), 10**scale
 
 
 def text_to_long(spark: SparkSession, path: str, sep: str = "\t", on_mismatch: str = "truncate") -> DataFrame:
