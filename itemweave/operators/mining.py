@@ -151,28 +151,19 @@ def _crisp_bitmap(df: DataFrame, min_support, max_len: int | None, started: floa
 
 def _crisp_fpgrowth(df: DataFrame, min_support, max_len: int | None, started: float,
                     n_transactions: int | None) -> MiningResult:
-    """Spark's own parallel FP-growth. It keeps sets with at least ``ceil(ratio * n)`` transactions,
-    so the ratio is taken half a transaction below the threshold."""
-    from pyspark.ml.fpm import FPGrowth
+    """Prefix trees of conditional transactions, by groups of items; see :mod:`itemweave.plans.fptrees`."""
+    from itemweave.plans.fptrees import mine_trees
 
+    if max_len is not None and max_len < 1:
+        raise ValueError("max_len must be at least 1")
     occ = crisp_occurrences(df)
-    whole = max(1, math.ceil(resolve_threshold(min_support, occ, n_transactions)))
-    frequent = occ.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole).select("item")
-    baskets = occ.join(frequent, "item").groupBy("txn_id").agg(F.collect_list("item").alias("items")).persist()
-    n = baskets.count()
-    if n < whole:
-        itemsets = df.sparkSession.createDataFrame([], "items array<string>, length int, support bigint, freq bigint")
-        return MiningResult(itemsets, [], time.time() - started)
-    model = FPGrowth(itemsCol="items", minSupport=(whole - 0.5) / n).fit(baskets)
-    found = model.freqItemsets.select(
-        F.array_sort("items").alias("items"), F.size("items").alias("length"),
-        F.col("freq").alias("support"), F.col("freq").alias("freq"))
-    if max_len is not None:
-        found = found.where(F.col("length") <= max_len)
-    ws = Workspace(df.sparkSession)
-    found = ws.write(found, "found")
-    baskets.unpersist()
-    return MiningResult(found, [], time.time() - started, ws)
+    tables, stats, ws = mine_trees(occ, max(1, math.ceil(resolve_threshold(min_support, occ, n_transactions))), max_len)
+    found = df.sparkSession.createDataFrame([], "items array<string>, freq bigint")
+    for sets in tables:
+        found = found.unionByName(sets)
+    found = ws.write(found.select(F.array_sort("items").alias("items"), F.size("items").alias("length"),
+                                  F.col("freq").alias("support"), "freq"), "found")
+    return MiningResult(found, stats, time.time() - started, ws)
 
 
 def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: float,

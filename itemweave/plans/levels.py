@@ -306,7 +306,8 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
     # Rows are no longer than the dictionary and get shorter by an item a level; they are measured where that says too little.
     n_parents, state, k, widest = n_items, units, 1, n_items
     run.held.append(state)
-    while n_parents > k and (max_len is None or k < max_len):
+    # A (k+1)-set needs k+1 frequent subsets of size k; two of them are of one class, where others may have been taken over.
+    while n_parents > (1 if split_local else k) and (max_len is None or k < max_len):
         started = time.time()
         if widest > HEADS_PER_ROW:
             widest = _longest(state)
@@ -322,8 +323,7 @@ def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, suppo
         run.stats.append(_stat(k, n_sets, _metrics(seen), started))
         if n_sets:
             run.tables.append(level)
-        # A (k+1)-set needs k+1 frequent subsets of size k.
-        if n_sets <= k or (max_len is not None and k >= max_len):
+        if n_sets <= (1 if split_local else k) or (max_len is not None and k >= max_len):
             break
         if split_local is None:
             state = steps.advance(state, level, n_sets, n_items, k)
