@@ -63,7 +63,8 @@ def _transactions(occ: DataFrame, counting: Counting) -> int:
 
 def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_for: Callable[..., Support],
             max_len: int | None, started: float, n_transactions: int | None = None,
-            split_local: Callable | None = None, finish_local: Callable | None = None, steps: Steps | None = None) -> MiningResult:
+            split_local: Callable | None = None, finish_local: Callable | None = None, steps: Steps | None = None,
+            placed: bool = False) -> MiningResult:
     """Dictionary, one packing shuffle, then the level loop. ``occ`` holds one row per item and unit;
     ``support_for`` takes the threshold as a count."""
     spark = occ.sparkSession
@@ -91,7 +92,7 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
             first = rank_items(items, n_items, [F.col("freq"), F.col("item")], ws)
             names = first.select("item", "rank")
             rows = occ.join(broadcast_if(names, n_items, item_text), "item").select("unit", "rank", "m")
-            steps = steps or Steps(support, ws)
+            steps = steps or Steps(support, ws, placed)
             units = steps.pack(rows).persist()
             grow(units, first, n_items, item_text, support, ws, run, max_len, split_local, steps)
             if run.local_states:
@@ -120,9 +121,15 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
 # --- crisp -------------------------------------------------------------------------------------
 
 def _crisp_join(df: DataFrame, min_support, max_len: int | None, started: float,
-                n_transactions: int | None) -> MiningResult:
+                n_transactions: int | None, placed: bool = False) -> MiningResult:
     return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), min_support,
-                   lambda t: Support(CRISP, _keep(t)), max_len, started, n_transactions)
+                   lambda t: Support(CRISP, _keep(t)), max_len, started, n_transactions, placed=placed)
+
+
+def _crisp_stored(*args) -> MiningResult:
+    """The same for a table stored by transaction (``writers.write_stored``): its occurrences are packed where they lie. For any
+    other table Spark shuffles as it needs to."""
+    return _crisp_join(*args, placed=True)
 
 
 def _crisp_bitset(df: DataFrame, min_support, max_len: int | None, started: float,
@@ -179,6 +186,7 @@ def _crisp_grouped(df: DataFrame, min_support, max_len: int | None, started: flo
 # (df, min_support, max_len, started, n_transactions) -> MiningResult.
 ENGINES: dict[str, Callable[..., MiningResult]] = {
     "join": _crisp_join,
+    "stored": _crisp_stored,
     "bitset": _crisp_bitset,
     "bitmap": _crisp_bitmap,
     "fpgrowth": _crisp_fpgrowth,
@@ -202,11 +210,16 @@ def frequent_itemsets(df: DataFrame, min_support, max_len: int | None = None, en
 # --- fuzzy -------------------------------------------------------------------------------------
 
 def _fuzzy_join(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
-                started: float, n_transactions: int | None) -> MiningResult:
+                started: float, n_transactions: int | None, placed: bool = False) -> MiningResult:
     # A proportion needs the transactions whose items are all absent as well.
     count_all = parse_threshold(min_support)[1] and n_transactions is None
     return _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all), F.col("txn_id"), F.col("prob"),
-                   min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions)
+                   min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions, placed=placed)
+
+
+def _fuzzy_stored(*args) -> MiningResult:
+    """The same for a table stored by transaction."""
+    return _fuzzy_join(*args, placed=True)
 
 
 def _fuzzy_grouped(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
@@ -220,7 +233,7 @@ def _fuzzy_grouped(df: DataFrame, min_support, min_frequency: int | None, max_le
 
 # Register another engine by adding a function
 # (df, min_support, min_frequency, max_len, on_duplicate, started, n_transactions) -> MiningResult.
-FUZZY_ENGINES: dict[str, Callable[..., MiningResult]] = {"join": _fuzzy_join, "grouped": _fuzzy_grouped}
+FUZZY_ENGINES: dict[str, Callable[..., MiningResult]] = {"join": _fuzzy_join, "stored": _fuzzy_stored, "grouped": _fuzzy_grouped}
 
 
 def fuzzy_frequent_itemsets(df: DataFrame, min_support, min_frequency: int | None = None,

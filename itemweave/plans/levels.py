@@ -137,9 +137,9 @@ def text_bytes(col: Column) -> Column:
 
 
 def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (), shortest: int = 2,
-               group: Column | None = None) -> DataFrame:
+               group: Column | None = None, placed: bool = False) -> DataFrame:
     """One row per unit from ``(unit, rank[, m])``. A unit holds each frequent item at most once,
-    so a packed row is bounded by the size of the item dictionary."""
+    so a packed row is bounded by the size of the item dictionary. Rows that are ``placed`` by unit already stay where they are."""
     entry = F.struct("rank", "m") if has_values else F.col("rank")
     # A fixed number of partitions: pairing costs far more than the packed bytes suggest, so small
     # partitions must not be merged. The grouping reuses this shuffle.
@@ -147,7 +147,9 @@ def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (),
     keys = ["unit"]
     if group is not None:
         rows, keys = rows.withColumn("grp", group), ["grp", "unit"]
-    packed = rows.repartition(n_parts, keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    if not placed:
+        rows = rows.repartition(n_parts, keys[0])
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("t"))
     ranks = F.col("t.rank") if has_values else F.col("t")
     cols = [F.lit(0).cast("bigint").alias("sid"), ranks.alias("r")]
     if has_values:
@@ -263,13 +265,14 @@ def _longest(state: DataFrame) -> int:
 class Steps:
     """The three steps of the level loop on packed rows: pack, count a level, and build the next state."""
 
-    def __init__(self, support: Support, ws: Workspace):
-        self.support, self.counting, self.carried, self.ws = support, support.counting, support.carried, ws
+    def __init__(self, support: Support, ws: Workspace, placed: bool = False):
+        self.support, self.counting, self.carried, self.ws, self.placed = support, support.counting, support.carried, ws, placed
         self.pairs: list[DataFrame | None] = [None]
         self.widest = 0
 
     def pack(self, rows: DataFrame) -> DataFrame:
-        return pack_units(rows, self.counting.has_values, self.carried, group=self.support.group(F.col("unit")))
+        return pack_units(rows, self.counting.has_values, self.carried, group=self.support.group(F.col("unit")),
+                          placed=self.placed)
 
     def totals(self, state: DataFrame, widest: int) -> DataFrame:
         self.widest = widest

@@ -48,6 +48,15 @@ def write_long_parquet(df: DataFrame, path: str, compression: str | None = "zstd
     df.select(*cols).write.option("compression", codec_name(compression)).parquet(path)
 
 
+def write_stored(df: DataFrame, table: str, path: str, buckets: int, compression: str | None = "zstd") -> None:
+    """``(txn_id, item[, prob])`` as a table for repeated mining: bucketed and sorted by transaction, so that the engine ``stored``
+    deduplicates and packs it without a shuffle. Read it with ``spark.table(table)``."""
+    cols = [c for c in ("txn_id", "item", "prob") if c in df.columns]
+    # One task writes one bucket, or each would write a file for every bucket.
+    (df.select(*cols).repartition(buckets, "txn_id").write.format("parquet").option("compression", codec_name(compression))
+     .option("path", path).bucketBy(buckets, "txn_id").sortBy("txn_id", "item").saveAsTable(table))
+
+
 def wide_columns(values: Column, width: int) -> list[Column]:
     """``c0 .. c{width-1}``, NULL past the end of a shorter row."""
     return [F.get(values, F.lit(i)).alias(f"c{i}") for i in range(width)]

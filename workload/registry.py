@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,18 @@ def crisp_grouped(spark, d):
     return as_text(iw.frequent_itemsets(basket(spark, d), 0.004, engine="grouped"))
 
 
+def _stored(spark, d) -> DataFrame:
+    ws = Workspace(spark)
+    name = "transactions_" + uuid.uuid4().hex
+    writers.write_stored(basket(spark, d), name, ws.path("stored"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(name)
+
+
+@query("crisp_stored", _CRISP)
+def crisp_stored(spark, d):
+    return as_text(iw.frequent_itemsets(_stored(spark, d), 0.004, engine="stored"))
+
+
 @query("crisp_userday", sets_sql(USERDAY, 5, "0.005 * (SELECT n FROM n)", crisp=True))
 def crisp_userday(spark, d):
     return as_text(iw.frequent_itemsets(userday(spark, d), 0.005))
@@ -146,6 +159,11 @@ def fuzzy_grouped(spark, d):
     return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, engine="grouped"))
 
 
+@query("fuzzy_stored", _FUZZY)
+def fuzzy_stored(spark, d):
+    return as_text(iw.fuzzy_frequent_itemsets(_stored(spark, d), 0.01, engine="stored"))
+
+
 @query("fuzzy_dual", sets_sql(BASKET, 5, "0.01 * (SELECT n FROM n)", frequency="50"))
 def fuzzy_dual(spark, d):
     return as_text(iw.fuzzy_frequent_itemsets(basket(spark, d), 0.01, min_frequency=50))
