@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from itemweave.llm import blocks, jaccard, lm_score, packing, quality
+from itemweave.llm import blocks, html_extract, jaccard, lm_score, packing, quality
 from itemweave.llm.common import Scratch, components
 from itemweave.llm.decontam import drop_leaks, leaks
 from itemweave.llm.html_extract import main_text
@@ -372,8 +373,12 @@ def test_main_text(spark):
              (4, "http://a/", "<nav>menu</nav><article><h1>T</h1><p>x <b>y</b>z<br>w<aside>no</aside><script>'</p>'</script><p>&#233;\n\t e</article><footer>f"),
              (5, "http://a/", "<article><p>a</p><div class='ad x'>no</div><section id=comments><p>no</p></section><form>no</form></article><p>out"),
              (6, "http://a/", "<title>no</title><div>k <!-- c > d --> l</div><p title='>'>m<a href=\"open>n"),
-             (7, "http://a/", "<main></main><p>other"), (4, "http://a/", "<p>same id")]
-    texts = {1: [""], 2: [""], 3: ["no markup & one <b>"], 4: ["T x yz w é e", "same id"], 5: ["a"], 6: ["k l mn"], 7: [""]}
+             (7, "http://a/", "<main></main><p>other"), (4, "http://a/", "<p>same id"),
+             (8, "http://b/", "<div class='no-sidebar content'><p>whole article</p></div>"), (9, "http://c/", "<div class='related-work'><p>a section</p></div>"),
+             (10, "http://d/", "<article><div class='entry-header'><h1>Title</h1></div><p>t</p><div class='cookie-banner'>no</div></article>"),
+             (11, "http://e/", "<p>see <a class='share'>our story</a> now<div id=site_footer>no</div>")]
+    texts = {1: [""], 2: [""], 3: ["no markup & one <b>"], 4: ["T x yz w é e", "same id"], 5: ["a"], 6: ["k l mn"], 7: ["other"],
+             8: ["whole article"], 9: ["a section"], 10: ["Title t"], 11: ["see our story now"]}
     same_everywhere = "<div class=top>Site of all</div>"
     pages += [(100 + k, "http://big.org/%d" % k, f"{same_everywhere}<div class=body><p>Text {k}</p><p>and {k * k}</p></div><div class=legal><p>All rights</p></div>") for k in range(40)]
     texts |= {100 + k: [f"Text {k} and {k * k}"] for k in range(40)}
@@ -385,6 +390,22 @@ def test_main_text(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    """A third of a host's pages are one page: its text stays, what stands on every page goes."""
+    bar, legal = "<div class=top>Site of all</div>", "<div class=legal><p>All rights</p></div>"
+    pages = [(k, "http://h/%d" % k, f"{bar}<div class=body><p>Text {max(k, 300)}</p><p>and {max(k, 300) ** 2}</p></div>{legal}") for k in range(900)]
+    got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    same([(r.page_id, r.text) for r in got], [(k, f"Text {max(k, 300)} and {max(k, 300) ** 2}") for k in range(900)])
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "x", "<div>" * 60_000 + "x" + "</section>" * 60_000,
+                                  "<i><p>" + "<b>" * 30_000 + "x</i>" * 30_000, "<div>" * 30_000 + "<p>x" * 30_000])
+def test_deep_pages_are_linear(page):
+    started = time.process_time()
+    assert "x" in html_extract.Page(page).blocks[0][1]
+    assert time.process_time() - started < 5
+
+
 def test_main_text_is_linear_in_broken_pages(spark):
     page = "<p class='" * 20_000 + "<div" * 20_000 + "<!--" * 20_000
     assert main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).count() == 1
