@@ -8,7 +8,8 @@ evaluated against the entries that are active when it was fetched; among these t
 A capture asks for each pattern that can cover it, one for each label of its host and each segment of its path, in
 an equality join on (pattern, period): intervals are laid out by periods of ``period_days``, a capture falls into one. So a
 pattern with a long history, or a host with a third of all captures, is spread over its periods, and no window function
-sees all rows of a key. Patterns are looked up once for each distinct (URL, fetch time), and only intervals of patterns that
+sees all rows of a key. A period in which a pattern has many entries is cut into as many slots, so that a capture meets few of
+them however many a hot host has, if they are spread over the period. Patterns are looked up once for each distinct (URL, fetch time), and only intervals of patterns that
 occur travel.
 
 Defined cases: entries or captures with a NULL time, pattern or URL match nothing; of entries for one pattern at one time
@@ -65,13 +66,29 @@ def intervals(entries: DataFrame, period_days: int = PERIOD_DAYS) -> DataFrame:
     return closed.select("pattern", "action", F.col("ts").alias("start"), "end", "period")
 
 
+def _slot(micros: Column, period_days: int) -> Column:
+    """The slot, of ``slots`` even ones of a ``period``, that a time in it falls into; it never falls as time goes on."""
+    length = period_days * 86_400_000_000
+    return F.least(F.floor((micros - F.col("period") * F.lit(length)) / F.lit(length) * F.col("slots")).cast("long"), F.col("slots") - 1)
+
+
+def _cut(spans: DataFrame, sizes: DataFrame, period_days: int) -> DataFrame:
+    """Intervals by slot: with as many slots as a pattern has intervals in a period, there are at most twice as many rows."""
+    length = period_days * 86_400_000_000
+    begin = F.col("period") * F.lit(length)
+    rows = spans.join(sizes, ["pattern", "period"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    first = _slot(F.greatest(F.unix_micros(F.col("start").cast("timestamp")), begin), period_days)
+    last = _slot(F.least(F.coalesce(F.unix_micros(F.col("end").cast("timestamp")), begin + length), begin + length) - 1, period_days)
+    return rows.withColumn("slot", F.explode(F.sequence(first, last))).drop("slots")
+
+
 def _period(ts: Column, days: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(days * 86_400_000_000)).cast("long")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, period_days: int = PERIOD_DAYS, url: str = "url",
              fetched: str = "fetched") -> DataFrame:
-    """``captures`` with pattern, since and action of the entry that decides (NULL if none is active)."""
+    """``captures`` with pattern, since and action of the entry that decides (NULL if none is active), which replace columns of these names."""
     scratch = Scratch(captures.sparkSession)
     spans = scratch.save(intervals(entries, period_days), "intervals")
     # The last entry of each pattern stays valid; captures after its period find it here.
@@ -80,11 +97,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, period_days: int = PERIOD_
     asked = asked.withColumns({"__h": host(F.col("__url")), "__p": path(F.col("__url")), "period": _period(F.col("__at"), period_days)})
     asked = scratch.save(asked.select("__url", "__at", "period", F.explode_outer(patterns(F.col("__h"), F.col("__p"))).alias("pattern"))
                          .where("pattern IS NOT NULL"), "asked")
+    # Where a pattern has many entries in a period, captures meet those of their slot only.
+    sizes = scratch.save(spans.groupBy("pattern", "period").agg(F.count(F.lit(1)).alias("slots")).where("slots > 1"), "sizes")
+    sizes = small(sizes, 100_000)
     in_time = (F.col("start") <= F.col("__at")) & (F.col("end").isNull() | (F.col("__at") < F.col("end")))
-    met = asked.join(small(spans, 100_000), ["pattern", "period"]).where(in_time).select("__url", "__at", "pattern", "action", F.col("start").alias("since"))
+    slotted = (asked.join(sizes, ["pattern", "period"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+               .withColumn("slot", _slot(F.unix_micros(F.col("__at").cast("timestamp")), period_days)).drop("slots"))
+    met = (slotted.join(_cut(spans, sizes, period_days), ["pattern", "period", "slot"]).where(in_time)
+           .select("__url", "__at", "pattern", "action", F.col("start").alias("since")))
     late = asked.join(small(open_ended, 100_000), "pattern").where("period > from_period").select("__url", "__at", "pattern", "action", "since")
     best = met.union(late).groupBy("__url", "__at").agg(
-        F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since", "action")).alias("best"))
+        F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since", "action")).alias("__best"))
     out = captures.join(best, (F.col(url) == F.col("__url")) & (F.col(fetched) == F.col("__at")), "left")
-    return out.select(*[captures[c] for c in captures.columns], F.col("best.pattern").alias("pattern"),
-                      F.col("best.since").alias("since"), F.col("best.action").alias("action"))
+    found = [F.col("__best")[c].alias(c) for c in ("pattern", "since", "action")]
+    return out.select(*[captures[c] for c in captures.columns if c not in ("pattern", "since", "action")], *found)

@@ -174,6 +174,22 @@ def test_url_filters(spark):
     assert sum(w[2] is not None for w in want) > 20
     assert evaluate(df.limit(0).withColumnRenamed("start", "begin"), log).count() == 0
     assert evaluate(df, log.limit(0)).where("action IS NOT NULL").count() == 0
+    clashing = df.withColumns({c: F.lit("x") for c in ("best", "pattern", "since", "action", "slot", "slots", "period", "end", "path")})
+    got = evaluate(clashing, log)
+    same([(r.url, r.fetched, r.pattern, r.since, r.action) for r in got.collect()], want)
+    assert len(set(got.columns)) == len(got.columns) and {r.best for r in got.collect()} == {"x"}
+
+
+def test_url_filter_with_a_hot_host(spark):
+    """One host with 20,000 entries and as many captures in a week, evenly spread and all within a minute."""
+    base, rng = datetime(2024, 1, 1), random.Random(4)
+    for step in (28_000_000, 3_000):  # microseconds
+        entries = [("hot.org", base + timedelta(microseconds=k * step), f"a{k}") for k in range(20_000 if step > 3_000 else 3_000)]
+        captures = [(k, "http://hot.org/x", base + timedelta(microseconds=rng.randrange(len(entries) * step))) for k in range(len(entries))]
+        got = evaluate(spark.createDataFrame(captures, "id long, url string, fetched timestamp"),
+                       spark.createDataFrame(entries, "pattern string, ts timestamp, action string"))
+        want = [(k, f"a{(at - base) // timedelta(microseconds=step)}") for k, _, at in captures]
+        same([(r.id, r.action) for r in got.collect()], want)
 
 
 # --- 3 ------------------------------------------------------------------------------------------
