@@ -37,25 +37,25 @@ _STOP, _MARKS = "\x01", ".!?,;:\"()[]{}“”„«»"
 
 
 def canonical(df: DataFrame, text: str) -> DataFrame:
-    """Add __m (words with ends of sentences marked) and __c (canonical words)."""
-    df = df.withColumn("__m", words(F.translate(F.col(text), _MARKS, _STOP * 3)))
+    """Add __m (words with ends of sentences marked), __r (without the marks), __s (these in small letters), __c (canonical words).
 
-    def bare(w: Column) -> Column:
-        return F.replace(w, F.lit(_STOP), F.lit(""))
+    Each is a column of its own, since what stands inside the body of an array function runs anew wherever it is named.
+    """
+    df = df.withColumn("__m", words(F.translate(F.col(text), _MARKS, _STOP * 3)))
+    df = df.withColumn("__r", F.transform("__m", lambda w: F.replace(w, F.lit(_STOP), F.lit(""))))
+    df = df.withColumn("__s", F.transform("__r", F.lower))
 
     def number(w: Column) -> Column:
         return (w >= "0") & (w < ":") & F.regexp_like(w, F.lit("^[0-9]+([-/%][0-9]*)*$"))
 
-    def form(m: Column, i: Column) -> Column:
-        w = bare(m)
-        low = F.lower(w)
+    def form(w: Column, i: Column) -> Column:
         # Lower-case words, by far the most, need no look at the word before unless they may be units.
         return (F.when(number(w), "<n>")
-                .when(low.isin(UNITS) & number(bare(F.get("__m", i - 1))), "<u>")
-                .when((low != w) & (i > 0) & ~F.endswith(F.get("__m", i - 1), F.lit(_STOP)), "<a>")
-                .otherwise(low))
+                .when(w.isin(UNITS) & number(F.get("__r", i - 1)), "<u>")
+                .when((w != F.get("__r", i)) & (i > 0) & ~F.endswith(F.get("__m", i - 1), F.lit(_STOP)), "<a>")
+                .otherwise(w))
 
-    return df.withColumn("__c", F.transform("__m", form))
+    return df.withColumn("__c", F.transform("__s", form))
 
 
 def literal(df: DataFrame, text: str) -> DataFrame:
@@ -63,16 +63,25 @@ def literal(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__l", words(F.lower(F.translate(F.col(text), _MARKS, ""))))
 
 
-def _hashes(df: DataFrame, of: str = "__c", to: str = "__h") -> DataFrame:
-    """Add the hash of each window, by place."""
-    return df.withColumn(to, F.when(F.size(of) >= WINDOW, F.slice(
-        F.transform(of, lambda w, i: F.xxhash64(w, *[F.get(of, i + k) for k in range(1, WINDOW)])),
-        1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(1)))))
+def _windows(of: str) -> Column:
+    """Every WINDOW consecutive words as a struct, by place. Slices that are zipped and exploded stay in generated code."""
+    n = F.greatest(F.size(of) - (WINDOW - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(of, k + 1, n).alias(f"w{k}") for k in range(WINDOW)])
+
+
+def _hash(window: str) -> Column:
+    """NULL for no window."""
+    return F.when(F.col(window).isNotNull(), F.xxhash64(*[F.col(window)[f"w{k}"] for k in range(WINDOW)]))
+
+
+def _hash_at(of: str, place: Column) -> Column:
+    """The hash of the window at a place; NULL for a place before the first word or with fewer words behind it."""
+    return F.when((place >= 0) & (place + WINDOW <= F.size(of)), F.xxhash64(*[F.get(of, place + k) for k in range(WINDOW)]))
 
 
 def _slots(place: str) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.when(
-        F.get("__c", F.col(place) + k).isin("<n>", "<u>", "<a>"), F.lower(F.replace(F.get("__m", F.col(place) + k), F.lit(_STOP), F.lit(""))))), lambda x: x.isNotNull())
+        F.get("__c", F.col(place) + k).isin("<n>", "<u>", "<a>"), F.get("__s", F.col(place) + k))), lambda x: x.isNotNull())
 
 
 def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -81,13 +90,13 @@ def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
     Items without templates have their literal windows only, with no h.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")).distinct()
-    rows = _hashes(_hashes(literal(canonical(items, "__text"), "__text")), "__l", "__g")
+    rows = literal(canonical(items, "__text"), "__text")
     # The place among the literal words; the two differ only if some words are punctuation alone.
     rows = rows.withColumn("__p", F.filter(F.transform("__m", lambda w, i: F.when(w != _STOP, i)), lambda i: i.isNotNull()))
-    rows = rows.select("item_id", "__m", "__c", "__g", "__p", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
+    rows = rows.select("item_id", "__m", "__s", "__c", "__l", "__p", F.posexplode_outer(_windows("__c")).alias("place", "w")).where("w IS NOT NULL")
     at = F.when(F.size("__p") == F.size("__m"), F.col("place")).otherwise((F.array_position("__p", F.col("place")) - 1).cast("int"))
     count = F.size(F.filter(F.slice("__c", F.col("place") + 1, WINDOW), lambda w: ~w.isin("<n>", "<u>", "<a>")))
-    rows = rows.select("item_id", "place", "h", _slots("place").alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"))
+    rows = rows.select("item_id", "place", _hash("w").alias("h"), _slots("place").alias("slots"), _hash_at("__l", at).alias("g"), (count >= LITERALS).alias("typed"))
     counts = rows.groupBy(F.col("item_id").alias("__i")).agg(
         F.max("typed").alias("__typed"), F.countDistinct(F.when(F.col("typed"), F.col("place"))).alias("__n"),
         F.countDistinct(F.when(F.col("g").isNotNull(), F.col("place"))).alias("__literal"))
@@ -105,14 +114,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     # Only ids, places and hashes are laid out by window; the words of the few documents that match are read again.
     # The outer form keeps Spark from testing the size of the array, and so computing it, ahead of the explode.
-    places = (_hashes(canonical(rows, "__text")).select("doc_id", F.posexplode_outer("__h").alias("at", "__t"))
-              .join(side, "__t", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at")))
+    places = (canonical(rows, "__text").select("doc_id", F.posexplode_outer(_windows("__c")).alias("at", "w"))
+              .select("doc_id", "at", _hash("w").alias("__t")).join(side, "__t", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at")))
     places = scratch.save(places, "places")
     rows = rows.join(small(places.select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    rows = scratch.save(_hashes(canonical(rows.distinct(), "__text")).select("doc_id", "__m", "__c", "__h"), "matched")
+    rows = scratch.save(canonical(rows.distinct(), "__text").select("doc_id", "__s", "__c"), "matched")
     rows = rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id")))
-    found = rows.select("doc_id", "__c", "__m", "__h", F.explode_outer("__at").alias("at")).where(F.get("__h", "at").isNotNull())
-    found = scratch.save(found.select("doc_id", "at", F.get("__h", "at").alias("h"), _slots("at").alias("values")).distinct(), "found")
+    found = rows.select("doc_id", "__c", "__s", F.explode_outer("__at").alias("at")).where(F.col("at") + WINDOW <= F.size("__c"))
+    found = scratch.save(found.select("doc_id", "at", _hash_at("__c", F.col("at")).alias("h"), _slots("at").alias("values")).distinct(), "found")
     met = found.join(known, "h").withColumn("shift", F.col("at") - F.col("place"))
     # The windows of an alignment are bounded by the item, so its slots fit a row.
     same = ["doc_id", "item_id", "shift"]
@@ -135,8 +144,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
 def _verbatim(docs: DataFrame, known: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
     """doc_id, item_id, n_windows and place of each literal window of an item in a document; nothing is changed in them."""
     side = small(known.select("g").where("g IS NOT NULL").distinct())
-    rows = _hashes(literal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text"), "__l", "__g")
-    found = scratch.save(rows.select("doc_id", F.explode_outer("__g").alias("g")).join(side, "g", "left_semi").distinct(), "verbatim")
+    rows = literal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text")
+    rows = rows.select("doc_id", F.explode_outer(_windows("__l")).alias("w"))
+    found = scratch.save(rows.select("doc_id", _hash("w").alias("g")).join(side, "g", "left_semi").distinct(), "verbatim")
     return found.join(known, "g").select("doc_id", "item_id", "n_windows", "place", F.lit(0).cast("long").alias("n_changed"))
 
 
