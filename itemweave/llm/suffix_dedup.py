@@ -66,16 +66,26 @@ class Suffixes:
         return sampled(self.gram, self.low, self.valid, self.reach + 1) if len(self.low) else np.zeros(0, np.int64)
 
     def surroundings(self, at: np.ndarray) -> np.ndarray:
-        """A hash of the bytes from ``reach`` before to ``length`` behind each place, as far as its document goes."""
-        doc = self.doc[at]
-        lo, hi = self.starts[doc], self.starts[doc + 1]
-        out = np.zeros(len(at), np.uint64)
+        """A hash of the bytes from ``reach`` before to ``length`` behind each place, as far as its document goes.
+
+        Surroundings that lie inside the document are hashed eight bytes at a time; those that its ends cut, byte by byte.
+        The two never are equal, as a cut is part of what must agree.
+        """
+        lo, hi = self.starts[self.doc[at]], self.starts[self.doc[at] + 1]
+        inside = (at - self.reach >= lo) & (at + self.length <= hi)
+        out = np.empty(len(at), np.uint64)
+        whole, cut = at[inside], np.flatnonzero(~inside)
+        h = np.zeros(len(whole), np.uint64)
+        for k in [*range(-self.reach, self.length - 8, 8), self.length - 8]:
+            h = mix(h * _WEIGHTS[4] + self.eight[whole + k])
+        out[inside] = h
+        h = np.zeros(len(cut), np.uint64)
         for k in range(-self.reach, self.length):
-            p = at + k
-            inside = (p >= lo) & (p < hi)
-            v = np.where(inside, self.bytes[np.clip(p, 0, self.n - 1)], 256).astype(np.uint64) + np.uint64(1)
-            out += v * _WEIGHTS[k + self.reach]
-        return mix(out)
+            p = at[cut] + k
+            v = np.where((p >= lo[cut]) & (p < hi[cut]), self.bytes[np.clip(p, 0, self.n - 1)], 256).astype(np.uint64) + np.uint64(1)
+            h += v * _WEIGHTS[k + self.reach]
+        out[cut] = mix(h)
+        return out
 
     def windows_of(self, at: np.ndarray) -> np.ndarray:
         """The valid windows whose least gram is that of one of some sampled places inside them."""
@@ -265,10 +275,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     grams = scratch.save(blocks.meet(blocks.ask(_grams(length), rows), _in_two_documents, "key long, block int"), "grams")
     contexts = blocks.tell(grams, _contexts(length), "key long, context long, doc long, hi long, block int")
     contexts = scratch.save(blocks.meet(contexts, _first_contexts, "key long, context long, block int, doc long, several boolean", "context"), "contexts")
+    scratch.drop("grams")
     windows = scratch.save(blocks.meet(blocks.tell(contexts, _windows(length), rows), _first_windows, "key long, block int, doc long"), "windows")
     told = contexts.withColumn("is_window", F.lit(0).cast("byte")).unionByName(
         windows.withColumns({"is_window": F.lit(1).cast("byte"), "context": F.lit(0).cast("long"), "several": F.lit(False)}))
     out = blocks.tell(told, _mark(length), OUT)
     out = scratch.save(out if texts else out.drop("kept", "spans"), "marked")
-    scratch.drop("grams", "contexts", "windows")
+    scratch.drop("contexts", "windows")
     return out
