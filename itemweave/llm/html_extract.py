@@ -1,18 +1,20 @@
 """Main text of pages by a site style tree.
 
 Pages are cut into blocks of text, each with its style path (tags and classes from the body down). Elements whose tag, role,
-class or id says menu, header, footer, sidebar, notice, advert, form, script, style or reader comments go first. The blocks
-that remain are merged by host into a style tree:
+class or id says menu, header, footer, sidebar, notice, advert, form, script, style or reader comments go first. All blocks
+that remain, of all pages, are merged by host into a style tree, and the tree decides on every page:
 
 * a content (a text under a path) on c of the host's m pages has the importance 1 - log_m(c): 0 if it is on every page;
 * an element has the presentation importance H, the entropy, to the base m, of the sequences of children it has on the
   host's pages, and the composite importance (1 - g^l) H + g^l C, with l such sequences, g = 0.9, and C the mean
-  importance of the contents below it.
-
-Contents and branches of an importance below ``threshold`` go. What an article or main element holds stays as a whole: a passage
-that many articles share is still text of each. Where such elements hold any text it is the page's, else that of all blocks that are
-left. The tree is built from what stands outside of them, and from pages of equal blocks once for each host, so copies of a page
-do not make its article look like a part of the site. m is the number of
+  importance of the contents below it;
+* an element is noise if its importance and that of all elements below it is low, as an element of few shapes may well hold an article.
+
+Contents and noisy elements of an importance below ``threshold`` go. What an article or main element holds is a part of the tree of its
+own, with paths that begin with INSIDE and the stricter threshold MAIN_THRESHOLD: a passage that many articles share is still text of
+each, one that nearly all pages of a host have is part of the site. Where such elements hold any text, the page's text is what the
+tree leaves of it (all of it, if the tree leaves nothing), else what it leaves of all blocks. Pages of equal blocks count once
+for each host, so copies of a page do not make its article look like a part of the site. m is the number of
 those pages and UNSEEN more that are taken to share nothing, so that little is concluded from few pages.
 
 A class or id counts as a whole, or if each of its hyphenated parts is a listed name or a word like site, box or list: "cookie-banner"
@@ -20,7 +22,7 @@ and "site-footer" go, "no-sidebar", "related-work" and "entry-header" stay. Elem
 
 A content below the threshold is on at least m^(1 - threshold) of m pages, so a host has few of them, however many pages
 it has; they go back to its pages as one list. Counts are summed by (host, path, content), so a host with a third of all
-pages is spread over tasks.
+pages is spread over tasks. Pages are parsed once; texts stay where they are, and only hashes go into the tree.
 
 Defined cases: a NULL or empty page has an empty text; a NULL url is a host of its own; a host whose blocks are all of low
 importance keeps them; equal page_ids are rows of their own; an empty table gives an empty result; other columns are not read; pages
@@ -31,16 +33,17 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemweave.llm.common import Scratch, small
 
-THRESHOLD, ATTENUATION, DEPTH, UNSEEN = 0.2, 0.9, 64, 8
+THRESHOLD, MAIN_THRESHOLD, ATTENUATION, DEPTH, UNSEEN = 0.2, 0.05, 0.9, 64, 8
+#: What the paths of blocks and elements inside an article or main element begin with.
+INSIDE = "!"
 
 # Element names of HTML, by what they mean here.
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -109,8 +112,8 @@ class Page:
             label = name + "".join(f".{c}" for c in found.get("class", "").replace("/", " ").split()[:2])
             if depth <= DEPTH:
                 path = f"{above}/{label}" if name not in ("html", "body") else ""
-            if not drop and not inside:
-                self.children.setdefault(above, []).append(label)
+            if not drop:
+                self.children.setdefault(INSIDE + above if inside else above, []).append(label)
         self.places.setdefault(name, []).append(len(self.open))
         self.open.append((name, path, drop, main, block, depth))
 
@@ -188,49 +191,53 @@ def _above(path: str) -> list[str]:
 
 #: Kinds of rows of the style tree.
 PAGES, CONTENT, ELEMENT = -1, 0, 1
-_SCAN = "host string, digest long, page_id long, url string, text string, html string"
-_STYLES = "host string, kind byte, path string, feature long, n long"
+_SCAN = ("host string, digest long, page_id long, url string, text string, blocks array<struct<path: string, feature: long, size: int>>, "
+         "elements array<struct<path: string, feature: long>>")
+_BLOCKS = pa.list_(pa.struct([("path", pa.string()), ("feature", pa.int64()), ("size", pa.int32())]))
+_ELEMENTS = pa.list_(pa.struct([("path", pa.string()), ("feature", pa.int64())]))
 
 
 def _scan(batches):
-    """Each page with its text (NULL if the style tree decides) and, if it has blocks outside a main element, its html and their hash."""
+    """Each page with the text that it has if the tree finds no noise in it, and what goes into the tree: all blocks by path and hash, with
+    their length where they are part of that text (else -1), and the hash of each element's children."""
     for batch in batches:
         rows = []
         for pid, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
             page = Page(html.as_py())
-            outside = [(path, text) for path, text, inside in page.blocks if not inside]
-            text = " ".join([t for _, t, inside in page.blocks if inside]) if page.has_main else None if outside else ""
-            rows.append((host_of(url.as_py()), _hash(*(x for b in outside for x in b)), pid.as_py(), url.as_py(), text,
-                         html.as_py() if outside else None))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _SCAN.split(", ")])
-
-
-def _styles(batches):
-    """By batch, on how many of the given pages of a host a content is, or an element has some children."""
-    for batch in batches:
-        seen: Counter = Counter()
-        for host, html in zip(*(batch.column(i) for i in range(2)), strict=True):
-            host, page = host.as_py(), Page(html.as_py())
-            seen[host, PAGES, "", 0] += 1
-            own = {(host, CONTENT, path, _hash(text)) for path, text, inside in page.blocks if not inside}
-            own |= {(host, ELEMENT, path, _hash(*labels)) for path, labels in page.children.items() if path}
-            seen.update(own)
-        cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int8(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _STYLES.split(", ")])
+            texts, blocks = [], []
+            for path, text, inside in page.blocks:
+                chosen = inside or not page.has_main
+                if chosen:
+                    texts.append(text)
+                blocks.append((INSIDE + path if inside else path, _hash(text), len(text) if chosen else -1))
+            elements = [(path, _hash(*labels)) for path, labels in page.children.items() if path not in ("", INSIDE)]
+            digest = _hash(*(x for path, feature, _ in blocks for x in (path, str(feature))))
+            rows.append((host_of(url.as_py()), digest, pid.as_py(), url.as_py(), " ".join(texts),
+                         [dict(zip(("path", "feature", "size"), b, strict=True)) for b in blocks],
+                         [dict(zip(("path", "feature"), e, strict=True)) for e in elements]))
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _BLOCKS, _ELEMENTS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                         names=["host", "digest", "page_id", "url", "text", "blocks", "elements"])
 
 
 def _extract(batches):
-    """The text of pages without a main element: the blocks that are neither noise nor below noise."""
+    """The text of pages on hosts with noise: the blocks that are neither noise nor below noise."""
     for batch in batches:
-        ids, urls, html, noise = (batch.column(i) for i in range(4))
+        ids, urls, whole, blocks, noise = (batch.column(i) for i in range(5))
         texts = []
-        for h, low in zip(html, noise, strict=True):
-            gone = set(low.as_py() or ())
-            texts.append(" ".join([t for path, t, _ in Page(h.as_py()).blocks
-                                   if _hash(path, str(_hash(t))) not in gone and not any(_hash(p) in gone for p in _above(path))]))
+        for text, page, low in zip(whole, blocks, noise, strict=True):
+            text, at, kept, gone, inside = text.as_py(), 0, [], set(low.as_py() or ()), False
+            for block in page.as_py():
+                path, size = block["path"], block["size"]
+                if size < 0:
+                    continue
+                inside = path.startswith(INSIDE)
+                if _hash(path, str(block["feature"])) not in gone and not any(_hash(p) in gone for p in _above(path)):
+                    kept.append(text[at:at + size])
+                at += size + 1
+            # An article is never dropped as a whole.
+            texts.append(" ".join(kept) if kept or not inside else text)
         yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -242,25 +249,42 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["host", "noise"])
 
 
-def style_tree(scan: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, kind, path, feature, importance) of contents and elements; m is the host's different pages and UNSEEN more."""
-    pages = scan.where("html IS NOT NULL").groupBy("host", "digest").agg(F.first("html").alias("html")).select("host", "html")
-    styles = scratch.save(pages.mapInArrow(_styles, _STYLES).groupBy("host", "kind", "path", "feature").agg(F.sum("n").alias("n")), "styles")
-    hosts = styles.where(F.col("kind") == PAGES).select("host", (F.col("n") + UNSEEN).alias("m"))
+def _limit(threshold: float) -> Column:
+    """The threshold that holds for a path."""
+    return F.when(F.startswith("path", F.lit(INSIDE)), F.lit(min(threshold, MAIN_THRESHOLD))).otherwise(F.lit(threshold))
+
+
+def style_tree(scan: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, kind, path, feature, importance) of the elements and of contents below the threshold. The importance of an element is the
+    largest of its own and of those below it; m is the host's different pages and UNSEEN more."""
+    pages = (scan.where(F.size("blocks") > 0).groupBy("host", "digest")
+             .agg(F.first("blocks").alias("blocks"), F.first("elements").alias("elements")))
+
+    def row(kind: int, path: Column, feature: Column) -> Column:
+        return F.struct(F.lit(kind).cast("byte").alias("kind"), path.alias("path"), feature.alias("feature"))
+
+    none = F.lit(0).cast("long")
+    contents = F.array_distinct(F.transform("blocks", lambda b: row(CONTENT, b["path"], b["feature"])))
+    elements = F.transform("elements", lambda e: row(ELEMENT, e["path"], e["feature"]))
+    rows = pages.select("host", F.explode(F.concat(F.array(row(PAGES, F.lit(""), none)), contents, elements)).alias("s")).select("host", "s.*")
+    styles = scratch.save(rows.groupBy("host", "kind", "path", "feature").agg(F.count("*").alias("n")), "styles")
+    hosts = small(styles.where(F.col("kind") == PAGES).select("host", (F.col("n") + UNSEEN).alias("m")), 100_000)
     known = styles.where(F.col("kind") >= CONTENT).join(hosts, "host")
     contents = known.where(F.col("kind") == CONTENT).withColumn("importance", 1 - F.log("n") / F.log("m"))
     # Every element above a content, by the depth of its path.
     above = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
-    below = (contents.select("host", "n", "importance", F.explode_outer(above).alias("path"))
-             .groupBy("host", "path").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("below")))
+    below = (contents.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("importance")).alias("s"))
+             .select("host", "n", "s", F.explode_outer(above).alias("path"))
+             .groupBy("host", "path").agg((F.sum("s") / F.sum("n")).alias("below")))
     of = known.where(F.col("kind") == ELEMENT)
     total = of.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count("*").alias("l"),
                                            F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("m").alias("m"))
     entropy = (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("m")
     elements = below.join(total, ["host", "path"], "left").withColumn(
         "importance", F.coalesce((1 - F.pow(F.lit(ATTENUATION), "l")) * entropy + F.pow(F.lit(ATTENUATION), "l") * F.col("below"), "below"))
-    return contents.select("host", "kind", "path", "feature", "importance").union(
-        elements.select("host", F.lit(ELEMENT).cast("byte"), "path", F.lit(0).cast("long"), "importance"))
+    best = elements.select("host", "importance", F.explode(above).alias("path")).groupBy("host", "path").agg(F.max("importance").alias("importance"))
+    return contents.where(F.col("importance") < _limit(threshold)).select("host", "kind", "path", "feature", "importance").union(
+        best.select("host", F.lit(ELEMENT).cast("byte"), "path", none, "importance"))
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -268,13 +292,14 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, page_id: str = "pa
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     scan = scratch.save(rows.mapInArrow(_scan, _SCAN), "scan", batch=500)
-    tree = scratch.save(style_tree(scan, scratch), "tree")
+    tree = scratch.save(style_tree(scan, scratch, threshold), "tree")
     alive = tree.where(F.col("kind") == ELEMENT).groupBy("host").agg(F.max("importance").alias("best")).where(F.col("best") >= threshold).select("host")
-    low = tree.where(F.col("importance") < threshold).join(alive, "host", "left_semi")
+    low = tree.where(F.col("importance") < _limit(threshold)).join(small(alive, 100_000), "host", "left_semi")
     noise = scratch.save(low.select("host", "kind", "path", "feature").mapInArrow(_hashed, "host string, noise long")
                          .groupBy("host").agg(F.collect_set("noise").alias("noise")), "noise")
-    rest = scan.where("text IS NULL").join(small(noise, 20_000), "host", "left").select("page_id", "url", "html", "noise")
+    found = scan.join(small(noise, 20_000), "host", "left")
+    rest = found.where("noise IS NOT NULL").select("page_id", "url", "text", "blocks", "noise")
     rest = scratch.save(rest.mapInArrow(_extract, "page_id long, url string, text string"), "rest", batch=500)
-    scratch.drop("styles", "tree", "noise")
-    return (scan.where("text IS NOT NULL").select("page_id", "url", "text").union(rest)
+    scratch.drop("styles", "tree")
+    return (found.where("noise IS NULL").select("page_id", "url", "text").union(rest)
             .withColumn("n_chars", F.length("text").cast("long")))

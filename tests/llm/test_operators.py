@@ -414,6 +414,25 @@ def test_copies_of_a_page_are_one_page(spark):
     same([(r.page_id, r.text) for r in got], [(k, f"Text {max(k, 300)} and {max(k, 300) ** 2}") for k in range(900)])
 
 
+def test_the_tree_reads_articles_too(spark):
+    """What stands in nearly all articles of a host goes, what half of them share stays, and no article goes as a whole."""
+    tail = "<div class=tail><p>Read us every day</p></div>"
+    pages = [(k, "http://h/%d" % k, f"<article><h1>Title {k}</h1><p>Half {k % 2}</p><p>Text {k}</p>{tail}</article>") for k in range(100)]
+    pages += [(100 + k, "http://few/%d" % k, f"<article><p>Text {k}</p>{tail}</article>") for k in range(10)]
+    pages += [(200 + k, "http://gone/%d" % k, f"<div>Part {k}</div><article><p>No such page</p></article>") for k in range(100)]
+    want = [(k, f"Title {k} Half {k % 2} Text {k}") for k in range(100)] + [(100 + k, f"Text {k} Read us every day") for k in range(10)]
+    want += [(200 + k, "No such page") for k in range(100)]
+    same([(r.page_id, r.text) for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()], want)
+
+
+def test_an_element_of_few_shapes_keeps_its_texts(spark):
+    """Nearly all pages have the same sequence of children, but what stands in them differs."""
+    parts = lambda k: 1 if k < 850 else k - 850 + 2
+    pages = [(k, "http://h/%d" % k, "<div class=body>" + "".join(f"<p>Text {k} {j}</p>" for j in range(parts(k))) + "</div>") for k in range(900)]
+    got = main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    same([(r.page_id, r.text) for r in got], [(k, " ".join(f"Text {k} {j}" for j in range(parts(k)))) for k in range(900)])
+
+
 @pytest.mark.parametrize("page", ["<b>" * 60_000 + "x", "<div>" * 60_000 + "x" + "</section>" * 60_000,
                                   "<i><p>" + "<b>" * 30_000 + "x</i>" * 30_000, "<div>" * 30_000 + "<p>x" * 30_000])
 def test_deep_pages_are_linear(page):
