@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from itemweave.operators.dictionary import (
     resolve_threshold,
     share_of,
     sum_type,
+    transaction_count,
 )
 from itemweave.operators.results import MiningResult
 from itemweave.plans.levels import (
@@ -120,6 +122,34 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
 
 # --- crisp -------------------------------------------------------------------------------------
 
+@contextmanager
+def _without_rare(df: DataFrame, min_support, n_transactions: int | None) -> Iterator[tuple[DataFrame, int | None]]:
+    """The rows whose items may be frequent, and the number of transactions.
+
+    An item with fewer occurrences than the threshold, repeats included, is in fewer transactions too. Counting occurrences moves a row for each item
+    and task only, so where such items hold half of the occurrences or more they go before anything is shuffled by
+    transaction, at the price of reading the input again. Otherwise all rows are left as they are.
+    """
+    threshold, proportion = parse_threshold(min_support)
+    if proportion:
+        n_transactions = transaction_count(df) if n_transactions is None else n_transactions
+        threshold = share_of(threshold, n_transactions)
+    if threshold <= 1:
+        yield df, n_transactions
+        return
+    ws = Workspace(df.sparkSession)
+    known = df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull())
+    counts, seen = _observed(known.groupBy("item").agg(F.count(F.lit(1)).alias("n")), total=F.sum("n"))
+    try:
+        likely = ws.write(counts.where(F.col("n") >= F.lit(threshold)), "likely")
+        n_items, text, left = likely.agg(F.count(F.lit(1)), text_bytes(F.col("item")), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if 2 * left <= (_metrics(seen).get("total") or 0):
+            df = known.join(broadcast_if(likely.select("item"), n_items, text), "item", "left_semi")
+        yield df, n_transactions
+    finally:
+        ws.drop()
+
+
 def _crisp_join(df: DataFrame, min_support, max_len: int | None, started: float,
                 n_transactions: int | None, placed: bool = False) -> MiningResult:
     return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), min_support,
@@ -204,7 +234,10 @@ def frequent_itemsets(df: DataFrame, min_support, max_len: int | None = None, en
     if engine not in ENGINES:
         raise ValueError(f"unknown engine {engine!r}; known: {sorted(ENGINES)}")
     require_columns(df, "txn_id", "item")
-    return ENGINES[engine](df, min_support, max_len, started, n_transactions)
+    if engine == "stored":  # nothing is shuffled by transaction
+        return ENGINES[engine](df, min_support, max_len, started, n_transactions)
+    with _without_rare(df, min_support, n_transactions) as (rows, n_transactions):
+        return ENGINES[engine](rows, min_support, max_len, started, n_transactions)
 
 
 # --- fuzzy -------------------------------------------------------------------------------------

@@ -305,3 +305,14 @@ def test_periodic_on_both_sides_of_zero(spark):
     df = spark.createDataFrame([(t, "a", 100) for t in ids], "txn_id bigint, item string, prob int").withColumn("prob", F.col("prob").cast("tinyint"))
     row, = iw.fuzzy_periodic_frequent_itemsets(df, 1, 1, 2).itemsets.collect()
     assert (row["support"], row["freq"], row["periodic_freq"]) == (1100, 11, sum(b - a <= 2 for a, b in zip(ids, ids[1:])))
+
+
+@pytest.mark.parametrize("engine", ["join", "bitset", "bitmap", "fpgrowth", "grouped"])
+def test_rare_items_go_before_the_shuffle(spark, engine):
+    """Items with too few occurrences, repeats included, are no candidates; the sets and the share of transactions stay."""
+    rows = [(t, f"rare{t}-{j}") for t in range(40) for j in range(5)] + [(t, i) for t in range(30) for i in ("a", "b", "a")]
+    rows += [(1, "often")] * 20 + [(None, "a")] * 9 + [(50, None)]
+    result = iw.frequent_itemsets(spark.createDataFrame(rows, "txn_id long, item string"), 0.5, engine=engine)
+    assert table(result) == {("a",): (30, 30), ("b",): (30, 30), ("a", "b"): (30, 30)}
+    if engine == "join":
+        assert result.levels.where("k = 1").first()["candidates"] == 3
