@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,13 @@ def crisp_occurrences(df: DataFrame) -> DataFrame:
     return df.where(F.col("item").isNotNull() & F.col("txn_id").isNotNull()).select("txn_id", "item").distinct()
 
 
-def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max", keep_absent: bool = False) -> DataFrame:
+def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max", keep_absent: bool = False, parts: int | None = None,
+                      group: Column | None = None) -> DataFrame:
     """One membership per ``(txn_id, item)``; memberships of 0 or less mean the item is absent.
 
     ``max`` keeps the largest of several memberships; ``last`` the one at the highest ``pos``.
-    ``keep_absent`` leaves the absent ones in, for counting transactions.
+    ``keep_absent`` leaves the absent ones in, for counting transactions. With ``parts`` rows are placed in so many partitions by
+    ``txn_id``, or by ``group``, a function of it that becomes the column ``grp``; what follows by transaction needs no shuffle then.
     """
     require_columns(df, "txn_id", "item", "prob")
     if on_duplicate == "max":
@@ -45,7 +47,12 @@ def fuzzy_occurrences(df: DataFrame, on_duplicate: str = "max", keep_absent: boo
         rows = rows.withColumn("prob", F.nanvl("prob", F.lit(0.0)))  # not a number: absent
     if on_duplicate == "max" and not keep_absent:
         rows = rows.where(F.col("prob") > 0)
-    rows = rows.groupBy("txn_id", "item").agg(pick.alias("prob"))
+    keys = ["txn_id", "item"]
+    if group is not None:
+        rows, keys = rows.withColumn("grp", group), ["grp", *keys]
+    if parts:
+        rows = rows.repartition(parts, keys[0])
+    rows = rows.groupBy(*keys).agg(pick.alias("prob"))
     return rows if keep_absent else rows.where(F.col("prob") > 0)
 
 

@@ -24,6 +24,8 @@ from itemweave.operators.dictionary import (
 from itemweave.operators.results import MiningResult
 from itemweave.plans.levels import (
     BITSET,
+    BROADCAST_SETS,
+    BROADCAST_TEXT,
     CRISP,
     FUZZY,
     Counting,
@@ -51,6 +53,10 @@ def _keep(min_support, min_frequency: int | None = None, min_periodic: int | Non
     return keep
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _integral(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
@@ -66,16 +72,18 @@ def _transactions(occ: DataFrame, counting: Counting) -> int:
 def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_for: Callable[..., Support],
             max_len: int | None, started: float, n_transactions: int | None = None,
             split_local: Callable | None = None, finish_local: Callable | None = None, steps: Steps | None = None,
-            placed: bool = False) -> MiningResult:
+            placed: bool = False, stored: bool = False) -> MiningResult:
     """Dictionary, one packing shuffle, then the level loop. ``occ`` holds one row per item and unit;
-    ``support_for`` takes the threshold as a count."""
+    ``support_for`` takes the threshold as a count. Rows are ``placed`` if all of a unit (or of its ``grp``) are in one partition,
+    ``stored`` if they were so in the input."""
     spark = occ.sparkSession
     if max_len is not None and max_len < 1:
         raise ValueError("max_len must be at least 1")
     ws, run = Workspace(spark), LevelRun()
     threshold, proportion = parse_threshold(min_support)
     # The transaction count, the dictionary and the packing all read the deduplicated rows.
-    cached = occ.select(unit.alias("unit"), "item", value.alias("m")).persist()
+    grp = [c for c in occ.columns if c == "grp"]
+    cached = occ.select(*grp, unit.alias("unit"), "item", value.alias("m")).persist()
     try:
         if proportion:
             counting = support_for(0).counting
@@ -93,8 +101,9 @@ def _search(occ: DataFrame, unit: Column, value: Column, min_support, support_fo
             # Rare items first keeps the later parts of a unit, and so the next states, small.
             first = rank_items(items, n_items, [F.col("freq"), F.col("item")], ws)
             names = first.select("item", "rank")
-            rows = occ.join(broadcast_if(names, n_items, item_text), "item").select("unit", "rank", "m")
-            steps = steps or Steps(support, ws, placed)
+            rows = occ.join(broadcast_if(names, n_items, item_text), "item").select(*grp, "unit", "rank", "m")
+            # A join that shuffles by item leaves nothing where it was placed.
+            steps = steps or Steps(support, ws, placed and (stored or n_items <= BROADCAST_SETS and item_text <= BROADCAST_TEXT))
             units = steps.pack(rows).persist()
             grow(units, first, n_items, item_text, support, ws, run, max_len, split_local, steps)
             if run.local_states:
@@ -153,7 +162,7 @@ def _without_rare(df: DataFrame, min_support, n_transactions: int | None) -> Ite
 def _crisp_join(df: DataFrame, min_support, max_len: int | None, started: float,
                 n_transactions: int | None, placed: bool = False) -> MiningResult:
     return _search(crisp_occurrences(df), F.col("txn_id"), F.lit(1), min_support,
-                   lambda t: Support(CRISP, _keep(t)), max_len, started, n_transactions, placed=placed)
+                   lambda t: Support(CRISP, _keep(t)), max_len, started, n_transactions, placed=placed, stored=placed)
 
 
 def _crisp_stored(*args) -> MiningResult:
@@ -243,16 +252,17 @@ def frequent_itemsets(df: DataFrame, min_support, max_len: int | None = None, en
 # --- fuzzy -------------------------------------------------------------------------------------
 
 def _fuzzy_join(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
-                started: float, n_transactions: int | None, placed: bool = False) -> MiningResult:
+                started: float, n_transactions: int | None, stored: bool = False) -> MiningResult:
     # A proportion needs the transactions whose items are all absent as well.
     count_all = parse_threshold(min_support)[1] and n_transactions is None
-    return _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all), F.col("txn_id"), F.col("prob"),
-                   min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions, placed=placed)
+    parts = None if stored else _parts(df)
+    return _search(fuzzy_occurrences(df, on_duplicate, keep_absent=count_all, parts=parts), F.col("txn_id"), F.col("prob"),
+                   min_support, lambda t: Support(FUZZY, _keep(t, min_frequency)), max_len, started, n_transactions, placed=True, stored=stored)
 
 
 def _fuzzy_stored(*args) -> MiningResult:
     """The same for a table stored by transaction."""
-    return _fuzzy_join(*args, placed=True)
+    return _fuzzy_join(*args, stored=True)
 
 
 def _fuzzy_grouped(df: DataFrame, min_support, min_frequency: int | None, max_len: int | None, on_duplicate: str,
@@ -291,12 +301,11 @@ def _periodic_join(df: DataFrame, min_support, min_periodic_frequency: int, max_
     low, high = df.agg(F.min("txn_id"), F.max("txn_id")).first()
     if low is None:
         low = high = 0
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ids count from the smallest one, so that words and groups of words start at 0.
-    return _search(
-        fuzzy_occurrences(df, on_duplicate), F.col("txn_id").cast("bigint") - F.lit(low), F.col("prob"), 0,
-        lambda _: PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low, n_parts),
-        max_len, started)
+    unit, parts = F.col("txn_id").cast("bigint") - F.lit(low), _parts(df)
+    support = PeriodicSupport(FUZZY, _keep(threshold, None, min_periodic_frequency), max_gap, high - low, parts)
+    return _search(fuzzy_occurrences(df, on_duplicate, parts=parts, group=support.group(unit)), unit, F.col("prob"), 0,
+                   lambda _: support, max_len, started, placed=True)
 
 
 # Register another engine by adding a function

@@ -146,10 +146,11 @@ def pack_units(rows: DataFrame, has_values: bool, carried: tuple[str, ...] = (),
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["unit"]
     if group is not None:
-        rows, keys = rows.withColumn("grp", group), ["grp", "unit"]
+        rows, keys = rows if "grp" in rows.columns else rows.withColumn("grp", group), ["grp", "unit"]
     if not placed:
         rows = rows.repartition(n_parts, keys[0])
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    # sort_array compares natively, array_sort through a lambda function.
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("t"))
     ranks = F.col("t.rank") if has_values else F.col("t")
     cols = [F.lit(0).cast("bigint").alias("sid"), ranks.alias("r")]
     if has_values:
@@ -257,6 +258,20 @@ def next_state(state: DataFrame, classes: DataFrame, counting: Counting, carried
     return heads.select(*cols, *carried)
 
 
+def dense_state(state: DataFrame, classes: DataFrame, counting: Counting, carried: tuple[str, ...], widest: int, n_sets: int) -> DataFrame:
+    """The same where nearly all pairs are frequent: for each head, all later items. What this leaves in is counted and found infrequent, as
+    before any set that holds a pair below the threshold; testing each item costs more than that."""
+    heads = _heads(state, widest).where(F.size("r") - F.col("i") > 2).withColumn("a", F.get("r", F.col("i")))
+    later = {c: F.slice(c, F.col("i") + 2, F.size(c)) for c in (("r", "m") if counting.has_values else ("r",))}
+    head = [F.get("m", F.col("i")).alias("head")] if counting.has_values else []
+    heads = heads.select("sid", "a", *carried, *head, *[e.alias(c) for c, e in later.items()])
+    heads = heads.join(broadcast_if(classes.select("sid", "a", "pid"), n_sets), ["sid", "a"])
+    cols = [F.col("pid").alias("sid"), F.col("r")]
+    if counting.has_values:
+        cols.append(F.transform("m", lambda m: counting.combine(F.col("head"), m)).alias("m"))
+    return heads.select(*cols, *carried)
+
+
 def _longest(state: DataFrame) -> int:
     """The longest row; computes the state as well."""
     return state.agg(F.max(F.size("r"))).first()[0] or 0
@@ -269,6 +284,8 @@ class Steps:
         self.support, self.counting, self.carried, self.ws, self.placed = support, support.counting, support.carried, ws, placed
         self.pairs: list[DataFrame | None] = [None]
         self.widest = 0
+        # Whether rows as packed here may keep items that are not frequent with their head; empty words must go.
+        self.keeps_all = type(self) is Steps and self.counting.alive is None
 
     def pack(self, rows: DataFrame) -> DataFrame:
         return pack_units(rows, self.counting.has_values, self.carried, group=self.support.group(F.col("unit")),
@@ -288,10 +305,13 @@ class Steps:
     def advance(self, state: DataFrame, level: DataFrame, n_sets: int, n_items: int, k: int,
                 classes: DataFrame | None = None) -> DataFrame:
         bitmap = n_items > 128 and n_sets // 2 * ((n_items >> 6) + 1) <= BITMAP_LONGS
+        classes = extension_classes(level) if classes is None else classes
         # With nearly all pairs frequent there is nothing to prune.
         if k == 2 and n_sets < 0.4 * n_items * (n_items - 1):
             self.pairs = pair_table(level, n_items, self.ws)
-        return self.extend(state, extension_classes(level) if classes is None else classes, n_sets, n_items, bitmap)
+        elif k == 2 and self.keeps_all:
+            return dense_state(state, classes, self.counting, self.carried, self.widest, n_sets)
+        return self.extend(state, classes, n_sets, n_items, bitmap)
 
 
 def grow(units: DataFrame, first: DataFrame, n_items: int, item_text: int, support: Support, ws: Workspace,

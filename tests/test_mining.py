@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import itemweave as iw
 from itemweave.operators import grouped
+from itemweave.operators.dictionary import fuzzy_occurrences
 from itemweave.operators.prepare import replicate
 from itemweave.plans import bitmaps, levels
 
@@ -316,3 +317,24 @@ def test_rare_items_go_before_the_shuffle(spark, engine):
     assert table(result) == {("a",): (30, 30), ("b",): (30, 30), ("a", "b"): (30, 30)}
     if engine == "join":
         assert result.levels.where("k = 1").first()["candidates"] == 3
+
+
+def test_fuzzy_rows_move_once(spark):
+    """After the rows are placed by transaction, or by group of ids, neither deduplicating nor packing shuffles them again."""
+    rows = spark.range(200).selectExpr("id % 50 AS txn_id", "concat('i', id % 7) AS item", "id % 5 AS prob")
+    for group, extra in ((None, []), (F.shiftright("txn_id", 2), ["grp"])):
+        occ = fuzzy_occurrences(rows, parts=3, group=group).select(*extra, F.col("txn_id").alias("unit"), F.length("item").alias("rank"), F.col("prob").alias("m"))
+        plan = levels.pack_units(occ, True, group=None if group is None else F.shiftright("unit", 2), placed=True)
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_all_pairs_frequent(spark, monkeypatch):
+    """The state after the pairs keeps all later items; sets found are the same, with and without infrequent pairs among them."""
+    rows = random_rows(11, n_txn=80, n_items=8, density=1.2)
+    used = []
+    monkeypatch.setattr(levels, "dense_state", lambda *a, f=levels.dense_state: used.append(1) or f(*a))
+    df = spark.createDataFrame(rows, "txn_id long, item string, prob long")
+    assert table(iw.fuzzy_frequent_itemsets(df, 60)) == brute(rows, 60)
+    assert table(iw.fuzzy_periodic_frequent_itemsets(df, 60, 3, 4), "periodic_freq") == brute(rows, 60, max_gap=4, min_periodic=3)
+    assert table(iw.frequent_itemsets(df, 9)) == {k: (v[1], v[1]) for k, v in brute([(t, i, 1) for t, i, _ in rows], 9).items()}
+    assert used
