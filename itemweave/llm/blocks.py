@@ -18,12 +18,17 @@ BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 2 << 20
 
 
 class Blocks:
-    """The columns doc_id and text of ``docs``, dealt by a hash of both into blocks of about ``block_bytes``."""
+    """The columns doc_id and text of ``docs``, dealt by a hash of both into blocks of about ``block_bytes / finer``.
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES):
+    ``meet`` takes a row for each question. ``merge`` takes runs instead: a block sends its questions sorted, one row of
+    packed arrays for each of ``ranges`` equal ranges of the hash, and a range's runs meet in one call of bounded size.
+    """
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES, *, finer: int = 1):
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count = int(size // block_bytes) + 1
+        self.count = int(size * finer // block_bytes) + 1
+        self.ranges = self.count // 2 + 1
         self.parts = max(self.count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.count)).cast("int"))
 
@@ -39,6 +44,36 @@ class Blocks:
         dealt = questions.repartition(self.parts, "key").sortWithinPartitions("key", *order)
         return dealt.mapInArrow(whole_groups(fn), schema)
 
+    def merge(self, runs: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        """``fn`` on all runs of a range of the hash."""
+        return runs.groupBy("range").applyInArrow(fn, schema)
+
+
+def to_runs(block: int, ranges: int, key: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """The rows of a block, sorted by ``key`` (evenly spread 64-bit hashes), as one row of arrays for each range that has any."""
+    bounds = np.arange(1, ranges, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // ranges)
+    cuts = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
+    own = np.flatnonzero(cuts[1:] > cuts[:-1])
+    spans = list(zip(cuts[own].tolist(), cuts[own + 1].tolist(), strict=True))
+    packed = {n: pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for n, v in {"key": key, **columns}.items()}
+    return pa.table({"range": pa.array(own, pa.int32()), "block": pa.array(np.full(len(own), block), pa.int32()), **packed})
+
+
+def unpacked(runs: pa.Table, column: str, dtype: type) -> np.ndarray:
+    """The arrays of a column, one after another."""
+    return np.frombuffer(b"".join(runs.column(column).to_pylist()), dtype)
+
+
+def select_runs(runs: pa.Table, keep: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Rows of runs as packed arrays by block; ``keep`` and the columns go by the runs' rows, one run after another."""
+    sizes = [len(k) // 8 for k in runs.column("key").to_pylist()]
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    own = [(r, np.flatnonzero(keep[a:b]) + a) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    own = [(r, at) for r, at in own if len(at)]
+    blocks = runs.column("block").to_numpy()
+    packed = {n: pa.array([v[at].tobytes() for _, at in own], pa.binary()) for n, v in columns.items()}
+    return pa.table({"block": pa.array([blocks[r] for r, _ in own], pa.int32()), **packed})
+
 
 def whole_groups(fn: Callable[[pa.Table], pa.Table], rows: int = 50_000) -> Callable:
     """For mapInArrow over rows sorted by the column ``key``: call ``fn`` on runs of rows that split no key."""
@@ -102,7 +137,7 @@ def sliding(x: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
 
 def sampled(gram: np.ndarray, low: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
     """The places whose gram is the least of some valid window of ``width`` grams; low: the least gram of each window."""
-    masked = np.where(valid, low, np.uint64(0))
-    pad = np.zeros(width - 1, np.uint64)
+    masked = np.where(valid, low, low.dtype.type(0))
+    pad = np.zeros(width - 1, low.dtype)
     reach = sliding(np.concatenate([pad, masked, pad]), width, np.maximum)[:len(gram)]
     return np.flatnonzero((gram == reach) & (reach > 0))

@@ -12,10 +12,12 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from itemweave.llm import blocks, html_extract, jaccard, lm_score, packing, quality
+from itemweave.llm import blocks, html_extract, jaccard, lm_score, packing, quality, suffix_dedup
 from itemweave.llm.common import Scratch, components
 from itemweave.llm.decontam import drop_leaks, leaks
 from itemweave.llm.html_extract import main_text
@@ -371,6 +373,37 @@ def test_repeated_words(docs, empty, block_bytes, monkeypatch):
     assert sum(w[2] for w in want) > 300 and repeated_words(empty).count() == 0
 
 
+def test_suffix_tuples_travel_as_bounded_runs():
+    """A block's tuples are one row a range of the hash, the rows of a range hold all its tuples, and nothing else is in them."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode() for _ in range(40)] * 2
+    runs = [suffix_dedup._grams(50, 7)(pa.table({"doc_id": list(range(k, 80, 4)), "text": texts[k::4], "block": pa.array([k] * 20, pa.int32())})) for k in range(4)]
+    assert all(len(r) <= 7 for r in runs)
+    both = pa.concat_tables(runs)
+    sizes = [len(both.filter(pc.equal(both.column("range"), r)).column("key")) for r in range(7)]
+    assert sizes == [4] * 7
+    tuples = [sum(len(k) // 8 for k in both.filter(pc.equal(both.column("range"), r)).column("key").to_pylist()) for r in range(7)]
+    assert max(tuples) < 1.3 * min(tuples)
+    for r in range(7):
+        part = both.filter(pc.equal(both.column("range"), r))
+        key = np.concatenate([np.frombuffer(k, np.uint64) for k in part.column("key").to_pylist()])
+        got = np.concatenate([np.frombuffer(k, np.uint64) for k in suffix_dedup._in_two_documents(part).column("key").to_pylist()])
+        value, n = np.unique(key, return_counts=True)
+        assert set(value[n > 1].tolist()) <= set(got.tolist()) <= set(value.tolist())
+
+
+def test_windows_of_places_are_those_of_the_definition():
+    rng = np.random.default_rng(4)
+    s = suffix_dedup.Suffixes([bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (300, 0, 49, 50, 1, 700)], 50)
+    ends = np.concatenate([[hi] * (hi - lo) for lo, hi in zip(s.starts[:-1], s.starts[1:], strict=True)])
+    assert s.valid.tolist() == [k + 50 <= ends[k] for k in range(len(s.valid))]
+    at = s.sampled()
+    assert s.doc(at).tolist() == [max(i for i in range(6) if s.starts[i] <= p) for p in at]
+    some = at[::3]
+    want = [w for w in range(len(s.low)) if s.valid[w] and any(w <= p <= w + s.reach and s.order[p] == s.low[w] for p in some)]
+    assert s.windows_of(some).tolist() == want
+
+
 def test_sampled_places_cover_every_window():
     rng = np.random.default_rng(1)
     gram = rng.integers(1, 50, 5000).astype(np.uint64)  # many ties
