@@ -12,11 +12,14 @@ is cut into as many sequences as it needs; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from itemweave.llm.common import Scratch
 
 FAN_IN = 16
-#: A worker forgets its cached words beyond so many.
+#: A worker forgets its cached words, and the pieces of words, beyond so many.
 CACHED_WORDS = 800_000
+#: Pieces that go to the tokenizer as one text.
+JOINED = 256
 
 # Ids are four bytes each in the machine's order, which is the little-endian one wherever Spark runs.
 assert array("I", [1]).tobytes() == b"\x01\0\0\0"
@@ -35,11 +40,28 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "open boolean")
 
 
+# Letters that are lower-cased one by one, and that no normal form changes or joins: those below U+02B0 but for \u0130.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u02af"
+_OTHERS = "\u00ab\u00bb\u2013\u2014\u2018-\u201e\u2026"  # quotes, dashes and dots, neither letters nor numbers
+_PLAIN = re.compile(f"[!-~A-Z{_LETTERS}\u00c0-\u00d6\u00d8-\u00de{_OTHERS}]+")
+#: The steps ahead of the vocabulary for which the two patterns hold; others take all words one by one.
+_STEPS = {"normalizer": {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
 class WordTokenizer:
     """Ids of a text as bytes (little-endian unsigned 32-bit), by words of the text.
 
     The vocabulary's splitter never joins characters across ASCII white space, so a text's ids are those of its words
     one after another, and each distinct word goes to the tokenizer once. Words are cached up to CACHED_WORDS.
+
+    A new word of plain characters is cut where the vocabulary's own splitter cuts it, so case and punctuation make no new
+    pieces; new pieces go to the vocabulary many at a time, separated by spaces, and the ids that end a piece, those of the
+    tokens with the end suffix, say which are whose. Other words go through the whole tokenizer one by one.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -47,9 +69,20 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.plain = None  # the vocabulary without the steps that plain pieces do not need
+        if suffix and all(steps[k] == v for k, v in _STEPS.items()):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.plain.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -58,8 +91,8 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, text: str | None) -> bytes:
-        found = (text or "").encode("utf-8", "replace").split()
+    def encode(self, text: str | bytes | None) -> bytes:
+        found = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")).split()
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, found))
@@ -67,14 +100,44 @@ class WordTokenizer:
             pass
         if len(cache) > CACHED_WORDS:
             cache.clear()
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
         missing = list(set(found).difference(cache))
         for i in range(0, len(missing), 20_000):
-            part = missing[i:i + 20_000]
-            done = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for w, e in zip(part, done, strict=True):
-                cache[w] = array("I", e.ids).tobytes()
+            self._learn(missing[i:i + 20_000])
         return b"".join(map(cache.__getitem__, found))
 
+    def _learn(self, missing: list[bytes]) -> None:
+        """Put new words into the cache."""
+        cut, alone, pieces, asked = [], [], self.pieces, set()
+        for w in missing:
+            text = w.decode("utf-8")
+            if self.plain and text.isalpha() and text.isascii():
+                cut.append((w, low := text.lower()))
+                asked.add(low)
+            # Special tokens are found ahead of the splitter.
+            elif self.plain and "<|" not in text and _PLAIN.fullmatch(text):
+                cut.append((w, some := _PIECE.findall(text.lower())))
+                asked.update(some)
+            else:
+                alone.append(w)
+        if new := list(asked.difference(pieces)):
+            ids = array("I")
+            for e in self._ids(self.plain, [" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]):
+                ids.extend(e)
+            at = [0, *((np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4).tolist()]
+            if len(at) != len(new) + 1 or at[-1] != len(ids) * 4:
+                raise ValueError(f"the tokenizer cut {len(new)} pieces into {len(at) - 1}")
+            data = ids.tobytes()
+            pieces.update((p, data[x:y]) for p, x, y in zip(new, at, at[1:], strict=False))
+        for w, c in cut:
+            self.cache[w] = pieces[c] if isinstance(c, str) else b"".join([pieces[p] for p in c])
+        for w, e in zip(alone, self._ids(self.tokenizer, [w.decode("utf-8") for w in alone]), strict=True):
+            self.cache[w] = array("I", e).tobytes()
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
 
 class OpenWindows:
     """At most ``limit`` windows of ``size`` tokens that still take items; place() says which window an item goes to."""
@@ -90,8 +153,11 @@ class OpenWindows:
 
     def best(self, length: int) -> int | None:
         """The fullest open window with room for the item."""
-        fits = [(-f, w) for w, f in self.fill.items() if f + length <= self.size]
-        return min(fits)[1] if fits else None
+        most, found, room = -1, None, self.size - length
+        for w, f in self.fill.items():
+            if most <= f <= room and (f > most or w < found):
+                most, found = f, w
+        return found
 
     def fullest(self) -> int:
         return min(self.fill, key=lambda w: (-self.fill[w], w))
@@ -115,7 +181,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], encode, end: bytes, size:
                                           names=[x.split()[0] for x in _PIECES.split(", ")])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             ids = encode(text.as_py()) + end
             total, at = len(ids) // 4, 0
 

@@ -329,6 +329,26 @@ def test_words_of_a_text_tokenize_as_the_text():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_share_their_pieces():
+    """Case and punctuation make no new pieces, and the ids are those of the whole text."""
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path())
+    rng = random.Random(5)
+    parts = ["haus", "STRASSE", "straße", "Éçai", "œuvre", "ŸÿŽ", "ıİ", "ǅǆ", "ʯʰ", "x×y÷", "'s", "'T", "''re", "'LL'd", "'", "12", "3", "²", "½", "ª", "º", "µ", "_", "-", "|", "<|", "|>",
+             "<|startoftext|>", "“", "”", "…", "–", "«", "»", "e\u0301", "T\u0308", "\u00a0", "\u0085", "Σ", "ς", "日本", "#", "...", "\x7f", "\x1c", "\x00"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(3000)]
+    text = " ".join(words)
+    for _ in range(2):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    asked = []
+    own = packing.WordTokenizer(tokenizer_path())
+    ids, own._ids = own._ids, lambda tokenizer, texts: asked.extend(texts) or ids(tokenizer, texts)
+    own.encode("Haus haus, HAUS! (haus) haus")
+    own.encode("haus? HAus,")
+    assert sorted(" ".join(asked).split()) == sorted(["haus", ",", "!", "(", ")", "?"])
+
+
 # --- 5 and 9 ------------------------------------------------------------------------------------
 
 
