@@ -11,6 +11,11 @@ the place of a template is also found by the WINDOW words as they are, without c
 in the document. An item leaks into a document if consistent windows and literal windows cover at least ``percent`` of
 its templates; of an item without templates (all capitals, say) every literal window counts instead.
 
+Each window of the benchmark has an anchor, that of its ordinary words which the fewest items hold, the longest of those. A document
+can hold the window only where it holds the anchor, so words of documents meet the broadcast anchors first, and forms and
+hashes are computed for the windows round a hit alone. If a window has no anchor, or there are more than BROADCAST_ROWS
+of them, all windows of the documents are hashed instead; both ways give the same rows.
+
 The benchmark side is broadcast only when its counted templates are within BROADCAST_ROWS; beyond it the join shuffles.
 Slot values travel only with matching windows.
 
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemweave.llm.common import Scratch, small, words
+from itemweave.llm.common import BROADCAST_ROWS, Scratch, small, words
 
 WINDOW, LITERALS, PERCENT = 8, 4, 50
 
@@ -38,20 +43,28 @@ _STOP, _MARKS = "\x01", ".!?,;:\"()[]{}“”„«»"
 
 def canonical(df: DataFrame, text: str) -> DataFrame:
     """Add __m (words with ends of sentences marked) and __c (canonical words)."""
-    df = df.withColumn("__m", words(F.translate(F.col(text), _MARKS, _STOP * 3)))
+    return _forms(_marked(df, text))
+
+
+def _marked(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("__m", words(F.translate(F.col(text), _MARKS, _STOP * 3)))
 
-    def bare(w: Column) -> Column:
-        return F.replace(w, F.lit(_STOP), F.lit(""))
 
+def _bare(w: Column) -> Column:
+    return F.replace(w, F.lit(_STOP), F.lit(""))
+
+
+def _forms(df: DataFrame) -> DataFrame:
+    """Add __c for __m; where __m starts inside a text, the first form may be another, as it depends on the word before."""
     def number(w: Column) -> Column:
         return (w >= "0") & (w < ":") & F.regexp_like(w, F.lit("^[0-9]+([-/%][0-9]*)*$"))
 
     def form(m: Column, i: Column) -> Column:
-        w = bare(m)
+        w = _bare(m)
         low = F.lower(w)
         # Lower-case words, by far the most, need no look at the word before unless they may be units.
         return (F.when(number(w), "<n>")
-                .when(low.isin(UNITS) & number(bare(F.get("__m", i - 1))), "<u>")
+                .when(low.isin(UNITS) & number(_bare(F.get("__m", i - 1))), "<u>")
                 .when((low != w) & (i > 0) & ~F.endswith(F.get("__m", i - 1), F.lit(_STOP)), "<a>")
                 .otherwise(low))
 
@@ -76,7 +89,7 @@ def _slots(place: str) -> Column:
 
 
 def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, n_windows, place, h and the slot values of each template, and g, the hash of its literal window.
+    """item_id, n_windows, place, h and the slot values of each template, and g, the hash of its literal window; also the words of both.
 
     Items without templates have their literal windows only, with no h.
     """
@@ -84,29 +97,63 @@ def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
     rows = _hashes(_hashes(literal(canonical(items, "__text"), "__text")), "__l", "__g")
     # The place among the literal words; the two differ only if some words are punctuation alone.
     rows = rows.withColumn("__p", F.filter(F.transform("__m", lambda w, i: F.when(w != _STOP, i)), lambda i: i.isNotNull()))
-    rows = rows.select("item_id", "__m", "__c", "__g", "__p", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
+    rows = rows.select("item_id", "__m", "__c", "__g", "__l", "__p", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
     at = F.when(F.size("__p") == F.size("__m"), F.col("place")).otherwise((F.array_position("__p", F.col("place")) - 1).cast("int"))
     count = F.size(F.filter(F.slice("__c", F.col("place") + 1, WINDOW), lambda w: ~w.isin("<n>", "<u>", "<a>")))
-    rows = rows.select("item_id", "place", "h", _slots("place").alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"))
+    rows = rows.select("item_id", "place", "h", _slots("place").alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"),
+                       F.slice("__c", F.col("place") + 1, WINDOW).alias("h_words"), F.when(F.get("__g", at).isNotNull(), F.slice("__l", at + 1, WINDOW)).alias("g_words"))
     counts = rows.groupBy(F.col("item_id").alias("__i")).agg(
         F.max("typed").alias("__typed"), F.countDistinct(F.when(F.col("typed"), F.col("place"))).alias("__n"),
         F.countDistinct(F.when(F.col("g").isNotNull(), F.col("place"))).alias("__literal"))
     rows = rows.join(counts, F.col("item_id").eqNullSafe(F.col("__i"))).where("typed OR NOT __typed AND g IS NOT NULL")
     return rows.select("item_id", F.when(F.col("__typed"), F.col("__n")).otherwise(F.col("__literal")).alias("n_windows"), "place",
-                       F.when(F.col("typed"), F.col("h")).alias("h"), "slots", "g")
+                       F.when(F.col("typed"), F.col("h")).alias("h"), "slots", "g", "h_words", "g_words")
+
+
+def _anchors(known: DataFrame, window: str) -> DataFrame | None:
+    """key, the hash of a word, and its offsets in the windows that it stands for; None if not every window has one, or for many."""
+    windows = known.where(F.col(window).isNotNull()).select("item_id", F.col(window).alias("window"), F.col(f"{window}_words").alias("words")).distinct()
+    each = windows.select("item_id", "window", F.posexplode("words").alias("o", "w")).where(~F.col("w").isin("", "<n>", "<u>", "<a>"))
+    shared = each.groupBy("w").agg(F.countDistinct("item_id").alias("n"))
+    least = each.join(shared, "w").groupBy("window").agg(F.min(F.struct("n", -F.length("w"), "w", "o")).alias("a"))
+    counts = windows.select("window").distinct().join(least.select("window", F.lit(1).alias("has")), "window", "left").agg(F.count("*"), F.count("has")).first()
+    if counts[1] < counts[0] or counts[0] > BROADCAST_ROWS:
+        return None
+    return least.groupBy(F.xxhash64("a.w").alias("key")).agg(F.collect_set("a.o").alias("offsets"))
+
+
+def _near(scratch: Scratch, rows: DataFrame, of: str, word: Column, anchors: DataFrame, name: str) -> DataFrame:
+    """Each hit of an anchor among the words ``of``, with the words from WINDOW before to WINDOW behind it; these start at ``lo``."""
+    rows = rows.select("doc_id", of, F.posexplode_outer(of).alias("at", "w")).select("doc_id", of, "at", F.xxhash64(word).alias("key"))
+    lo = F.greatest(F.col("at") - WINDOW, F.lit(0))
+    rows = rows.join(F.broadcast(anchors), "key").select(
+        "doc_id", lo.alias("lo"), (F.col("at") - lo).alias("hit"), "offsets", F.slice(of, lo + 1, 2 * WINDOW).alias(of))
+    return scratch.save(rows, name)
+
+
+def _round(near: DataFrame, of: str, to: str) -> DataFrame:
+    """doc_id, place and hash of the windows that hold a hit at one of its anchor's offsets."""
+    rows = near.select("doc_id", "lo", "hit", of, F.explode("offsets").alias("o")).withColumn("p", F.col("hit") - F.col("o"))
+    rows = rows.where((F.col("p") >= 0) & (F.col("p") + WINDOW <= F.size(of)))
+    return rows.select("doc_id", (F.col("lo") + F.col("p")).alias("at"), F.xxhash64(*[F.get(of, F.col("p") + k) for k in range(WINDOW)]).alias(to))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched (templates found) and n_changed (slot values that differ in them)."""
     scratch = Scratch(docs.sparkSession)
-    known = scratch.save(templates(benchmark, item_id, item_text), "templates")
+    items = scratch.save(templates(benchmark, item_id, item_text), "templates")
+    known = items.drop("h_words", "g_words")
     side = small(known.select(F.col("h").alias("__t")).where("__t IS NOT NULL").distinct())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     # Only ids, places and hashes are laid out by window; the words of the few documents that match are read again.
     # The outer form keeps Spark from testing the size of the array, and so computing it, ahead of the explode.
-    places = (_hashes(canonical(rows, "__text")).select("doc_id", F.posexplode_outer("__h").alias("at", "__t"))
-              .join(side, "__t", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at")))
+    if (anchors := _anchors(items, "h")) is not None:
+        near = _near(scratch, _marked(rows, "__text"), "__m", F.lower(_bare(F.col("w"))), anchors, "near")
+        places = _round(_forms(near), "__c", "__t")
+    else:
+        places = _hashes(canonical(rows, "__text")).select("doc_id", F.posexplode_outer("__h").alias("at", "__t"))
+    places = places.join(side, "__t", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at"))
     places = scratch.save(places, "places")
     rows = rows.join(small(places.select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     rows = scratch.save(_hashes(canonical(rows.distinct(), "__text")).select("doc_id", "__m", "__c", "__h"), "matched")
@@ -127,17 +174,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
     met = met.select("a.doc_id", "a.item_id", "n_windows", "a.shift", "place", changed.alias("changed")).groupBy("doc_id", "item_id", "n_windows", "shift").agg(
         F.collect_set("place").alias("places"), F.size(F.array_distinct(F.flatten(F.collect_list("changed")))).cast("long").alias("n_changed"))
     met = met.select("doc_id", "item_id", "n_windows", F.explode("places").alias("place"), "n_changed")
-    out = met.union(_verbatim(docs, known, scratch, doc_id, text)).groupBy("doc_id", "item_id", "n_windows").agg(
+    out = met.union(_verbatim(docs, items, scratch, doc_id, text)).groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("place").alias("n_matched"), F.max("n_changed").alias("n_changed"))
     return out.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
 
 
-def _verbatim(docs: DataFrame, known: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
+def _verbatim(docs: DataFrame, items: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
     """doc_id, item_id, n_windows and place of each literal window of an item in a document; nothing is changed in them."""
-    side = small(known.select("g").where("g IS NOT NULL").distinct())
-    rows = _hashes(literal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text"), "__l", "__g")
-    found = scratch.save(rows.select("doc_id", F.explode_outer("__g").alias("g")).join(side, "g", "left_semi").distinct(), "verbatim")
-    return found.join(known, "g").select("doc_id", "item_id", "n_windows", "place", F.lit(0).cast("long").alias("n_changed"))
+    side = small(items.select("g").where("g IS NOT NULL").distinct())
+    rows = literal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text")
+    if (anchors := _anchors(items, "g")) is not None:
+        rows = _round(_near(scratch, rows, "__l", F.col("w"), anchors, "near_literal"), "__l", "g").select("doc_id", "g")
+    else:
+        rows = _hashes(rows, "__l", "__g").select("doc_id", F.explode_outer("__g").alias("g"))
+    found = scratch.save(rows.join(side, "g", "left_semi").distinct(), "verbatim")
+    return found.join(items, "g").select("doc_id", "item_id", "n_windows", "place", F.lit(0).cast("long").alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from itemweave.llm import blocks, html_extract, jaccard, lm_score, packing, quality, suffix_dedup
+from itemweave.llm import blocks, decontam, html_extract, jaccard, lm_score, packing, quality, suffix_dedup
 from itemweave.llm.common import Scratch, components
 from itemweave.llm.decontam import drop_leaks, leaks
 from itemweave.llm.html_extract import main_text
@@ -585,6 +585,24 @@ def test_leaks_in_other_case(spark):
     assert got[2, 2][1] == len(plain.split()) - 7 and got[5, 3][1] == len(loud.split()) - 7
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_anchors_find_what_all_windows_find(spark, monkeypatch, odd):
+    """Words meet anchors before windows are hashed; every window has one, or all windows are hashed."""
+    rng = random.Random(8)
+    parts = ["a", "The", "old", "river", "Anna", "12", "km", "30%", "Berta.", "!", "went,", "to", "sea?", "house", "ΣΑΣ", "x.y", "<n>", "Zug"]
+    items = [" ".join(rng.choices(parts, k=rng.randint(5, 30))) for _ in range(30)] + ([". ! ? . ! ? . ! ? . !"] if odd else ["THE OLD RIVER WENT TO SEA AND HOUSE BY ZUG"])
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 40))) + " " + rng.choice(items) + rng.choice([" ", ". "]) + " ".join(rng.choices(parts, k=9)) for _ in range(150)]
+    texts += [t.upper() for t in texts[:20]] + [t.replace("12", "13").replace("Anna", "Clara") for t in texts[20:60]] + [items[0], items[1] + " end", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    known = decontam.templates(bench).cache()
+    assert (decontam._anchors(known, "h") is None) == odd and decontam._anchors(known, "g") is not None
+    got = sorted(tuple(r) for r in leaks(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert decontam._anchors(known, "g") is None
+    assert got == sorted(tuple(r) for r in leaks(docs, bench).collect()) and len(got) > 150
+
+
 def test_leaks_with_one_value_for_two(spark):
     """Equal slot values that stand for two values cost their windows, not the alignment."""
     sum_of = "Add 2 apples and 2 pears to the basket that stands behind the door of the kitchen and count what lies in it"
