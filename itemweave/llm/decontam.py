@@ -14,7 +14,8 @@ its templates; of an item without templates (all capitals, say) every literal wi
 Each window of the benchmark has an anchor, that of its ordinary words which the fewest items hold, the longest of those. A document
 can hold the window only where it holds the anchor, so words of documents meet the broadcast anchors first, and forms and
 hashes are computed for the windows round a hit alone. If a window has no anchor, or there are more than BROADCAST_ROWS
-of them, all windows of the documents are hashed instead; both ways give the same rows.
+of them, all windows of the documents are hashed instead; both ways give the same rows. Tables written on the way hold the
+words of windows, never all words of a document: Spark's reader holds 4096 rows of a table at once.
 
 The benchmark side is broadcast only when its counted templates are within BROADCAST_ROWS; beyond it the join shuffles.
 Slot values travel only with matching windows.
@@ -83,9 +84,9 @@ def _hashes(df: DataFrame, of: str = "__c", to: str = "__h") -> DataFrame:
         1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(1)))))
 
 
-def _slots(place: str) -> Column:
+def _slots(place: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.when(
-        F.get("__c", F.col(place) + k).isin("<n>", "<u>", "<a>"), F.lower(F.replace(F.get("__m", F.col(place) + k), F.lit(_STOP), F.lit(""))))), lambda x: x.isNotNull())
+        F.get("__c", place + k).isin("<n>", "<u>", "<a>"), F.lower(F.replace(F.get("__m", place + k), F.lit(_STOP), F.lit(""))))), lambda x: x.isNotNull())
 
 
 def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -100,7 +101,7 @@ def templates(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
     rows = rows.select("item_id", "__m", "__c", "__g", "__l", "__p", F.posexplode_outer("__h").alias("place", "h")).where("h IS NOT NULL")
     at = F.when(F.size("__p") == F.size("__m"), F.col("place")).otherwise((F.array_position("__p", F.col("place")) - 1).cast("int"))
     count = F.size(F.filter(F.slice("__c", F.col("place") + 1, WINDOW), lambda w: ~w.isin("<n>", "<u>", "<a>")))
-    rows = rows.select("item_id", "place", "h", _slots("place").alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"),
+    rows = rows.select("item_id", "place", "h", _slots(F.col("place")).alias("slots"), F.get("__g", at).alias("g"), (count >= LITERALS).alias("typed"),
                        F.slice("__c", F.col("place") + 1, WINDOW).alias("h_words"), F.when(F.get("__g", at).isNotNull(), F.slice("__l", at + 1, WINDOW)).alias("g_words"))
     counts = rows.groupBy(F.col("item_id").alias("__i")).agg(
         F.max("typed").alias("__typed"), F.countDistinct(F.when(F.col("typed"), F.col("place"))).alias("__n"),
@@ -131,11 +132,30 @@ def _near(scratch: Scratch, rows: DataFrame, of: str, word: Column, anchors: Dat
     return scratch.save(rows, name)
 
 
-def _round(near: DataFrame, of: str, to: str) -> DataFrame:
-    """doc_id, place and hash of the windows that hold a hit at one of its anchor's offsets."""
-    rows = near.select("doc_id", "lo", "hit", of, F.explode("offsets").alias("o")).withColumn("p", F.col("hit") - F.col("o"))
+def _round(near: DataFrame, of: str, to: str, *keep: str) -> DataFrame:
+    """doc_id, place and hash of the windows that hold a hit at one of its anchor's offsets, and p, their place among the words of ``near``."""
+    rows = near.select("doc_id", "lo", "hit", of, *keep, F.explode("offsets").alias("o")).withColumn("p", F.col("hit") - F.col("o"))
     rows = rows.where((F.col("p") >= 0) & (F.col("p") + WINDOW <= F.size(of)))
-    return rows.select("doc_id", (F.col("lo") + F.col("p")).alias("at"), F.xxhash64(*[F.get(of, F.col("p") + k) for k in range(WINDOW)]).alias(to))
+    return rows.select("doc_id", (F.col("lo") + F.col("p")).alias("at"), F.xxhash64(*[F.get(of, F.col("p") + k) for k in range(WINDOW)]).alias(to), "p", of, *keep)
+
+
+def _found(scratch: Scratch, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, place, hash and slot values of the windows of documents that are those of a template."""
+    side = small(items.select("h").where("h IS NOT NULL").distinct())
+    if (anchors := _anchors(items, "h")) is not None:
+        near = _near(scratch, _marked(rows, "__text"), "__m", F.lower(_bare(F.col("w"))), anchors, "near")
+        # Words that matter for a form lie inside ``near``, so its few words give the slot values of a match too.
+        near = _round(_forms(near), "__c", "h", "__m").join(side, "h", "left_semi")
+        return scratch.save(near.select("doc_id", "at", "h", _slots(F.col("p")).alias("values")).distinct(), "found")
+    # Only ids, places and hashes are laid out by window; the texts of the documents that match are read again.
+    # The outer form keeps Spark from testing the size of the array, and so computing it, ahead of the explode.
+    places = _hashes(canonical(rows, "__text")).select("doc_id", F.posexplode_outer("__h").alias("at", "h")).join(side, "h", "left_semi")
+    places = scratch.save(places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at")), "places")
+    rows = rows.join(small(places.select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").distinct()
+    rows = _hashes(canonical(rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id"))), "__text"))
+    each = F.transform("__at", lambda at: F.struct(at.alias("at"), F.get("__h", at).alias("h"), _slots(at).alias("values")))
+    rows = rows.select("doc_id", F.explode_outer(each).alias("w")).select("doc_id", "w.*").where("h IS NOT NULL")
+    return scratch.save(rows.distinct(), "found")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
@@ -144,22 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, doc_id:
     scratch = Scratch(docs.sparkSession)
     items = scratch.save(templates(benchmark, item_id, item_text), "templates")
     known = items.drop("h_words", "g_words")
-    side = small(known.select(F.col("h").alias("__t")).where("__t IS NOT NULL").distinct())
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    # Only ids, places and hashes are laid out by window; the words of the few documents that match are read again.
-    # The outer form keeps Spark from testing the size of the array, and so computing it, ahead of the explode.
-    if (anchors := _anchors(items, "h")) is not None:
-        near = _near(scratch, _marked(rows, "__text"), "__m", F.lower(_bare(F.col("w"))), anchors, "near")
-        places = _round(_forms(near), "__c", "__t")
-    else:
-        places = _hashes(canonical(rows, "__text")).select("doc_id", F.posexplode_outer("__h").alias("at", "__t"))
-    places = places.join(side, "__t", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("__at"))
-    places = scratch.save(places, "places")
-    rows = rows.join(small(places.select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    rows = scratch.save(_hashes(canonical(rows.distinct(), "__text")).select("doc_id", "__m", "__c", "__h"), "matched")
-    rows = rows.join(places, F.col("doc_id").eqNullSafe(F.col("__id")))
-    found = rows.select("doc_id", "__c", "__m", "__h", F.explode_outer("__at").alias("at")).where(F.get("__h", "at").isNotNull())
-    found = scratch.save(found.select("doc_id", "at", F.get("__h", "at").alias("h"), _slots("at").alias("values")).distinct(), "found")
+    found = _found(scratch, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), items)
     met = found.join(known, "h").withColumn("shift", F.col("at") - F.col("place"))
     # The windows of an alignment are bounded by the item, so its slots fit a row.
     same = ["doc_id", "item_id", "shift"]

@@ -615,6 +615,32 @@ def test_leaks_with_one_value_for_two(spark):
     assert got == {(1, 1): (n - 2, n, 1), (2, 2): (m, m, 1), (3, 1): (n, n, 1), (4, 2): (m, m, 1)}
 
 
+@pytest.mark.parametrize("broadcast_rows", [None, 0])
+def test_leaks_store_windows_and_not_documents(spark, monkeypatch, broadcast_rows):
+    """Spark reads 4096 rows of a table at once, so rows on the way must not grow with the documents; two texts share an id."""
+    item = "A train leaves the old station with 12 cars and goes 30 km to the town where Anna waits for it"
+    prose = " ".join(f"w{k}" for k in range(3000))
+    rows = [(1, f"{prose}. {item}. {prose}"), (1, item.replace("12", "15")), (2, f"{item.replace('30', '45')} {prose}"), (None, f"{prose} {item}"), (3, prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    longest, save = {}, Scratch.save
+
+    def saved(self, df, name, *more):
+        out = save(self, df, name, *more)
+        arrays = [F.max(F.size(c)) for c, kind in out.dtypes if kind.startswith("array")]
+        longest[name] = max(n or 0 for n in out.agg(F.lit(0), *arrays).first())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    if broadcast_rows is not None:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast_rows)
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.n_changed) for r in leaks(docs, bench).collect()}
+    n = len(item.split()) - 7
+    assert got == {(1, 7): (n, n, 1), (2, 7): (n, n, 1), (None, 7): (n, n, 0)}
+    # The windows of both texts of document 1 are the longest list.
+    assert "found" in longest and max(longest.values()) <= max(2 * decontam.WINDOW, 2 * n)
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 
